@@ -12,6 +12,7 @@ replaced only once the whole text is joined.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -32,7 +33,7 @@ MEMORY = 500_000
 CHUNK = 4_000_000
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 #: Fixed pattern of the pre-tokeniser; white space is spelt out since engines differ on control characters.
-PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+PRETOKEN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:[stmd]|re|ve|ll)| ?[^{_WHITE}\p{{L}}\p{{N}}]++|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -205,6 +206,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
+        gc.disable()  # nothing here is cyclic, and the collector would walk all remembered words
         for b in batches:
             count, of_ids, of_text, arrays = [], [], [], []
             for part in chunks(b.column(b.num_columns - 1).to_pylist()):
