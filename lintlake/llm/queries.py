@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bpe, token_counts
+from lintlake.llm import bpe, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
 }
 
