@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bpe, secrets, token_counts
+from lintlake.llm import bpe, langid, mixing, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": langid.op2_language_id,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_quality_perplexity": quality.op4_quality_perplexity,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
 }
