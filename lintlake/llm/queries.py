@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bpe, jaccard_join, langid, mixing, quality, secrets, substring_dedup, token_counts
+from lintlake.llm import ann, bpe, jaccard_join, langid, mixing, quality, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_perplexity": quality.op4_quality_perplexity,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
