@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import ann, bpe, jaccard_join, langid, mixing, quality, secrets, substring_dedup, token_counts
+from lintlake.llm import ann, bpe, jaccard_join, katz, langid, mixing, quality, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_katz_scores": katz.op9_katz_scores,
     "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
 }
 
