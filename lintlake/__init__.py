@@ -1,0 +1 @@
+"""Review Java and mapper XML sources as data: files, diffs, structure, rules and findings are DataFrames."""

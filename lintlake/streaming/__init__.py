@@ -1,0 +1 @@
+"""Reviews are batches, as many at a time as there are patches; there are no streaming operators."""
