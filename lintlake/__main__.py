@@ -66,7 +66,6 @@ def main(argv: list[str] | None = None) -> int:
     print(render(), end="" if a.format != "table" else "\n")
     if text and a.format != "table":
         print(text, file=sys.stderr)
-    r.release()
     return done.exit_code()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.paths import BUILD_DIRS, glob_regex
 from lintlake.plans.review import Options, Review, review
+from lintlake.session import cut
 from lintlake.sources import diff as D
 from lintlake.sources import git as G
 from lintlake.sources import units as U
@@ -86,7 +87,7 @@ def review_diff(spark: SparkSession, source: G.DiffSource, cwd: str, options: Op
     if text is None:
         raise ValueError("the diff could not be read")
     root = G.root_of(cwd) or cwd
-    parsed = D.parse_patches(D.patch_text(spark, text)).persist()
+    parsed = cut(D.parse_patches(D.patch_text(spark, text)))
     files, lines = D.split(parsed)
     names = [r.path for r in files.filter("status != 'deleted'").select("path").distinct().collect()]
     ref = source.after()
@@ -105,6 +106,4 @@ def review_diff(spark: SparkSession, source: G.DiffSource, cwd: str, options: Op
     contents = spark.createDataFrame(rows, _CONTENT)
     units, added, skipped = U.from_diff(files, lines, contents, options.exclude)
     java = _java_of(spark, root, G.tracked_java(root)) if any(p.lower().endswith(".xml") for p in names) else None
-    out = review(units, added, java, options, skipped)
-    out.held.append(parsed)
-    return out
+    return review(cut(units), cut(added), java, options, cut(skipped))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +15,7 @@ from lintlake.operators.java_structure import java_structure, table_of
 from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
 from lintlake.plans.catalogue import RULE_IDS, RULES, rules_table
+from lintlake.session import cut
 from lintlake.sources.units import companions_of
 
 
@@ -34,21 +35,16 @@ class Options:
 
 @dataclass
 class Review:
-    """findings, skipped and reviewed units as DataFrames; nothing runs before one of them is used."""
+    """findings, skipped and reviewed units as DataFrames."""
 
     findings: DataFrame
     skipped: DataFrame
     units: DataFrame
-    held: list[DataFrame] = field(default_factory=list)
 
-    def release(self) -> None:
-        for d in self.held:
-            d.unpersist()
 
-
-def scopes(units: DataFrame, structure: DataFrame) -> DataFrame:
+def scopes(units: DataFrame, structure: DataFrame, el: DataFrame | None = None) -> DataFrame:
     """All SQL scopes with their order in a file: statements, fragments, annotation SQL."""
-    el = mx.elements(units, "path")
+    el = mx.elements(units, "path") if el is None else el
     xml = mx.xml_scopes(el, "path")
     java = table_of(structure, "sql").select("path", F.array(F.lit(2), "ord", F.lit(0)).alias("scope_ord"), "kind", F.concat("kind", F.lit("Annotation")).alias("id"), "raw", X.flat(mx.strip_tags(F.col("raw"))).alias("resolved"), "line", F.col("line").alias("base"), F.lit("annotation").alias("source"), F.array().cast("array<string>").alias("unresolved"))
     w = Window.partitionBy("path").orderBy("scope_ord")
@@ -72,15 +68,16 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
     """Review units (lintlake.sources.units) under options.
 
     added: (path, line) that a diff added, for units that are not whole files. java_paths: (ord, path, content) of
-    files that may be companions of mappers. Structure is kept in memory across the rules until `release`.
+    files that may be companions of mappers. Structure is worked out once, for all rules, and written to the
+    checkpoint folder; the rules run when a result is used.
     """
     spark = units.sparkSession
-    gated = gates(units).persist()
+    gated = cut(gates(units))
     ready = gated.filter("refused is null").drop("refused")
-    structure = java_structure(ready).persist()
-    sc = scopes(ready, structure).persist()
+    structure = cut(java_structure(ready))
+    el = cut(mx.elements(ready, "path"))
+    sc = cut(scopes(ready, structure, el))
     java = rj.Java.of(structure)
-    el = mx.elements(ready.filter("lang = 'xml'"), "path")
     companions = companions_of(mx.namespace_of(el, "path"), java_paths) if java_paths is not None else spark.createDataFrame([], "path string, companion_path string, companion_content string")
     make = {
         "SPR001": lambda: rj.spr001(java), "SPR002": lambda: rj.spr002(java), "SPR003": lambda: rj.spr003(java), "SPR004": lambda: rj.spr004(java), "SPR005": lambda: rj.spr005(java), "SPR006": lambda: rj.spr006(java),
@@ -111,4 +108,4 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
     refused = gated.filter("refused is not null").select("unit_ord", F.lit(-2).alias("k"), "path", F.col("refused").alias("reason"))
     passed = pairs.filter("why is not null").select("unit_ord", F.col("rule_ord").alias("k"), "path", F.concat("id", F.lit(": "), "why").alias("reason"))
     own = refused.unionByName(blank).unionByName(passed).select(F.lit(2).alias("stage"), (F.col("unit_ord") * 100 + F.col("k")).cast("bigint").alias("seq"), "path", "reason")
-    return Review(found, own if skipped is None else skipped.unionByName(own), ready, [gated, structure, sc])
+    return Review(found, own if skipped is None else skipped.unionByName(own), ready)

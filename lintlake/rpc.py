@@ -44,7 +44,6 @@ def call(spark: SparkSession, name: str, args: dict[str, Any]) -> str:
     else:
         raise ValueError("review_diff needs a patch, or a range and cwd")
     out = reports.render_json(reports.Collected.of(r), indent=1)
-    r.release()
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -13,8 +15,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.variable.substitute": "false",  # sources are full of ${...}
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.maxPlanStringLength": "100000",
         "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (settings | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to spark.checkpoint.dir (a local folder only where none is set): plans built on it stay small."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lintlake-"))
+    return df.checkpoint()
