@@ -227,7 +227,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of `df` with the text that its array of ids decodes to (null: null)."""
-    schema = df.schema.add(out, "string") if out not in df.columns else df.schema
+    schema = T.StructType([*df.schema.fields, *([] if out in df.columns else [T.StructField(out, T.StringType())])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _bpe(path).bytes_of
