@@ -189,8 +189,7 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
                 yield pa.RecordBatch.from_arrays([pa.array(leaf_, pa.int32()), pa.array(chunk, pa.int32()), pa.array([True] * len(row)), ids.take(take), b.column("v").take(take)], names=["leaf", "chunk", "asks", "id", "v"])
 
     asked = rows.filter("asks").select("id", "v").repartition(F.col("id")).mapInArrow(route, "leaf int, chunk int, asks boolean, id long, v array<double>")
-    best = T.ArrayType(T.StructType().add("s", "double").add("id", "long"))
-    schema = T.StructType().add("query_id", "long").add("best", best)
+    schema = T.StructType().add("query_id", "long").add("ids", T.ArrayType(T.LongType())).add("s", T.ArrayType(T.DoubleType()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 2):
@@ -205,14 +204,24 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddi
             for a in range(0, len(want), 512):
                 part = want[a : a + 512]
                 rough = x[part] @ hx.T
-                out = [[{"s": float(s), "id": int(i)} for i, s in zip(*_top(hx, hid, x[w], r, int(ids[w]), k), strict=True)] for w, r in zip(part, rough, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(out, pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))], names=schema.names)
+                found = [_top(hx, hid, x[w], r, int(ids[w]), k) for w, r in zip(part, rough, strict=True)]
+                cuts = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in found])]).astype(np.int32))
+                flat = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(v))) for v in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), *flat], names=schema.names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of a query's lists; what several trees found has the same score in each."""
+        for t in grouped(batches, 1):
+            ids, s = (np.concatenate([np.asarray(x, dtype=kind) for x in t.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("s", np.float64)))
+            ids, first = np.unique(ids, return_index=True)
+            s = s[first]
+            order = np.lexsort((ids, -s))[:k]
+            n = len(order)
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("query_id")[0].as_py()] * n, pa.int64()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(ids[order]), pa.array(s[order])], names=["query_id", "rank", "vec_id", "score"])
 
     both = held.unionByName(asked).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
-    lists = both.mapInArrow(search, schema).groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("all"))
-    ordered = F.array_sort(F.array_distinct(F.transform("all", lambda x: F.struct((-x["s"]).alias("s"), x["id"].alias("id")))))
-    out = lists.select("query_id", F.posexplode(F.slice(ordered, 1, k)).alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    lists = both.mapInArrow(search, schema).repartition("query_id").sortWithinPartitions("query_id")
+    return lists.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
