@@ -135,3 +135,31 @@ def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a document is its own repository and its source the owner."""
     return scan(table(spark, sf_dir, "documents")).drop("live_values", "text_key")
+
+
+def _sql_spans(pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    """DuckDB: the spans of a pattern, from the lengths of gaps and matches."""
+    p = pattern.replace("'", "''").replace(r"\x20", " ")
+    size = "lambda s: length(s)"
+    gaps, hits, values = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}')", f"regexp_extract_all(t, '{p}', {group})"
+    start = f"list_sum(list_transform(({gaps})[1:i], {size})) + coalesce(list_sum(list_transform(({hits})[1:i - 1], {size})), 0)"
+    one = f"{{'start': CAST({start} AS INTEGER), 'kind': {kind}, 'e': CAST({start} + length(({hits})[i]) AS INTEGER), 'v': ({values})[i]}}"
+    return f"list_filter(list_transform(range(1, len({hits}) + 1), lambda i: {one}), lambda s: length(s.v) >= {least})"
+
+
+def _sql_joined(spans: str) -> str:
+    return f"array_to_string(list_transform(list_sort(list_transform({spans}, lambda s: {{'a': s.start, 'b': s.kind, 'c': s.e}})), lambda s: (['{"', '".join(KINDS)}'])[s.b + 1] || ':' || s.a || ':' || s.c), ',')"
+
+
+_SQL_LOOKS = f"(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT})"
+#: The rows of op8 in DuckDB.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, source, {_sql_spans(ASSIGN, 0, 2, 12)} AS a, {_sql_spans(ACCESS, 1)} AS k, {_sql_spans(HEX, 2)} AS h, {_sql_spans(TOKEN, 3)} AS x FROM d),
+g AS (SELECT doc_id, source, a, k, h, list_concat(list_concat(a, k), h) AS base, x FROM f),
+m AS (SELECT *, list_filter(x, lambda c: len(list_filter(base, lambda b: b.start < c.e AND c.start < b.e)) = 0) AS apart FROM g),
+u AS (SELECT doc_id, source, c, c.v AS v, more FROM (SELECT doc_id, source, unnest(base) AS c, false AS more FROM m UNION ALL SELECT doc_id, source, unnest(apart), true FROM m)),
+w AS (SELECT * FROM u WHERE NOT more OR {_SQL_LOOKS}),
+live AS (SELECT v FROM w GROUP BY v HAVING count(DISTINCT coalesce('=' || source, '')) <= {MAX_OWNERS} AND bool_or{_SQL_LOOKS}),
+extra AS (SELECT doc_id, list(DISTINCT {{'start': c.start, 'kind': 3, 'e': c.e, 'v': c.v}}) AS xs FROM w WHERE more AND v IN (SELECT v FROM live) GROUP BY doc_id)
+SELECT m.doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(k) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex, sha256({_sql_joined("base")}) AS base_sha256, {_sql_joined("CASE WHEN xs IS NULL THEN base ELSE list_concat(base, xs) END")} AS spans, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_live_added
+FROM m LEFT JOIN extra ON extra.doc_id = m.doc_id"""
