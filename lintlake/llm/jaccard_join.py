@@ -34,7 +34,7 @@ from lintlake.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
-LIMIT = 200
+LIMIT = 512
 DEPTH = 4
 BRANCHES = 2
 SKETCH = 128
@@ -210,9 +210,21 @@ def _sorted_groups(rows: DataFrame, group: str) -> DataFrame:
 
 
 def near_edges(buckets: DataFrame, floor: float) -> DataFrame:
-    """(u, v): within each bucket block, members that sketches join, tied to their least member."""
+    """(u, v): members that sketches join within bucket blocks; a task gives each node it has joined one edge.
+
+    A node is in several buckets of a task. Its edges are merged there first, so that what leaves the task is a
+    forest over the nodes that it has seen, however often they meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+
         for t in grouped(batches, 3):
             ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
             if len(ids) < 2:
@@ -224,8 +236,14 @@ def near_edges(buckets: DataFrame, floor: float) -> DataFrame:
                 near[k] = (s == s[k]).mean(1) >= floor
             label = _labels(near)
             moved = label != np.arange(len(ids))
-            if moved.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
+            for a, b in zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+        joined = [(x, root(x)) for x in list(top)]
+        for k in range(0, len(joined), 10_000):
+            u, v = zip(*joined[k : k + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return _sorted_groups(buckets, "path").mapInArrow(run, "u long, v long")
 
