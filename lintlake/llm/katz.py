@@ -35,8 +35,8 @@ from lintlake.llm.common import U64, crc_mod, mix, pieces, small_batches, span_h
 from lintlake.llm.jaccard_join import grouped
 
 CUT = 5
-BUCKET = 2_500_000
-ROUNDS = 4
+BUCKET = 1_000_000
+ROUNDS = 5
 #: Tokens that a task gathers before it sends packed arrays.
 FLUSH = 1_000_000
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -171,7 +171,7 @@ class Plan:
 
 
 def _runs(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")  # short keys are sorted by radix
     edges = np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1, [len(of)]])
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         if z > a:
@@ -198,7 +198,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, np.nd
     for b in batches:
         buf, off = utf8(b.column("t"))
         k, use = b.column("key").to_numpy(), b.column("use").to_numpy(zero_copy_only=False)
-        for x, y in pieces(off):
+        for x, y in pieces(off, 1 << 17):  # arrays that stay in a core's cache
             t = tokens(buf[off[x] : off[y]], off[x : y + 1] - off[x])
             t.row += rows
             parts.append(t)
@@ -230,32 +230,29 @@ def unigram_counts(rows: DataFrame) -> DataFrame:
 
 
 def bigram_discounts(rows: DataFrame, buckets: int) -> Discounts:
-    """From the counts of counts of all training bigrams, a part of them at a time."""
-    sums = [0] * (CUT + 1)
-    for part in range(2):
-
-        def send(batches: Iterator[pa.RecordBatch], part: int = part) -> Iterator[pa.RecordBatch]:
-            for t, _, train in _gathered(batches):
-                use = train[t.row]
-                key = pair(t.prior[use], t.word[use])
-                key, n = _summed(key[key % U64(2) == part], np.ones(int((key % U64(2) == part).sum()), np.int64))
-                for bucket, at in _runs(_share(key, buckets, 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_bytes(key[at])], pa.binary()), pa.array([_bytes(np.minimum(n[at], CUT + 2).astype(np.uint8))], pa.binary())], names=["bucket", "k", "n"])
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in grouped(batches, 1):
-                key = np.frombuffer(b"".join(g.column("k").to_pylist()), U64)
-                n = np.frombuffer(b"".join(g.column("n").to_pylist()), np.uint8).astype(np.int64)
-                _, n = _summed(key, n)
-                got = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-                yield pa.RecordBatch.from_arrays([pa.array(range(1, CUT + 2), pa.int32()), pa.array(got, pa.int64())], names=["r", "n"])
-
-        sent = rows.mapInArrow(send, "bucket int, k binary, n binary")
-        got = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
-        for r in got:
-            sums[r.r - 1] += int(r.n)
-        release(rows.sparkSession)
-    return Discounts.good_turing(sums)
+    """From the counts of counts of all training bigrams; each task counts its own before it sends."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _, train in _gathered(batches):
+            use = train[t.row]
+            key = np.sort(pair(t.prior[use], t.word[use]))
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            key, n = key[at], np.minimum(np.diff(np.concatenate([at, [len(key)]])), CUT + 2).astype(np.uint8)
+            for bucket, at in _runs(_share(key, buckets, 1)):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_bytes(key[at])], pa.binary()), pa.array([_bytes(n[at])], pa.binary())], names=["bucket", "k", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, 1):
+            key = np.frombuffer(b"".join(g.column("k").to_pylist()), U64)
+            n = np.frombuffer(b"".join(g.column("n").to_pylist()), np.uint8).astype(np.int64)
+            _, n = _summed(key, n)
+            got = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, CUT + 2), pa.int32()), pa.array(got, pa.int64())], names=["r", "n"])
+
+    sent = rows.mapInArrow(send, "bucket int, k binary, n binary")
+    got = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
+    release(rows.sparkSession)
+    sums = {r.r: int(r.n) for r in got}
+    return Discounts.good_turing([sums.get(r, 0) for r in range(1, CUT + 2)])
 
 
 def frequent_contexts(rows: DataFrame, counts: DataFrame, uni: Unigrams, d: Discounts, contexts: np.ndarray) -> np.ndarray:
@@ -407,10 +404,10 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     uni = Unigrams.fit(counts)
     trained = rows.filter("use").count()
     buckets = max(2, math.ceil(uni.total * 1.25 / ROUNDS / BUCKET))
-    often = counts.filter(F.col("c") > BUCKET // 8).orderBy("w").toPandas()
+    often = counts.filter(F.col("c") > BUCKET // 4).orderBy("w").toPandas()
     words, n = often["w"].to_numpy(np.int64).view(U64), often["c"].to_numpy(np.int64)
-    contexts = np.sort(np.concatenate([words[words != END], np.array([START] if trained > BUCKET // 8 else [], U64)]).astype(U64))
-    bigrams = bigram_discounts(scan, buckets)
+    contexts = np.sort(np.concatenate([words[words != END], np.array([START] if trained > BUCKET // 4 else [], U64)]).astype(U64))
+    bigrams = bigram_discounts(scan, buckets * ROUNDS)
     figures = frequent_contexts(scan, counts, uni, bigrams, contexts) if len(contexts) else np.zeros((0, 3))
     plan = Plan(buckets, uni, bigrams, words, n, contexts, figures)
     sums = scored(scan, counts, plan).withColumnRenamed("key", "__key")
