@@ -7,8 +7,10 @@ interpolated probabilities and of context hashes with their backoff weights. A l
 most `SIZE ** ORDER` n-grams whatever the corpus holds; that bound (about 40 MB) is why it may be
 broadcast, `AT_ONCE` languages in one pass, and further languages in further passes.
 
-Each language has its own lower and upper band of log perplexity, the quartiles of its texts widened by
-`WIDTH` times their distance. Texts outside are rejected, as are those that fail the base rules: under 50
+Log perplexity scatters less the longer a text is, so each language has its own lower and upper band for each
+class of lengths (powers of two of bytes; classes of under `ENOUGH` texts look at their neighbours too): the
+median less `WIDTH` times its distance from the lower quartile, and plus `WIDTH` times that from the upper one,
+each side by its own spread. On normal scores these are Tukey's fences. Texts outside are rejected, as are those that fail the base rules: under 50
 words, or over half of the words in 3-word windows that come twice or more.
 
 Null texts have no words and fail. Null languages share one model. Rows are judged one by one, so repeated
@@ -30,10 +32,11 @@ from lintlake.llm.common import U64, mix, pieces, small_batches, span_hashes, st
 ORDER = 4
 SIZE = 40
 AT_ONCE = 8
-WIDTH = 3.0
-#: Bands are at least so far (in log10 perplexity, times WIDTH) from the quartiles.
-LEAST = 0.004
-BINS = 1000  # of one unit of log10 perplexity
+WIDTH = 4.0
+#: The least spread of a side (in log10 perplexity), and of texts to take it from.
+LEAST = 0.001
+ENOUGH = 30
+BINS = 4000  # of one unit of log10 perplexity
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -230,12 +233,12 @@ def _shared(key: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def perplexities(docs: DataFrame, models: dict[str, Model], text: str, lang: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep` columns with the base figures, __lang and log_ppl (log10 perplexity of a symbol; null without text)."""
+    """`keep` columns with the base figures, __lang, __class (of length) and log_ppl (log10 perplexity of a symbol; null without text)."""
     schema = docs.select(*keep).schema
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for n in names:
         schema = schema.add(n, "long")
-    schema = schema.add("__lang", "string").add("log_ppl", "double")
+    schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double")
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +260,29 @@ def perplexities(docs: DataFrame, models: dict[str, Model], text: str, lang: str
             size = np.diff(off)
             ppl = pa.array(-lost / np.maximum(size, 1), pa.float64(), mask=size == 0)
             cols = [pa.array(np.concatenate(v) if v else [], pa.int64()) for v in figures]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols, b.column(b.num_columns - 2), ppl], names=schema.names)
+            kind = pa.array(np.log2(np.maximum(size, 1)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols, b.column(b.num_columns - 2), kind, ppl], names=schema.names)
 
     return docs.select(*keep, _lang(lang).alias("__lang"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> dict[str, tuple[float, float]]:
-    """Lower and upper band of log perplexity of each language, from exact histograms with bins of 1 / BINS."""
-    rows = scored.filter(F.col("log_ppl").isNotNull() & ~F.col("base_failed")).groupBy("__lang", F.floor(F.col("log_ppl") * BINS).alias("bin")).count().collect()
-    found: dict[str, tuple[float, float]] = {}
-    for k in {r[0] for r in rows}:
-        own = sorted((r[1], r[2]) for r in rows if r[0] == k)
-        reach = np.cumsum([n for _, n in own])
-        low, high = (own[int(np.searchsorted(reach, q * reach[-1]))][0] / BINS for q in (0.25, 0.75))
-        room = width * max(high - low, LEAST)
-        found[k] = (low - room, high + room)
+def bands(scored: DataFrame, width: float = WIDTH) -> dict[tuple[str, int], tuple[float, float]]:
+    """Lower and upper band of log perplexity by language and class of length, from exact histograms with bins of 1 / BINS."""
+    bins = F.floor(F.col("log_ppl") * BINS).alias("bin")
+    rows = scored.filter(F.col("log_ppl").isNotNull() & ~F.col("base_failed")).groupBy("__lang", "__class", bins).count().collect()
+    texts: dict[str, list[tuple[int, int, int]]] = {}
+    for lang, *row in rows:
+        texts.setdefault(lang, []).append(tuple(row))
+    found: dict[tuple[str, int], tuple[float, float]] = {}
+    for lang, own in texts.items():
+        kind, at, n = np.array(sorted(own, key=lambda x: x[1])).T
+        for k in set(kind.tolist()):
+            far = np.abs(kind - k)
+            reach = next((d for d in range(int(far.max())) if n[far <= d].sum() >= ENOUGH), far.max())
+            near = far <= reach
+            sums = np.cumsum(n[near])
+            low, mid, high = (at[near][np.searchsorted(sums, q * sums[-1])] / BINS for q in (0.25, 0.5, 0.75))
+            found[lang, k] = (float(mid - width * max(mid - low, LEAST)), float(mid + width * max(high - mid, LEAST)))
     return found
 
 
@@ -295,10 +306,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     scored = stored(scored.withColumn("base_failed", failed), "perplexity")
     found = bands(scored, width)
-    pick = lambda i: F.create_map(*[F.lit(x) for k, v in found.items() for x in (k, v[i])])[F.col("__lang")] if found else F.lit(None).cast("double")
-    out = scored.withColumns({"ppl_low": pick(0), "ppl_high": pick(1)})
+    band = spark.createDataFrame([(*k, *v) for k, v in found.items()], "__lang string, __class long, ppl_low double, ppl_high double")
+    out = scored.join(F.broadcast(band), ["__lang", "__class"], "left").select(*scored.columns, "ppl_low", "ppl_high")
     inside = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("__lang")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("__lang", "__class")
 
 
 def _blank(docs: DataFrame, like: DataFrame) -> DataFrame:

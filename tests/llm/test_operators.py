@@ -149,6 +149,27 @@ def test_quality(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_bands_by_language_and_length(spark):
+    rng = np.random.default_rng(4)
+    parts = {"en": ["th", "er", "on", "an", "re", "he", "in", "ed"], "es": ["ci", "de", "qu", "os", "ar", "na", "ll", "mi"]}
+    word = lambda lang: "".join(rng.choice(parts[lang], rng.integers(1, 4)))
+    rows = []
+    for lang in parts:
+        for k in range(300):
+            rows.append((len(rows), " ".join(word(lang) for _ in range([60, 150, 400][k % 3])), lang, "clean"))
+        for k in range(8):
+            rows.append((len(rows), " ".join(word(lang) + "#$%&"[rng.integers(4)] * 3 for _ in range(400)), lang, "marks"))
+            rows.append((len(rows), " | ".join(word(lang) for _ in range(400)), lang, "menu"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    share = {(r.lang, r.kind): r.kept for r in quality.judge(df, keep=("lang", "kind")).groupBy("lang", "kind").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    for lang in parts:
+        assert share[lang, "clean"] >= 0.95 and share[lang, "marks"] == share[lang, "menu"] == 0
+    # the tails have their own spreads, and long texts narrower bands than short ones
+    scored = [("x", 8, 0.6 + (0.04 if k > 0 else 0.01) * k / 50, False) for k in range(-50, 51)] + [("x", 12, 0.6 + 0.002 * k / 50, False) for k in range(-50, 51)]
+    got = quality.bands(spark.createDataFrame(scored, "__lang string, __class long, log_ppl double, base_failed boolean"), 4.0)
+    assert np.allclose([*got["x", 8], *got["x", 12]], [0.58, 0.68, 0.596, 0.604], atol=0.003)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     code, n = np.unique(rng.integers(0, quality.SIZE**quality.ORDER, 4000) % 70_000, return_counts=True)
