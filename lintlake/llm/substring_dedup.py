@@ -1,9 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences (after a word that ends in . ! or ?, and at line breaks; a sentence of over
-`LONG` words is cut further after words that a hash picks, so that a long passage lines up wherever it is
-pasted). Every run of at least `SENTENCES` consecutive sentences that just reaches `WORDS` words, counted
-from its first sentence on and from its last one back, is hashed without regard to case and white space. A
+Texts are cut into sentences: after a word that ends in . ! or ?, at line breaks, and after words with the
+least hash of all up to `NEAR` words away, so that a passage lines up wherever it is pasted, also in mid-sentence. Every run of at
+least `SENTENCES` consecutive sentences that just reaches `WORDS` words, counted from its first sentence on,
+and back from its last one where that does not end at a picked word, is hashed without regard to case and
+white space. A
 hash that comes twice in the corpus is a repeated span; its first place, by document id and then position,
 stays, and every sentence that any other place covers is removed with the white space after it.
 
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 
 from lintlake.llm.common import U64, _power_tables, mix, pieces, small_batches, span_hashes, stored, table, utf8, word_spans
 
-SENTENCES = 3
-WORDS = 25
-LONG = 24
+SENTENCES = 2
+WORDS = 12
+NEAR = 3
 BITS = 1 << 25
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -38,19 +39,20 @@ _ENDS[list(b".!?")] = True
 
 @dataclass
 class Sentences:
-    """Sentences of some rows: byte starts, numbers of words before (n+1), sentences before each row, word hashes."""
+    """Sentences of some rows: byte starts, numbers of words before (n+1), sentences before each row, word hashes, whether they end at a mark or break."""
 
     starts: np.ndarray
     words: np.ndarray
     rows: np.ndarray
     hashes: np.ndarray
+    ended: np.ndarray
 
 
 def sentences(buf: np.ndarray, off: np.ndarray) -> Sentences:
     starts, ends, before = word_spans(buf, off)
     n = len(starts)
     if not n:
-        return Sentences(starts, np.zeros(1, np.int64), np.zeros(len(off), np.int64), np.zeros(0, U64))
+        return Sentences(starts, np.zeros(1, np.int64), np.zeros(len(off), np.int64), np.zeros(0, U64), np.zeros(0, bool))
     h = span_hashes(buf, starts, ends)
     breaks = np.concatenate([[0], np.cumsum(buf == 10)])
     last = _ENDS[buf[ends - 1]]
@@ -58,12 +60,17 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> Sentences:
     edge = before[1:-1]
     last[edge[edge > 0] - 1] = True
     last[-1] = True
-    stop = np.flatnonzero(last)
-    size = np.diff(np.concatenate([[-1], stop]))
-    last |= np.repeat(size > LONG, size) & (h % U64(8) == 0)
+    ended = last.copy()
+    owner = np.searchsorted(before, np.arange(n), side="right")
+    least = np.ones(n, bool)
+    for k in range(1, NEAR + 1):
+        apart = owner[k:] != owner[:-k]
+        least[k:] &= apart | (h[k:] < h[:-k])
+        least[:-k] &= apart | (h[:-k] <= h[k:])
+    last |= least
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     bounds = np.concatenate([first, [n]])
-    return Sentences(starts[first], bounds, np.searchsorted(first, before), h)
+    return Sentences(starts[first], bounds, np.searchsorted(first, before), h, ended[bounds[1:] - 1])
 
 
 def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +84,7 @@ def spans(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ok = e <= s.rows[row + 1]
     z = a + 1
     b = np.minimum(np.searchsorted(s.words, s.words[1:] - WORDS, side="right") - 1, z - SENTENCES)
-    fine = (b >= s.rows[row]) & (b >= 0)
+    fine = s.ended & (b >= s.rows[row]) & (b >= 0)
     pair = np.unique(np.concatenate([a[ok] * (n + 1) + e[ok], b[fine] * (n + 1) + z[fine]]))
     a, e = pair // (n + 1), pair % (n + 1)
     up, down = _power_tables(len(s.hashes) + 1)
