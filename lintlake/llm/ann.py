@@ -30,8 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import small_batches, table
-from lintlake.llm.jaccard_join import grouped
+from lintlake.llm.common import bounded_batches, grouped, table
 
 SAMPLE = 8192
 TREES = 10
@@ -140,7 +139,7 @@ def _top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, rough: np.ndarray, own:
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST, trees: int = TREES, probes: float = PROBES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for rows under `queries` the k nearest found of all rows."""
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    bounded_batches(spark)
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

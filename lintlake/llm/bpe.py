@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import small_batches, table
+from lintlake.llm.common import bounded_batches, table
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, with the same results.
 MEMORY = 500_000
@@ -200,7 +200,7 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[str | N
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """`keep` columns with n_tokens, ids_sha256, decoded_sha256 and, where asked, the ids as an array."""
-    small_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))

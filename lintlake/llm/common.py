@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts vary from a few bytes to megabytes, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch, the same for all operators: a plan is run long after it is built.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of the Arrow batches that Python workers get."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a local one on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintlake-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")
@@ -47,10 +51,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write `df` to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The shuffle files of the write are of no more use after it, so Spark is told to delete them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -126,6 +138,72 @@ def pieces(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def stretches(buf: np.ndarray, off: np.ndarray, limit: int = 1 << 17, long: int = 1 << 22) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Rows x .. y - 1, their bytes a .. z, and whether the last of them ends there.
+
+    Short rows come together, up to about `limit` bytes; a row of over `long` bytes comes alone, cut before white space.
+    """
+    for x, y in pieces(off, limit):
+        a, z = int(off[x]), int(off[y])
+        while y - x == 1 and z - a > long:
+            b = a + long
+            while b < z and not SPACES[buf[b]]:
+                more = np.flatnonzero(SPACES[buf[b : b + long]])
+                b = b + int(more[0]) if len(more) else min(b + long, z)
+            if b >= z:
+                break
+            yield x, y, a, b, False
+            a = b
+        yield x, y, a, z, True
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Non-negative integers of up to 64 bits as compressed byte planes."""
+    x = np.ascontiguousarray(x).astype(U64)
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    raw = planes.tobytes()
+    return np.array([len(x), width], np.int64).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data[:16], np.int64).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[16:], n * width, "zstd"), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(U64)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Like `pack`, for values in ascending order: their steps are smaller than they are."""
+    x = x.astype(U64)
+    return pack(np.concatenate([x[:1], x[1:] - x[:-1]]))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=U64)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first `keys` columns, from batches sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in range(keys)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cut = [0, *edge.tolist(), b.num_rows]
+        if rest and any(rest[-1].column(k)[-1] != b.column(k)[0] for k in range(keys)):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, z in zip(cut[:-2], cut[1:-1], strict=True):
+            yield pa.Table.from_batches([*rest, b.slice(a, z - a)])
+            rest = []
+        rest.append(b.slice(cut[-2]))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each row: starts, ends and the number of words before each row (n+1)."""
     word = WORD_BYTE[buf]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import U64, mix, pieces, small_batches, span_hashes, stored, table, utf8, word_spans
+from lintlake.llm.common import U64, bounded_batches, grouped, mix, pieces, span_hashes, stored, table, utf8, word_spans
 from lintlake.llm.components import components
 
 WORDS = 5
@@ -168,23 +168,6 @@ def reread(docs: DataFrame, text: str, words: int, wanted: DataFrame, what: str)
     return docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, data binary")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows that agree in the first `keys` columns, from batches sorted by them."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([*rest, b])
-        cols = [t.column(k).to_numpy() for k in range(keys)]
-        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        cut = [0, *edge.tolist()]
-        for a, z in zip(cut, cut[1:], strict=False):
-            yield t.slice(a, z - a)
-        rest = t.slice(cut[-1]).to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def _labels(near: np.ndarray) -> np.ndarray:
     """The least index that each index reaches over a symmetric boolean matrix."""
     label = np.arange(len(near))
@@ -309,7 +292,7 @@ def counted(assigned: DataFrame, name: str) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """doc_id, class_id (least id of the documents that links connect), copy_of (least id with equal shingles), n_links."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     floor = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / SKETCH)
     base = stored(first_pass(docs, doc_id, text, runs_for(similarity, recall), words), "shingles")
     nodes = stored(base.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_of"), F.first("roots").alias("roots")), "nodes")

@@ -1,74 +1,77 @@
-"""Language-model scores by Katz backoff over word bigrams.
+"""Language-model scores by Katz backoff over word n-grams (order `ORDER`, any order from 2).
 
-A text is its words (A-Z read as a-z) and one end token; the first token follows a start mark. The model is
-learnt from all training rows: unigram and bigram counts, discounted after Good and Turing up to a count of
+A text is its words (A-Z read as a-z) and one end token; the first tokens follow start marks. The model is
+learnt from all training rows: n-gram counts of every order, discounted after Good and Turing up to a count of
 `CUT`, and backoff weights that make every context's probabilities sum to exactly one over the vocabulary
-and one class of unknown words. A token's probability is its discounted bigram share where the bigram was
-seen, else the context's backoff weight times the unigram probability, which in turn falls back to the
-class of unknown words.
-
-Neither the vocabulary nor the bigrams are ever held in one place. Unigram counts are a stored table; bigram
-occurrences travel as packed arrays, first to the bucket of their word, where its count is attached, then to
-the bucket of their context, where the bigrams are counted, the backoff weight of each context is worked out
-and all tokens are scored. Buckets hold about `BUCKET` tokens whatever the input; words and contexts that are
-too frequent for one bucket are spread over all of them, and their figures are summed before. Contexts are
-taken in `ROUNDS` rounds, so that only a part of the occurrences is on disk at a time.
-
-Null texts count as empty: they have one token, the end. Rows that agree in id and text have the same score.
-Where nothing can be learnt, the unknown class has all probability (score 0). An empty table gives an empty
-result.
+and one class of unknown words. A token's probability is evaluated recursively: its discounted share of the
+context where the n-gram is kept, else the context's backoff weight times the probability of the next lower
+order, down to the unigrams and the class of unknown words. N-grams of order 3 and up are counted in full, but
+those seen once are discounted to nothing (`least`), as is usual for Katz models: their mass goes to backoff.
+
+How it runs. Texts are read once and written as `parts` of about `PART` tokens: local word numbers, and the
+hashes of the part's words. Each part asks for its **distinct** n-grams only, packed by hash range into buckets;
+a bucket adds up the parts' training counts, answers every part in the order it asked, and stores the counts.
+One part owns each n-gram: it adds the n-gram's discounted mass and lower-order probability to its context, whose
+sums go to buckets in the same way; those store the context's backoff weight and answer. A frequent word or
+n-gram is one entry a part wherever it occurs, so no key is hot, and nothing is broadcast or collected
+but counts of counts. The counts and contexts of a `Katz` model are stored tables by order and bucket; given to
+`fit_and_score` again, new texts are scored with them.
+
+Null texts count as empty: they have one token, the end. A null training flag counts as true. Rows are scored
+one by one, so repeated rows and ids are no matter. A text of over `PART` tokens is spread over several parts.
+Other columns are not read. Where nothing can be learnt, the unknown class has all probability (score 0). An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import U64, crc_mod, mix, pieces, small_batches, span_hashes, stored, table, utf8, word_spans
-from lintlake.llm.jaccard_join import grouped
+from lintlake.llm.common import U64, bounded_batches, crc_mod, grouped, mix, pack, pack_sorted, span_hashes, stored, stretches, table, unpack, unpack_sorted, utf8, word_spans
 
+ORDER = 3
 CUT = 5
-BUCKET = 1_000_000
-ROUNDS = 5
-#: Tokens that a task gathers before it sends packed arrays.
-FLUSH = 1_000_000
+#: Tokens of a part, and keys that a bucket gets from all parts.
+PART = 1_500_000
+BUCKET = 2_000_000
+#: Bytes of texts that are cut into words at once, and of a text that comes in stretches.
+STRETCH = (1 << 17, 1 << 22)
 START, END = U64(0x5354415254), U64(0x454E44)
+#: Kinds of rows on the way; answers have kinds from ANSWER on.
+PAYLOAD, ASK, MODEL, STATS, ANSWER = range(5)
+LAYOUT = "dest long, kind int, src long, a binary, b binary, c binary"
+NAMES = ["dest", "kind", "src", "a", "b", "c"]
 
 
 @dataclass(frozen=True)
 class Discounts:
-    """Factors for counts 1 .. CUT; larger counts are not discounted."""
+    """Factors for counts 1 .. CUT; larger counts are not discounted, those under `least` to nothing."""
 
     factors: tuple[float, ...]
+    least: int = 1
 
     @classmethod
-    def good_turing(cls, n: list[int]) -> Discounts:
+    def good_turing(cls, n: list[int], least: int = 1) -> Discounts:
         """From the numbers n[r - 1] of types with count r = 1 .. CUT + 1; absolute discounts where they fail."""
         common = (CUT + 1) * n[CUT] / n[0] if n[0] else 1.0
         found = []
         for r in range(1, CUT + 1):
             ratio = (r + 1) * n[r] / (r * n[r - 1]) if n[r - 1] else 0.0
             d = (ratio - common) / (1 - common) if common < 1 else 0.0
-            found.append(d if 0 < d < 1 else (r - 0.5) / r)
-        return cls(tuple(found))
+            found.append(0.0 if r < least else d if 0 < d < 1 else (r - 0.5) / r)
+        return cls(tuple(found), least)
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
         """Discounted counts."""
-        table_ = np.array([0.0, *self.factors, 1.0])
-        return table_[np.minimum(c, CUT + 1)] * c
-
-    def sql(self, c: str) -> Column:
-        out = F.when(F.col(c) > CUT, F.col(c).cast("double"))
-        for r, d in enumerate(self.factors, 1):
-            out = out.when(F.col(c) == r, F.lit(d * r))
-        return out
+        return np.array([0.0, *self.factors, 1.0])[np.minimum(c, CUT + 1)] * c
 
 
 @dataclass(frozen=True)
@@ -82,15 +85,10 @@ class Unigrams:
     unknown: float
 
     @classmethod
-    def fit(cls, counts: DataFrame) -> Unigrams:
-        sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-        total, words = int(sums.n or 0), int(sums.v or 0)
-        few = {int(r[0]): int(r[1]) for r in counts.filter(F.col("c") <= CUT + 1).groupBy("c").count().collect()}
-        n = [few.get(r, 0) for r in range(1, CUT + 2)]
+    def fit(cls, total: int, words: int, n: list[int]) -> Unigrams:
         d = Discounts.good_turing(n)
-        held = total - sum(float(f) * r * n[r - 1] for r, f in enumerate(d.factors, 1)) + 0.0
-        held -= total - sum(r * n[r - 1] for r in range(1, CUT + 1))  # counts over CUT keep all
-        left = held / total if total else 1.0
+        taken = sum(r * n[r - 1] * (1 - f) for r, f in enumerate(d.factors, 1))
+        left = taken / total if total else 1.0
         if total and left * (total + 1) < 1:  # next to nothing left: as if one unknown word had come once
             return cls(total, words, d, (total / (total + 1)) / (1 - left), 1 / (total + 1))
         return cls(total, words, d, 1.0, left)
@@ -106,316 +104,356 @@ class Unigrams:
 
 
 def context_weight(count: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Factor of seen bigrams' discounted shares, and backoff weight, of contexts.
+    """Of contexts: the factor that makes a discounted count a probability, and the backoff weight.
 
-    count: occurrences; mass: sum of discounted counts; lower: sum of the unigram probabilities of what was seen.
+    count: occurrences; mass: sum of discounted counts; lower: sum of lower-order probabilities of what is kept.
     """
     safe = np.maximum(count, 1)
     left = 1 - mass / safe
     floor = 0.5 / (safe + 0.5)
     # a context whose counts are all too large to be discounted leaves half a count to the unseen
-    factor = np.where(left < floor, (1 - floor) / np.maximum(mass / safe, 1e-300), 1.0)
+    scale = np.where(left < floor, (1 - floor) / np.maximum(mass, 1e-300), 1 / safe)
     left = np.maximum(left, floor)
-    return factor, np.where(count > 0, left / np.maximum(1 - lower, 1e-12), 1.0)
+    kept = mass > 0
+    return np.where(kept, scale, 0.0), np.where(kept, left / np.maximum(1 - lower, 1e-12), 1.0)
+
+
+# ------------------------------------------------------------------ parts
+
+
+def _row(dest: int, kind: int, src: int, *data: bytes) -> pa.RecordBatch:
+    cells = [pa.array([x], pa.binary()) for x in [*data, b"", b"", b""][:3]]
+    return pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([kind], pa.int32()), pa.array([src], pa.int64()), *cells], names=NAMES)
+
+
+def _cells(t: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    return zip(*[t.column(n).to_pylist() for n in NAMES], strict=True)
+
+
+def _joined(blobs: list[bytes]) -> bytes:
+    return np.array([len(blobs), *map(len, blobs)], np.int64).tobytes() + b"".join(blobs)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob[:8], np.int64)[0])
+    edge = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(blob[8 : 8 * (n + 1)], np.int64))])
+    return [blob[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
 
 @dataclass
-class Tokens:
-    """Tokens of some rows with what they follow, and the row of each."""
+class Gathered:
+    """Tokens on their way into a part: hashes with start marks, stretches of texts, and the rows they belong to."""
+
+    word: list[np.ndarray] = field(default_factory=list)
+    starts: list[np.ndarray] = field(default_factory=list)
+    text: list[np.ndarray] = field(default_factory=list)
+    use: list[np.ndarray] = field(default_factory=list)
+    ids: list[pa.Array] = field(default_factory=list)
+    size: int = 0
+
+    def row(self, part: int) -> pa.RecordBatch:
+        """The part: words by local number, where frequent ones have small numbers; tokens, stretches and rows."""
+        words, number, n = np.unique(np.concatenate(self.word), return_inverse=True, return_counts=True)
+        rank = np.argsort(-n, kind="stable")
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        ids = pa.concat_arrays(self.ids)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
+        starts, text, use = (np.concatenate(x) for x in (self.starts, self.text, self.use))
+        tokens = [pack(place[number]), pack(np.diff(starts, prepend=0)), pack(text), pack(use)]
+        return _row(part, PAYLOAD, self.size, pack(words[rank]), _joined(tokens), sink.getvalue().to_pybytes())
+
+
+def parts_of(rows: DataFrame, order: int) -> DataFrame:
+    """The texts of rows (id, use, t) as parts; src is their number of tokens. Texts are read once and whole."""
+    pads = np.full(order - 1, START)
+    full, stretch = PART, STRETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, texts, g = TaskContext.get().partitionId(), 0, 0, Gathered()
+        for b in batches:
+            buf, off = utf8(b.column("t"))
+            train = b.column("use").to_numpy(zero_copy_only=False)
+            carry = pads
+            for x, y, a, z, last in stretches(buf, off, *stretch):
+                s, e, before = word_spans(buf[a:z], off[x : y + 1] - a if y - x > 1 else np.array([0, z - a]))
+                h = span_hashes(buf[a:z], s, e)
+                n = np.diff(before)
+                length = len(pads) + n + last
+                at = np.cumsum(length) - length
+                word = np.full(int(length.sum()), END)
+                word[np.arange(len(h)) + np.repeat(at + len(pads) - before[:-1], n)] = h
+                for k in range(len(pads)):
+                    word[at + k] = carry[k]
+                carry = pads if last else np.concatenate([carry, h])[len(h) :]
+                g.word.append(word)
+                g.starts.append(at + g.size)
+                g.text.append((task << 32) + texts + x + np.arange(y - x))
+                g.use.append(train[x:y])
+                g.ids.append(b.column("id").slice(x, y - x))
+                g.size += len(word)
+                if g.size >= full:
+                    yield g.row((task << 24) + made)
+                    made, g = made + 1, Gathered()
+            texts += b.num_rows
+        if g.size:
+            yield g.row((task << 24) + made)
+
+    return rows.select("id", "use", "t").mapInArrow(run, LAYOUT)
 
-    word: np.ndarray
-    prior: np.ndarray
+
+@dataclass
+class Part:
+    """The tokens of a part: hashes with start marks, which of them are scored, and the stretch of each of those."""
+
+    hashes: np.ndarray
+    at: np.ndarray
     row: np.ndarray
+    text: np.ndarray
+    use: np.ndarray
+    ids: pa.Array
+    known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    @classmethod
+    def read(cls, a: bytes, b: bytes, c: bytes, order: int) -> Part:
+        number, steps, text, use = (unpack(x).view(np.int64) for x in _split(b))
+        starts = np.cumsum(steps)
+        scored = np.ones(len(number), bool)
+        for k in range(order - 1):
+            scored[starts + k] = False
+        at = np.flatnonzero(scored)
+        row = np.searchsorted(starts, at, side="right") - 1
+        return cls(unpack(a)[number], at, row, text, use.astype(bool), pa.ipc.open_stream(c).read_all().column(0).combine_chunks())
+
+    def keys(self, n: int, back: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams that end `back` tokens before a scored token, by hash, and the one of each such token."""
+        if (n, back) not in self.known:
+            at = self.at - back
+            h = mix(self.hashes[at - (n - 1)])
+            for k in range(n - 2, -1, -1):
+                h = mix(h * U64(0x9E3779B97F4A7C15) + self.hashes[at - k])
+            keys, of = np.unique(h, return_inverse=True)
+            self.known[n, back] = keys, of.astype(np.int32)
+        return self.known[n, back]
+
+
+def _asks(part: int, keys: np.ndarray, buckets: int, count: np.ndarray, sums: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """The part's keys, cut into the ranges of hashes that buckets have, with a count and two sums of each."""
+    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=U64)
+    edge = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
+    for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        cut = slice(edge[k], edge[k + 1])
+        yield _row(k, ASK, part, pack_sorted(keys[cut]), pack(count[cut]), _joined([pack(s[cut].view(U64)) for s in sums]) if sums else b"")
+
+
+# ------------------------------------------------------------------ buckets
+
 
+@dataclass
+class Bucket:
+    """What parts and stored tables say of the keys of a bucket, one after the other, and the distinct keys."""
+
+    rows: list[tuple[int, int, int, bytes, bytes, bytes]]
+    cuts: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> Tokens:
-    starts, ends, before = word_spans(buf, off)
-    rows = len(off) - 1
-    h = span_hashes(buf, starts, ends)
-    owner = np.repeat(np.arange(rows), np.diff(before))
-    word = np.full(len(h) + rows, END)
-    word[np.arange(len(h)) + owner] = h
-    prior = np.empty_like(word)
-    prior[1:] = word[:-1]
-    prior[before[:-1] + np.arange(rows)] = START
-    return Tokens(word, prior, np.repeat(np.arange(rows), np.diff(before) + 1))
+    @classmethod
+    def read(cls, t: pa.Table) -> Bucket:
+        rows = list(_cells(t))
+        keys = [unpack_sorted(r[3]) for r in rows]
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+        of = np.empty(len(flat), np.int32)
+        of[order] = np.cumsum(new) - 1
+        return cls(rows, np.cumsum([0, *map(len, keys)]), flat[order[new]], order[new], of)
+
+    def sums(self, values: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(self.of, weights=np.concatenate(values), minlength=len(self.keys))
+
+    def counts(self) -> np.ndarray:
+        return self.sums([unpack(r[4]).view(np.int64) for r in self.rows]).astype(np.int64)
+
+    def answers(self, kind: int, *flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for r, i, j in zip(self.rows, self.cuts[:-1], self.cuts[1:], strict=True):
+            if r[1] == ASK:
+                yield _row(r[2], kind, r[0], *[pack(x[i:j]) for x in flat])
+
+
+def count_bucket(batches: Iterator[pa.RecordBatch], n: int, least: int, learns: bool) -> Iterator[pa.RecordBatch]:
+    """Adds up the counts of each n-gram; answers each part twice the count, plus one for the n-gram's owner."""
+    for t in grouped(batches, 1):
+        b = Bucket.read(t)
+        total, owner = b.counts(), np.zeros(len(b.of), np.int64)
+        owner[b.first] = learns
+        yield from b.answers(ANSWER + 2 * n, total[b.of] * 2 + owner)
+        if learns:
+            few = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 2)[1 : CUT + 2]
+            for k, x in enumerate([total.sum(), (total > 0).sum(), *few]):
+                yield _row(k, STATS, int(x))
+            kept = total >= least
+            yield _row(b.rows[0][0], MODEL, -1, pack_sorted(b.keys[kept]), pack(total[kept]))
+
+
+def context_bucket(batches: Iterator[pa.RecordBatch], n: int, learns: bool) -> Iterator[pa.RecordBatch]:
+    """Adds up what is known of each context of n-grams; answers the factor of its n-grams and its backoff weight."""
+    for t in grouped(batches, 1):
+        b = Bucket.read(t)
+        count = b.counts()
+        mass, lower = (b.sums([unpack(_split(r[5])[k]).view(np.float64) for r in b.rows]) for k in (0, 1))
+        scale, back = context_weight(count, mass, lower)
+        yield from b.answers(ANSWER + 2 * n + 1, *[x[b.of].astype(np.float32).view(np.uint32) for x in (scale, back)])
+        if learns:
+            kept = mass > 0
+            yield _row(b.rows[0][0], MODEL, -1, pack_sorted(b.keys[kept]), pack(count[kept]), _joined([pack(x[kept].view(U64)) for x in (mass, lower)]))
+
+
+# ------------------------------------------------------------------ the model
 
 
-def pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(prior * U64(0x9E3779B97F4A7C15) + mix(word))
+@dataclass
+class Answers:
+    """What buckets have told a part, in the order of its own keys."""
 
+    cells: dict[int, list[tuple[bytes, bytes]]]
 
-def _share(key: np.ndarray, n: int, salt: int) -> np.ndarray:
-    return (mix(key + U64(salt)) % U64(n)).astype(np.int64)
+    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([unpack(a).view(np.int64) for a, _ in self.cells[ANSWER + 2 * n]])
+        return flat >> 1, (flat & 1).astype(bool)
+
+    def weights(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        scale, back = (np.concatenate([unpack(r[k]).astype(np.uint32).view(np.float32) for r in self.cells[ANSWER + 2 * n + 1]]) for k in (0, 1))
+        return scale.astype(np.float64), back.astype(np.float64)
 
 
 @dataclass
-class Plan:
-    """What all tasks know: buckets, frequent words with their counts, and frequent contexts with their figures."""
+class Katz:
+    """A learnt model: figures, and the stored tables of counts and contexts, rows (bucket `dest`, packed keys and values)."""
 
+    order: int
     buckets: int
     unigrams: Unigrams
-    bigrams: Discounts
-    words: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    figures: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
-
-    def spread(self, key: np.ndarray, other: np.ndarray, frequent: np.ndarray, salt: int) -> np.ndarray:
-        """The bucket of a key; of a frequent one, that of the pair."""
-        own = _share(key, self.buckets, salt)
-        if len(frequent):
-            hot = np.isin(key, frequent)
-            own[hot] = _share(pair(key[hot], other[hot]), self.buckets, salt)
-        return own
-
-
-def _runs(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")  # short keys are sorted by radix
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1, [len(of)]])
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        if z > a:
-            yield int(of[order[a]]), order[a:z]
-
-
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their numbers."""
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return key[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, np.ndarray, np.ndarray]]:
-    """(tokens, keys of their rows, which rows train) in runs of about FLUSH tokens."""
-    parts, keys, train, size, rows = [], [], [], 0, 0
-
-    def joined():
-        t = Tokens(np.concatenate([p.word for p in parts]), np.concatenate([p.prior for p in parts]), np.concatenate([p.row for p in parts]))
-        return t, np.concatenate(keys), np.concatenate(train)
-
-    for b in batches:
-        buf, off = utf8(b.column("t"))
-        k, use = b.column("key").to_numpy(), b.column("use").to_numpy(zero_copy_only=False)
-        for x, y in pieces(off, 1 << 17):  # arrays that stay in a core's cache
-            t = tokens(buf[off[x] : off[y]], off[x : y + 1] - off[x])
-            t.row += rows
-            parts.append(t)
-            keys.append(k[x:y])
-            train.append(use[x:y])
-            size += len(t.word)
-            rows += y - x
-            if size >= FLUSH:
-                yield joined()
-                parts, keys, train, size, rows = [], [], [], 0, 0
-    if parts:
-        yield joined()
-
-
-def _bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
-
-
-def unigram_counts(rows: DataFrame) -> DataFrame:
-    """(w, c) of all training tokens."""
+    discounts: dict[int, Discounts]
+    counts: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+
+    def probabilities(self, part: Part, told: Answers, n: int) -> np.ndarray:
+        """The probability of each scored token by n-grams, recursively from the lower orders."""
+        if n == 1:
+            return self.unigrams.p(told.counts(1)[0])[part.keys(1)[1]]
+        lower = self.probabilities(part, told, n - 1)
+        d, c, of = self.discounts[n], told.counts(n)[0], part.keys(n)[1]
+        scale, back = told.weights(n)
+        context = part.keys(n - 1, 1)[1]
+        share = d(np.where(c >= d.least, c, 0))[of]
+        return np.where(share > 0, scale[context] * share, back[context] * lower)
+
+
+def _beside(parts: DataFrame, told: list[DataFrame], order: int, f: Callable[[int, Part, Answers], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """f(part number, part, answers) in a task for each part, brought together with the answers to it."""
+    both = parts
+    for df in told:
+        both = both.unionByName(df.filter(F.col("kind") >= ANSWER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, train in _gathered(batches):
-            w, c = np.unique(t.word[train[t.row]], return_counts=True)
-            for a in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000])], names=["w", "c"])
-
-    return rows.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
-def bigram_discounts(rows: DataFrame, buckets: int) -> Discounts:
-    """From the counts of counts of all training bigrams; each task counts its own before it sends."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, train in _gathered(batches):
-            use = train[t.row]
-            key = np.sort(pair(t.prior[use], t.word[use]))
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            key, n = key[at], np.minimum(np.diff(np.concatenate([at, [len(key)]])), CUT + 2).astype(np.uint8)
-            for bucket, at in _runs(_share(key, buckets, 1)):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_bytes(key[at])], pa.binary()), pa.array([_bytes(n[at])], pa.binary())], names=["bucket", "k", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in grouped(batches, 1):
-            key = np.frombuffer(b"".join(g.column("k").to_pylist()), U64)
-            n = np.frombuffer(b"".join(g.column("n").to_pylist()), np.uint8).astype(np.int64)
-            _, n = _summed(key, n)
-            got = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-            yield pa.RecordBatch.from_arrays([pa.array(range(1, CUT + 2), pa.int32()), pa.array(got, pa.int64())], names=["r", "n"])
-
-    sent = rows.mapInArrow(send, "bucket int, k binary, n binary")
-    got = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
-    release(rows.sparkSession)
-    sums = {r.r: int(r.n) for r in got}
-    return Discounts.good_turing([sums.get(r, 0) for r in range(1, CUT + 2)])
-
-
-def frequent_contexts(rows: DataFrame, counts: DataFrame, uni: Unigrams, d: Discounts, contexts: np.ndarray) -> np.ndarray:
-    """(count, mass, lower) of the given contexts, from all their training bigrams."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, train in _gathered(batches):
-            use = train[t.row] & np.isin(t.prior, contexts)
-            v, w = t.prior[use], t.word[use]
-            order = np.lexsort((w, v))
-            v, w = v[order], w[order]
-            if len(v):
-                at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-                n = np.diff(np.concatenate([at, [len(v)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["v", "w", "n"])
-
-    each = rows.mapInArrow(send, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).join(counts, "w")
-    got = each.groupBy("v").agg(F.sum("n").alias("n"), F.sum(d.sql("n")).alias("mass"), F.sum(uni.discounts.sql("c") * (uni.scale / max(uni.total, 1))).alias("lower")).collect()
-    place = {int(c): k for k, c in enumerate(contexts.view(np.int64).tolist())}
-    out = np.zeros((len(contexts), 3))
-    for r in got:
-        out[place[r.v]] = (r.n, r.mass, r.lower)
-    return out
-
-
-def scored(rows: DataFrame, counts: DataFrame, plan: Plan) -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score), summed over all rows with the key; stored round by round."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(plan)
-    layout = "bucket int, w binary, v binary, c binary, d binary, k binary, u binary"
-    names = ["bucket", "w", "v", "c", "d", "k", "u"]
-
-    def row(bucket: int, *cols: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([_bytes(c)], pa.binary()) for c in cols]], names=names)
-
-    def unpacked(g: pa.Table):
-        w, v, c, d, k, u = ([np.frombuffer(x, kind) for x in g.column(n).to_pylist()] for n, kind in (("w", U64), ("v", U64), ("c", np.int64), ("d", np.uint32), ("k", np.int64), ("u", np.bool_)))
-        shift = np.cumsum([0, *map(len, k)])
-        return w, v, c, [x.astype(np.int64) + s for x, s in zip(d, shift, strict=False)], np.concatenate(k), np.concatenate(u)
-
-    def used(d: np.ndarray, keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers made dense over the rows that occur."""
-        own = np.zeros(len(keys), bool)
-        own[d] = True
-        return (np.cumsum(own) - 1)[d].astype(np.uint32), keys[own], train[own]
-
-    none = np.zeros(0, np.int64)
-
-    def give_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for b in batches:
-            w, c = b.column("w").to_numpy().view(U64), b.column("c").to_numpy()
-            for bucket, at in _runs(_share(w, p.buckets, 2)):
-                yield row(bucket, w[at], none, c[at], none, none, none)
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In the bucket of a word: its count; then on to the bucket of its context."""
-        p = shared.value
-        for g in grouped(batches, 1):
-            w, v, c, d, keys, train = unpacked(g)
-            tables = [k for k in range(len(w)) if not len(v[k])]
-            occur = [k for k in range(len(w)) if len(v[k])]
-            if not occur:
-                continue
-            have = np.concatenate([p.words, *[w[k] for k in tables]])
-            count = np.concatenate([p.counts, *[c[k] for k in tables]])
-            order = np.argsort(have)
-            have, count = have[order], count[order]
-            for part in (occur[k : k + 8] for k in range(0, len(occur), 8)):
-                ww, vv, dd = (np.concatenate([x[k] for k in part]) for x in (w, v, d))
-                at = np.minimum(np.searchsorted(have, ww), max(len(have) - 1, 0))
-                cc = np.where(have[at] == ww, count[at], 0) if len(have) else np.zeros(len(ww), np.int64)
-                for bucket, to in _runs(p.spread(vv, ww, p.contexts, 3)):
-                    yield row(bucket, ww[to], vv[to], cc[to], *used(dd[to], keys, train))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In the bucket of a context: its bigrams, their probabilities, sums by row."""
-        p = shared.value
-        for g in grouped(batches, 1):
-            w, v, c, d, keys, train = unpacked(g)
-            w, v, c, d = (np.concatenate(x) for x in (w, v, c, d))
-            key = pair(v, w)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            first = order[np.flatnonzero(new)]
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
-            n = np.bincount(group, weights=train[d], minlength=len(first)).astype(np.int64)
-            lower = p.unigrams.p(c[first])
-            own, context = np.unique(v[first], return_inverse=True)
-            share = p.bigrams(n)
-            figures = [np.bincount(context, weights=x, minlength=len(own)) for x in (n, share, np.where(n > 0, lower, 0))]
-            if len(p.contexts):
-                at = np.minimum(np.searchsorted(p.contexts, own), len(p.contexts) - 1)
-                hot = p.contexts[at] == own
-                for k in range(3):
-                    figures[k] = np.where(hot, p.figures[at, k], figures[k])
-            factor, back = context_weight(*figures)
-            seen = factor[context] * share / np.maximum(figures[0][context], 1)
-            value = np.log10(np.where(n > 0, np.maximum(seen, 1e-300), back[context] * lower))
-            ids, of = np.unique(keys, return_inverse=True)
-            of = of[d]
-            sums = [np.bincount(of, weights=x, minlength=len(ids)) for x in (np.ones(len(d)), c > 0, p.unigrams.base(c), value[group])]
-            some = sums[0] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), *[pa.array(s[some].astype(np.int64)) for s in sums[:2]], *[pa.array(s[some]) for s in sums[2:]]], names=["key", "n_tokens", "n_known", "base_score", "score"])
-
-    parts = []
-    for turn in range(ROUNDS):
-
-        def send(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            p = shared.value
-            for t, keys, train in _gathered(batches):
-                mine = np.flatnonzero(_share(t.prior, ROUNDS, 4) == turn)
-                w, v, d = t.word[mine], t.prior[mine], t.row[mine]
-                for bucket, at in _runs(p.spread(w, v, p.words, 2)):
-                    yield row(bucket, w[at], v[at], none, *used(d[at], keys, train))
-
-        sent = rows.mapInArrow(send, layout).unionByName(counts.mapInArrow(give_counts, layout))
-        placed = sent.repartition(plan.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(attach, layout)
-        got = placed.repartition(plan.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(score, "key long, n_tokens long, n_known long, base_score double, score double")
-        parts.append(stored(_by_key(got), "scores"))
-        release(spark)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _by_key(out)
-
-
-def _by_key(df: DataFrame) -> DataFrame:
-    return df.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished rounds: it does so once the plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, trained boolean, n_tokens, n_known, train_tokens, base_score, score of each row."""
+        for t in grouped(batches, 1):
+            cells: dict[int, list[tuple[bytes, bytes]]] = {}
+            for dest, kind, _, a, b, c in _cells(t):
+                if kind == PAYLOAD:
+                    part = Part.read(a, b, c, order)
+                else:
+                    cells.setdefault(kind, []).append((a, b))
+            yield from f(dest, part, Answers(cells))
+
+    return both.repartition("dest").sortWithinPartitions("dest", "kind", "src").mapInArrow(run, schema)
+
+
+def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, model: Katz | None = None) -> tuple[DataFrame, Katz]:
+    """The scores of all rows, and the model: that learnt from rows under `train`, or the given one, from which nothing is relearnt."""
     spark = docs.sparkSession
-    small_batches(spark, 64)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), body, F.coalesce(train, F.lit(True))).alias("key"), F.coalesce(train, F.lit(True)).alias("use"), body.alias("t"))
-    scan = rows.select("key", "use", "t")
-    counts = stored(unigram_counts(scan), "unigrams")
-    release(spark)
-    uni = Unigrams.fit(counts)
-    trained = rows.filter("use").count()
-    buckets = max(2, math.ceil(uni.total * 1.25 / ROUNDS / BUCKET))
-    often = counts.filter(F.col("c") > BUCKET // 4).orderBy("w").toPandas()
-    words, n = often["w"].to_numpy(np.int64).view(U64), often["c"].to_numpy(np.int64)
-    contexts = np.sort(np.concatenate([words[words != END], np.array([START] if trained > BUCKET // 4 else [], U64)]).astype(U64))
-    bigrams = bigram_discounts(scan, buckets * ROUNDS)
-    figures = frequent_contexts(scan, counts, uni, bigrams, contexts) if len(contexts) else np.zeros((0, 3))
-    plan = Plan(buckets, uni, bigrams, words, n, contexts, figures)
-    sums = scored(scan, counts, plan).withColumnRenamed("key", "__key")
-    ids = rows.select("doc_id", "key", "use")
-    times = ids.groupBy("key").agg(F.count("*").alias("times"))
-    out = ids.join(times, "key").join(sums, F.col("key") == F.col("__key"))
-    share = lambda c: (F.col(c) / F.col("times")).cast("long").alias(c)
-    return out.select("doc_id", F.col("use").alias("trained"), share("n_tokens"), share("n_known"), F.lit(uni.total).cast("long").alias("train_tokens"), *[(F.col(c) / F.col("times")).alias(c) for c in ("base_score", "score")])
+    bounded_batches(spark)
+    learns = model is None
+    use = F.coalesce(train, F.lit(True)) if learns and train is not None else F.lit(learns)
+    rows = docs.select(F.col(doc_id).alias("id"), use.alias("use"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if learns:
+        model = Katz(order, 1, Unigrams.fit(0, 0, [0] * (CUT + 1)), {}, {}, {})
+    order = model.order
+    parts = stored(parts_of(rows, order), "katz-parts")
+    if learns:
+        model.buckets = max(1, math.ceil(int(parts.agg(F.sum("src")).first()[0] or 0) / BUCKET))
+    buckets = model.buckets
+    told: list[DataFrame] = []
+
+    def settle(asks: DataFrame, tables: dict[int, DataFrame], n: int, task) -> DataFrame:
+        """Answers to the parts, and with learning the stored table of this order."""
+        if not learns:
+            asks = asks.unionByName(tables[n])
+        got = stored(asks.repartition("dest").sortWithinPartitions("dest", "src").mapInArrow(task, LAYOUT), f"katz-{n}")
+        told.append(got)
+        if learns:
+            tables[n] = got.filter(F.col("kind") == MODEL)
+        return got
+
+    for n in range(1, order + 1):
+        least = 1 if n < 3 else 2
+
+        def ask_counts(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for dest, _, _, a, t, c in _cells(b):
+                    part = Part.read(a, t, c, order)
+                    keys, of = part.keys(n)
+                    yield from _asks(dest, keys, buckets, np.bincount(of, weights=part.use[part.row], minlength=len(keys)).astype(np.int64))
+
+        got = settle(parts.mapInArrow(ask_counts, LAYOUT), model.counts, n, lambda batches, n=n, least=least: count_bucket(batches, n, least, learns))
+        if learns:
+            sums = {r[0]: int(r[1]) for r in got.filter(F.col("kind") == STATS).groupBy("dest").agg(F.sum("src")).collect()}
+            few = [sums.get(k, 0) for k in range(2, CUT + 3)]
+            if n == 1:
+                model.unigrams = Unigrams.fit(sums.get(0, 0), sums.get(1, 0), few)
+            else:
+                model.discounts[n] = Discounts.good_turing(few, least)
+
+    figures = Katz(order, buckets, model.unigrams, model.discounts, {}, {})  # what tasks get: no tables
+    for n in range(2, order + 1):
+
+        def ask_contexts(dest: int, part: Part, answers: Answers, n: int = n) -> Iterator[pa.RecordBatch]:
+            keys, context = part.keys(n - 1, 1)
+            of, d = part.keys(n)[1], figures.discounts[n]
+            c, owner = answers.counts(n)
+            lower = figures.probabilities(part, answers, n - 1)
+            place = np.zeros(len(c), np.int64)
+            place[of] = np.arange(len(of))  # any place of an n-gram: its context and lower probability are the same at all
+            own = owner & (c > 0)
+            at, c = place[own], c[own]
+            kept = c >= d.least
+            count, mass, low = (np.bincount(context[at], weights=x, minlength=len(keys)) for x in (c, np.where(kept, d(c), 0), np.where(kept, lower[at], 0)))
+            yield from _asks(dest, keys, buckets, count.astype(np.int64), [mass, low])
+
+        settle(_beside(parts, told, order, ask_contexts, LAYOUT), model.contexts, n, lambda batches, n=n: context_bucket(batches, n, learns))
+
+    schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("trained", "boolean").add("text", "long").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+
+    def score(dest: int, part: Part, answers: Answers) -> Iterator[pa.RecordBatch]:
+        n, of = len(part.use), part.row
+        c = answers.counts(1)[0][part.keys(1)[1]]
+        p = np.log10(np.maximum(figures.probabilities(part, answers, order), 1e-300))
+        known, tokens, base, sums = (np.bincount(of, weights=x, minlength=n) for x in (c > 0, np.ones(len(of)), figures.unigrams.base(c), p))
+        yield pa.RecordBatch.from_arrays([part.ids, pa.array(part.use), pa.array(part.text), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums)], names=schema.names)
+
+    each = _beside(parts, told, order, score, schema)
+    figures_of = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    out = each.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("trained").alias("trained"), *figures_of)
+    total = F.lit(model.unigrams.total).cast("long").alias("train_tokens")
+    return out.select("doc_id", "trained", "n_tokens", "n_known", total, "base_score", "score"), model
+
+
+def katz_scores(docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, trained boolean, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    return fit_and_score(docs, train, doc_id, text, order)[0]
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import crc_mod, pieces, small_batches, table, utf8
+from lintlake.llm.common import crc_mod, pieces, bounded_batches, table, utf8
 
 WINDOW = 256
 PER_LANGUAGE = 400
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
 
 def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns with lang_pred and score."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import U64, mix, pieces, small_batches, span_hashes, stored, table, utf8, word_spans
+from lintlake.llm.common import U64, mix, pieces, bounded_batches, span_hashes, stored, table, utf8, word_spans
 
 ORDER = 4
 SIZE = 40
@@ -289,7 +289,7 @@ def bands(scored: DataFrame, width: float = WIDTH) -> dict[tuple[str, int], tupl
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), width: float = WIDTH) -> DataFrame:
     """`keep` columns, the base figures, base_failed, log_ppl, the bands, and kept."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     grams = stored(count_ngrams(docs, text, lang), "ngrams")
     langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
     parts = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import U64, _power_tables, mix, pieces, small_batches, span_hashes, stored, table, utf8, word_spans
+from lintlake.llm.common import U64, _power_tables, mix, pieces, bounded_batches, span_hashes, stored, table, utf8, word_spans
 
 SENTENCES = 2
 WORDS = 12
@@ -185,7 +185,7 @@ def _remove(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `docs`, `text` without repeated sentences, n_sentences, n_removed, and removed_spans
     (start:end of removed stretches in code points of the old text, end exclusive, comma-joined)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     own = docs.withColumns({"__id": F.col(doc_id), "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     slim = own.select("__id", "__key", F.col(text).alias("__t"))
     repeated = stored(_count(slim).select("hash"), "repeated")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import small_batches, table
+from lintlake.llm.common import bounded_batches, table
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, with the same results.
@@ -122,7 +122,7 @@ def _counter(model_path: str, proof: Proof) -> Counter:
 
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of `docs` with n_tokens, the library's number of tokens of each whole text."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     proof = prove(model_path)
     schema = docs.select(*keep).schema.add("n_tokens", "long")
 

@@ -4,7 +4,6 @@ import collections
 import hashlib
 import math
 import re
-import zlib
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm import ann, bpe, components, jaccard_join, katz, langid, mixing, quality, secrets, substring_dedup, token_counts
+from lintlake.llm import ann, bpe, components, jaccard_join, langid, mixing, quality, secrets, substring_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -228,44 +227,6 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_katz(spark, monkeypatch):
-    monkeypatch.setattr(katz, "BUCKET", 400)  # many buckets, and frequent words spread over them
-    texts = [*TEXTS[:9], *[" ".join(f"the {chr(97 + (k * j) % 7)}" for j in range(60)) for k in range(12)]]
-    df = docs(spark, texts)
-    got = by_id(katz.katz_scores(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1))
-    tokens = {k: [*WORD.findall((t or "").translate(ASCII_LOWER)), "\0"] for k, t in enumerate(texts)}
-    train = [k for k in [*tokens, 0] if zlib.crc32(str(k).encode()) % 5 != 1]
-    uni, pair, context = collections.Counter(), collections.Counter(), collections.Counter()
-    for k in train:
-        for a, b in zip(["\1", *tokens[k]], tokens[k]):
-            uni[b] += 1
-            pair[a, b] += 1
-            context[a] += 1
-    total = sum(uni.values())
-    du, db = (katz.Discounts.good_turing([sum(c == r for c in x.values()) for r in range(1, katz.CUT + 2)]) for x in (uni, pair))
-    cut = lambda d, c: c * (d.factors[c - 1] if c <= katz.CUT else 1)
-    unknown = 1 - sum(cut(du, c) for c in uni.values()) / total
-    p = lambda w: cut(du, uni[w]) / total if uni[w] else unknown
-
-    def prob(a, w):
-        if not context[a]:
-            return p(w)
-        seen = {b: c for (x, b), c in pair.items() if x == a}
-        left, floor, factor = 1 - sum(cut(db, c) for c in seen.values()) / context[a], 0.5 / (context[a] + 0.5), 1
-        if left < floor:
-            factor, left = (1 - floor) / (1 - left), floor
-        return factor * cut(db, seen[w]) / context[a] if w in seen else left / (1 - sum(map(p, seen))) * p(w)
-
-    for k, t in tokens.items():
-        r = got[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(uni[w] > 0 for w in t), total)
-        assert math.isclose(r.base_score, sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(prob(a, w)) for a, w in zip(["\1", *t], t)), rel_tol=1e-6)
-    for a in ("the", "\1", "a"):
-        assert math.isclose(sum(prob(a, w) for w in uni) + prob(a, "never seen"), 1, rel_tol=1e-9)
-    assert katz.katz_scores(empty(spark), F.lit(True)).count() == 0
-
-
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs(spark, [*TEXTS, *[" ".join(sentence(100 * k + j) for j in range(8)) for k in range(1, 30)]]).drop("n", "hash", "path").write.parquet(f"{tmp_path}/documents.parquet")
