@@ -42,6 +42,8 @@ CUT = 5
 #: Tokens of a part, and keys that a bucket gets from all parts.
 PART = 1_500_000
 BUCKET = 2_000_000
+#: Rounds in which parts are scored.
+ROUNDS = 3
 #: Bytes of texts that are cut into words at once, and of a text that comes in stretches.
 STRETCH = (1 << 17, 1 << 22)
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -300,16 +302,22 @@ def count_bucket(batches: Iterator[pa.RecordBatch], n: int, least: int, learns:
 
 
 def context_bucket(batches: Iterator[pa.RecordBatch], n: int, learns: bool) -> Iterator[pa.RecordBatch]:
-    """Adds up what is known of each context of n-grams; answers the factor of its n-grams and its backoff weight."""
+    """Adds up what parts tell of each context of n-grams, or looks it up in a stored table; answers the factor of
+    its n-grams and its backoff weight."""
     for t in grouped(batches, 1):
         b = Bucket.read(t)
-        count = b.counts()
-        mass, lower = (b.sums([unpack(_split(r[5])[k]).view(np.float64) for r in b.rows]) for k in (0, 1))
-        scale, back = context_weight(count, mass, lower)
+        if learns:
+            mass, lower = (b.sums([unpack(_split(r[5])[k]).view(np.float64) for r in b.rows]) for k in (0, 1))
+            scale, back = context_weight(b.counts(), mass, lower)
+        else:
+            scale, back = np.zeros(len(b.keys)), np.ones(len(b.keys))
+            for r, i, j in zip(b.rows, b.cuts[:-1], b.cuts[1:], strict=True):
+                if r[1] == MODEL:
+                    scale[b.of[i:j]], back[b.of[i:j]] = (unpack(x).view(np.float64) for x in _split(r[5]))
         yield from b.answers(ANSWER + 2 * n + 1, *[x[b.of].astype(np.float32).view(np.uint32) for x in (scale, back)])
         if learns:
-            kept = mass > 0
-            yield _row(b.rows[0][0], MODEL, -1, pack_sorted(b.keys[kept]), pack(count[kept]), _joined([pack(x[kept].view(U64)) for x in (mass, lower)]))
+            kept = scale > 0
+            yield _row(b.rows[0][0], MODEL, -1, pack_sorted(b.keys[kept]), pack(b.counts()[kept]), _joined([pack(x[kept].view(U64)) for x in (scale, back)]))
 
 
 # ------------------------------------------------------------------ the model
@@ -325,9 +333,20 @@ class Answers:
         flat = np.concatenate([unpack(a).view(np.int64) for a, _ in self.cells[ANSWER + 2 * n]])
         return flat >> 1, (flat & 1).astype(bool)
 
-    def weights(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        scale, back = (np.concatenate([unpack(r[k]).astype(np.uint32).view(np.float32) for r in self.cells[ANSWER + 2 * n + 1]]) for k in (0, 1))
-        return scale.astype(np.float64), back.astype(np.float64)
+    def asked(self, part: Part, n: int, least: int) -> np.ndarray:
+        """Which contexts of n-grams a part asks about: a context seen fewer than `least` times keeps no n-gram."""
+        keys, (have, _) = part.keys(n - 1, 1)[0], part.keys(n - 1)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return (have[at] != keys) | (self.counts(n - 1)[0][at] >= least)  # those that begin a text are no n-grams
+
+    def weights(self, part: Part, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The factor and the backoff weight of each context of n-grams."""
+        asked = self.asked(part, n, least)
+        out = np.zeros(len(asked)), np.ones(len(asked))
+        for k in (0, 1):
+            if asked.any():
+                out[k][asked] = np.concatenate([unpack(r[k]).astype(np.uint32).view(np.float32) for r in self.cells[ANSWER + 2 * n + 1]])
+        return out
 
 
 @dataclass
@@ -347,7 +366,7 @@ class Katz:
             return self.unigrams.p(told.counts(1)[0])[part.keys(1)[1]]
         lower = self.probabilities(part, told, n - 1)
         d, c, of = self.discounts[n], told.counts(n)[0], part.keys(n)[1]
-        scale, back = told.weights(n)
+        scale, back = told.weights(part, n, d.least)
         context = part.keys(n - 1, 1)[1]
         share = d(np.where(c >= d.least, c, 0))[of]
         return np.where(share > 0, scale[context] * share, back[context] * lower)
@@ -431,7 +450,8 @@ def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id",
             at, c = place[own], c[own]
             kept = c >= d.least
             count, mass, low = (np.bincount(context[at], weights=x, minlength=len(keys)) for x in (c, np.where(kept, d(c), 0), np.where(kept, lower[at], 0)))
-            yield from _asks(dest, keys, buckets, count.astype(np.int64), [mass, low])
+            ask = answers.asked(part, n, d.least)
+            yield from _asks(dest, keys[ask], buckets, count[ask].astype(np.int64), [mass[ask], low[ask]])
 
         settle(_beside(parts, told, order, ask_contexts, LAYOUT), model.contexts, n, lambda batches, n=n: context_bucket(batches, n, learns))
 
@@ -444,7 +464,12 @@ def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id",
         known, tokens, base, sums = (np.bincount(of, weights=x, minlength=n) for x in (c > 0, np.ones(len(of)), figures.unigrams.base(c), p))
         yield pa.RecordBatch.from_arrays([part.ids, pa.array(part.use), pa.array(part.text), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums)], names=schema.names)
 
-    each = _beside(parts, told, order, score, schema)
+    # a part of the parts at a time, so that only that is on its way at once
+    each = None
+    for k in range(ROUNDS):
+        turn = lambda df, k=k: df.filter(F.pmod(F.xxhash64("dest"), F.lit(ROUNDS)) == k)
+        got = stored(_beside(turn(parts), [turn(df) for df in told], order, score, schema), "katz-scores")
+        each = got if each is None else each.unionByName(got)
     figures_of = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     out = each.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("trained").alias("trained"), *figures_of)
     total = F.lit(model.unigrams.total).cast("long").alias("train_tokens")
