@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm import ann, bpe, components, jaccard_join, langid, mixing, quality, secrets, substring_dedup, token_counts
+from lintlake.llm import ann, bpe, components, jaccard_join, langid, mixing, quality, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,30 +85,6 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
-def test_substring_dedup(spark):
-    got = by_id(substring_dedup.remove_repeats(docs(spark)))
-    assert got[0].text == TEXTS[0] and got[0].n_removed == 0
-    assert "w" in got[1].text and sentence(1003) not in got[1].text and sentence(21) in got[1].text
-    assert got[2].text == "" and got[3].text is None and got[6].text == "Hi"
-    assert substring_dedup.remove_repeats(empty(spark)).count() == 0
-
-
-def test_short_passages_in_mid_sentence(spark):
-    rng = np.random.default_rng(6)
-    prose = lambda n, size: " ".join(f"v{rng.integers(10**6)}" + "." * (j % size == size - 1) for j in range(n))
-    rows, runs = [], {}
-    for k in range(60):
-        n, size = 51 + k % 10, [9, 14, 20, 200][k % 4]
-        source, host = prose(200, size).split(), prose(150, size).split()
-        at, to = int(rng.integers(10, 130)), int(rng.integers(10, 130))
-        rows += [(k, " ".join(source)), (1000 + k, " ".join(host[:to] + source[at : at + n] + host[to:]))]
-        runs[1000 + k] = (source[at : at + n], host)
-    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
-    left = [len(set(passage) & set(got[k].text.split())) / len(passage) for k, (passage, _) in runs.items()]
-    assert max(left) < 1 and np.mean(left) < 0.3
-    assert all(set(host) <= set(got[k].text.split()) for k, (_, host) in runs.items())
-
-
 def brute_links(texts):
     sets = {}
     for k, t in enumerate(texts):
