@@ -1,4 +1,4 @@
-"""Language-model scores by Katz backoff over word n-grams (order `ORDER`, any order from 2).
+"""Language-model scores by Katz backoff over word n-grams (of order `ORDER`, or any other from 2).
 
 A text is its words (A-Z read as a-z) and one end token; the first tokens follow start marks. The model is
 learnt from all training rows: n-gram counts of every order, discounted after Good and Turing up to a count of
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import U64, bounded_batches, crc_mod, grouped, mix, pack, pack_sorted, span_hashes, stored, stretches, table, unpack, unpack_sorted, utf8, word_spans
 
-ORDER = 3
+#: Trigrams work too, but their tables and exchanges take more than four times the input on disk (see README).
+ORDER = 2
 CUT = 5
 #: Tokens of a part, and keys that a bucket gets from all parts.
 PART = 1_500_000
@@ -405,14 +406,14 @@ def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id",
     if learns:
         model.buckets = max(1, math.ceil(int(parts.agg(F.sum("src")).first()[0] or 0) / BUCKET))
     buckets = model.buckets
-    told: list[DataFrame] = []
+    told: list[tuple[int, DataFrame]] = []
 
     def settle(asks: DataFrame, tables: dict[int, DataFrame], n: int, task) -> DataFrame:
         """Answers to the parts, and with learning the stored table of this order."""
         if not learns:
             asks = asks.unionByName(tables[n])
         got = stored(asks.repartition("dest").sortWithinPartitions("dest", "src").mapInArrow(task, LAYOUT), f"katz-{n}")
-        told.append(got)
+        told.append((n, got))
         if learns:
             tables[n] = got.filter(F.col("kind") == MODEL)
         return got
@@ -453,7 +454,7 @@ def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id",
             ask = answers.asked(part, n, d.least)
             yield from _asks(dest, keys[ask], buckets, count[ask].astype(np.int64), [mass[ask], low[ask]])
 
-        settle(_beside(parts, told, order, ask_contexts, LAYOUT), model.contexts, n, lambda batches, n=n: context_bucket(batches, n, learns))
+        settle(_beside(parts, [df for m, df in told if m <= n], order, ask_contexts, LAYOUT), model.contexts, n, lambda batches, n=n: context_bucket(batches, n, learns))
 
     schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("trained", "boolean").add("text", "long").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
 
@@ -468,7 +469,7 @@ def fit_and_score(docs: DataFrame, train: Column | None, doc_id: str = "doc_id",
     each = None
     for k in range(ROUNDS):
         turn = lambda df, k=k: df.filter(F.pmod(F.xxhash64("dest"), F.lit(ROUNDS)) == k)
-        got = stored(_beside(turn(parts), [turn(df) for df in told], order, score, schema), "katz-scores")
+        got = stored(_beside(turn(parts), [turn(df) for _, df in told], order, score, schema), "katz-scores")
         each = got if each is None else each.unionByName(got)
     figures_of = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     out = each.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("trained").alias("trained"), *figures_of)
