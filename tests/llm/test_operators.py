@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm import ann, bpe, components, jaccard_join, langid, mixing, quality, secrets, token_counts
+from lintlake.llm import bpe, components, jaccard_join, langid, mixing, quality, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,24 +185,6 @@ def test_mixing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(1500, 16))
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, x[20].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
-    ids = np.array([*range(1500), 9060])
-    v = np.vstack([x, x[20]])
-    hit = []
-    for q, g in out.groupby("query_id"):
-        s = (v * v[np.searchsorted(ids, q)]).sum(1)
-        s[ids == q] = -np.inf
-        hit.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id)) / 20)
-        assert g.sort_values("rank").score.is_monotonic_decreasing and len(g) == 20
-    assert len(hit) == 76 and np.mean(hit) >= 0.9
-    assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
-
-
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs(spark, [*TEXTS, *[" ".join(sentence(100 * k + j) for j in range(8)) for k in range(1, 30)]]).drop("n", "hash", "path").write.parquet(f"{tmp_path}/documents.parquet")
