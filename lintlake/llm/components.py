@@ -37,5 +37,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(mark) == before:
             break
         before = tuple(mark)
+    else:
+        raise RuntimeError(f"the components have not settled after {rounds} rounds")
     tops = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))

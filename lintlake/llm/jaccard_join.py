@@ -3,24 +3,28 @@
 A text is the set of its five-word shingles (ASCII case folded; shorter texts are one shingle). Texts with
 equal sets are one node. In each of `runs` repeats a node is put into the bucket of a token sampled from its
 set by a hash that all sets share; buckets over `limit` are split again, on two sampled tokens of each
-member, until they are small. Two sets of similarity s share a sampled token with chance s, so the number of
-repeats follows from the target recall (`runs_for`). Inside small buckets all members are compared by
-128-value sketches. Buckets that stay large at `depth` are cut into blocks, and all pairs of blocks
-compared, so no bucket is capped. Nodes that sketches find near form groups; each group is brought together
-once, in blocks of bounded size, and every link is decided on the whole sets.
+member, until they are small. Two sets of similarity s share a sampled token with chance s, and stay together at a
+split with chance 1 - (1 - s)^2; the number of repeats follows from the target recall with every split that may come
+(`runs_for`). Inside small buckets members are compared by brute force, on 128-value sketches first. Buckets that stay
+large at `depth` are cut into blocks, and all pairs of blocks compared, so no bucket is capped.
 
-No text moves between machines: each pass reads the documents again and keeps the nodes that a bitmap of
-fixed size lets through. No pair is ever a row; links are counted where they are found, and only edges to
-the least member of what a block joins are kept.
+A pair that meets in several buckets belongs to the one with the least path. Where sketches find a pair near in
+its own bucket, both sets are brought there, and the link is decided on the whole sets: only pairs that have met
+are compared. No pair is ever a row; links are counted where they are found, and only edges to the least member of
+what a block joins are kept for the classes.
+
+No text moves between machines: each pass reads the documents again and keeps the nodes that a bitmap lets through
+(sized by the number of nodes, up to `MOST_BITS`; beyond that it only lets more through).
 
 Null texts and texts without words have no shingles: they link to nothing and are their own class. Repeated
-rows are copies of one node. An empty table gives an empty result.
+rows are copies of one node. Only the id and the text are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,13 @@ BRANCHES = 2
 SKETCH = 128
 #: Sketches let pairs through down to so many standard deviations below the similarity.
 SLACK = 4.0
-BITS = 1 << 24
-BLOCK = 256
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
-def runs_for(similarity: float, recall: float) -> int:
-    """Repeats after which a pair at the threshold was in one bucket at least once, with the target chance."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity))
+def runs_for(similarity: float, recall: float, depth: int = DEPTH, branches: int = BRANCHES) -> int:
+    """Repeats after which a pair at the threshold was in one last bucket at least once, with the target chance."""
+    once = similarity * (1 - (1 - similarity) ** branches) ** (depth - 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +113,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame, doc_id: str, text: str, runs: int, words: int) -> DataFrame:
-    """(doc_id, node, roots): the node of each document (null without words) and its bucket in each run."""
-    schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("node", "long").add("roots", T.ArrayType(T.LongType()))
+    """(doc_id, text_key, node, roots): a hash of each text, its node (null without words) and the bucket in each run."""
+    schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("text_key", "long").add("node", "long").add("roots", T.ArrayType(T.LongType()))
     seeds = mix(np.arange(1, runs + 1, dtype=U64) * U64(7919))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = utf8(b.column(1))
+            buf, off = utf8(b.column(2))
             nodes, roots, none = [np.zeros(0, np.int64)], [np.zeros((0, runs), np.int64)], [np.zeros(0, bool)]
             for x, y in pieces(off):
                 v, cuts = shingle_sets(buf[off[x] : off[y]], off[x : y + 1] - off[x], words)
@@ -124,26 +128,27 @@ def first_pass(docs: DataFrame, doc_id: str, text: str, runs: int, words: int) -
                 none.append(cuts[1:] == cuts[:-1])
             n = b.num_rows
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * runs), pa.array(np.concatenate(roots).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(nodes), mask=np.concatenate(none)), flat], names=["doc_id", "node", "roots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(nodes), mask=np.concatenate(none)), flat], names=["doc_id", "text_key", "node", "roots"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of BITS bits (2 MB whatever the input) with the bits of all nodes set."""
-    at = nodes.select(F.pmod("node", F.lit(BITS).cast("long")).alias("at"))
+    """Packed bits of all nodes, about eight for each, but MOST_BITS at the most."""
+    bits = min(max(LEAST_BITS, 1 << (8 * nodes.count()).bit_length()), MOST_BITS)
+    at = nodes.select(F.pmod("node", F.lit(bits).cast("long")).alias("at"))
     rows = at.selectExpr("cast(at div 64 as int) AS w", "shiftleft(1L, cast(at % 64 as int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")[:BITS].astype(bool)
+    return out.view(np.uint8)
 
 
 def reread(docs: DataFrame, text: str, words: int, wanted: DataFrame, what: str) -> DataFrame:
     """(node, data) of the nodes that the bitmap of `wanted` lets through, each once for a task: sets or sketches."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(wanted)))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(bits.value).astype(bool)
+        mask = bits.value
         seen: set[int] = set()
         for b in batches:
             buf, off = utf8(b.column(0))
@@ -151,7 +156,8 @@ def reread(docs: DataFrame, text: str, words: int, wanted: DataFrame, what: str)
                 v, cuts = shingle_sets(buf[off[x] : off[y]], off[x : y + 1] - off[x], words)
                 ids = _signed(node_ids(v, cuts))
                 rows = []
-                for k in np.flatnonzero(mask[np.mod(ids, BITS)] & (cuts[1:] > cuts[:-1])).tolist():
+                at = np.mod(ids, len(mask) * 8)
+                for k in np.flatnonzero((mask[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (cuts[1:] > cuts[:-1])).tolist():
                     if (i := int(ids[k])) not in seen:
                         seen.add(i)
                         rows.append(k)
@@ -192,78 +198,86 @@ def _sorted_groups(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def near_edges(buckets: DataFrame, floor: float) -> DataFrame:
-    """(u, v): members that sketches join within bucket blocks; a task gives each node it has joined one edge.
-
-    A node is in several buckets of a task. Its edges are merged there first, so that what leaves the task is a
-    forest over the nodes that it has seen, however often they meet.
-    """
+@dataclass
+class Block:
+    """The members of a pair of blocks of one bucket, each once, and which pairs belong to it."""
+
+    path: int
+    ids: np.ndarray
+    at: np.ndarray
+    sketch: np.ndarray
+    todo: np.ndarray
+
+    @classmethod
+    def read(cls, t: pa.Table) -> Block:
+        ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
+        take = pa.array(at)
+        path, i, j = (t.column(c)[0].as_py() for c in ("path", "i", "j"))
+        own = t.column("own").to_numpy()[at]
+        sketch = np.frombuffer(b"".join(t.column("sketch").combine_chunks().take(take).to_pylist()), np.uint16).reshape(len(ids), -1)
+        lists = t.column("paths").combine_chunks().take(take)
+        flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        before = flat < path
+        seen, col = np.unique(flat[before], return_inverse=True)
+        member = np.zeros((len(ids), len(seen)), np.float32)
+        member[row[before], col] = 1
+        # not pairs that meet under a lesser path; pairs inside one block belong to the pair (block, block)
+        todo = (member @ member.T == 0) & ((own[:, None] != own[None, :]) | (i == j))
+        return cls(path, ids, at, sketch, np.triu(todo, 1))
+
+    def near(self, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member those after it that sketches find near, of the pairs that belong here."""
+        for k in np.flatnonzero(self.todo.any(1)).tolist():
+            others = np.flatnonzero(self.todo[k])
+            others = others[(self.sketch[others] == self.sketch[k]).mean(1) >= floor]
+            if len(others):
+                yield k, others
+
+
+_MEMBER = "path long, i int, j int, own int, node long, sketch binary, paths array<long>"
+
+
+def meetings(buckets: DataFrame, floor: float) -> DataFrame:
+    """Members of blocks that sketches find near to another one there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := top.get(x, x)) != x:
-                top[x] = top.get(up, up)
-                x = up
-            return x
-
         for t in grouped(batches, 3):
-            ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
-            if len(ids) < 2:
-                continue
-            data = t.column("data").combine_chunks().take(pa.array(at)).to_pylist()
-            s = np.frombuffer(b"".join(data), np.uint16).reshape(len(ids), -1)
-            near = np.empty((len(ids), len(ids)), bool)
-            for k in range(len(ids)):
-                near[k] = (s == s[k]).mean(1) >= floor
-            label = _labels(near)
-            moved = label != np.arange(len(ids))
-            for a, b in zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    top[max(a, b)] = min(a, b)
-        joined = [(x, root(x)) for x in list(top)]
-        for k in range(0, len(joined), 10_000):
-            u, v = zip(*joined[k : k + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            b = Block.read(t)
+            met = np.zeros(len(b.ids), bool)
+            for k, others in b.near(floor):
+                met[k] = met[others] = True
+            if met.any():
+                yield from t.take(pa.array(b.at[met])).to_batches()
 
-    return _sorted_groups(buckets, "path").mapInArrow(run, "u long, v long")
+    return _sorted_groups(buckets.select("path", "i", "j", "own", "node", "sketch", "paths"), "path").mapInArrow(run, _MEMBER)
 
 
 def links_of(members: DataFrame, similarity: float, floor: float) -> DataFrame:
-    """(node, other, links): exact decisions inside each block pair of a group.
+    """(node, other, links): exact decisions on whole sets for the pairs that have met in a block.
 
-    links: documents behind the nodes that a node links to in this pair of blocks; other: the least node joined.
+    links: documents behind the nodes that a node links to there; other: the least node joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 3):
-            ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
-            if len(ids) < 2:
-                continue
-            take = pa.array(at)
-            own, copies = (t.column(c).to_numpy()[at] for c in ("own", "copies"))
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            sets = [np.frombuffer(x, U64) for x in t.column("data").combine_chunks().take(take).to_pylist()]
+            b = Block.read(t)
+            copies = t.column("copies").to_numpy()[b.at]
+            sets = [np.frombuffer(x, U64) for x in t.column("data").combine_chunks().take(pa.array(b.at)).to_pylist()]
             size = np.array([len(x) for x in sets])
-            s = sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
-            near = np.eye(len(ids), dtype=bool)
-            for a in range(len(ids) - 1):
-                # pairs inside one block belong to the pair (block, block)
-                maybe = ((s[a + 1 :] == s[a]).mean(1) >= floor) & ((own[a + 1 :] != own[a]) | (i == j))
-                low, high = np.minimum(size[a + 1 :], size[a]), np.maximum(size[a + 1 :], size[a])
-                for b in (np.flatnonzero(maybe & (low >= similarity * high - 1e-9)) + a + 1).tolist():
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both >= similarity * (size[a] + size[b] - both) - 1e-9:
-                        near[a, b] = near[b, a] = True
+            near = np.eye(len(b.ids), dtype=bool)
+            for k, others in b.near(floor):
+                low, high = np.minimum(size[others], size[k]), np.maximum(size[others], size[k])
+                for o in others[low >= similarity * high - 1e-9].tolist():
+                    both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+                    if both >= similarity * (size[k] + size[o] - both) - 1e-9:
+                        near[k, o] = near[o, k] = True
             label = _labels(near)
             count = near.astype(np.int64) @ copies - copies
             some = count > 0
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(count[some])], names=["node", "other", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[some]), pa.array(b.ids[label[some]]), pa.array(count[some])], names=["node", "other", "links"])
 
-    return _sorted_groups(members, "component").mapInArrow(run, "node long, other long, links long")
+    return _sorted_groups(members, "path").mapInArrow(run, "node long, other long, links long")
 
 
 def children(rows: DataFrame, branches: int) -> DataFrame:
@@ -291,11 +305,12 @@ def counted(assigned: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class_id (least id of the documents that links connect), copy_of (least id with equal shingles), n_links."""
+    """doc_id, class_id (least id of the documents that links connect), copy_of (least id with equal shingles), n_links,
+    text_key (a hash of the text), and stays: whether (doc_id, text_key) is the least of its class, or has no class."""
     bounded_batches(docs.sparkSession)
     floor = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    base = stored(first_pass(docs, doc_id, text, runs_for(similarity, recall), words), "shingles")
-    nodes = stored(base.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_of"), F.first("roots").alias("roots")), "nodes")
+    base = stored(first_pass(docs, doc_id, text, runs_for(similarity, recall, depth), words), "shingles")
+    nodes = stored(base.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("copy"), F.first("roots").alias("roots")), "nodes")
 
     small = []
     found = counted(nodes.select(F.explode("roots").alias("path"), "node").distinct(), "buckets")
@@ -314,24 +329,27 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     for s in small[1:]:
         buckets = buckets.unionByName(s)
 
-    sketched = stored(reread(docs, text, words, buckets.select("node").distinct(), "sketches").groupBy("node").agg(F.first("data").alias("data")), "sketches")
-    rows = _blocked(buckets.join(sketched, "node"), "path", "n", limit)
-    groups = components(near_edges(rows, floor))
-
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = stored(groups.join(sizes, "component").join(nodes.select("node", "copies"), "node"), "groups")
-    sets = reread(docs, text, words, members.select("node"), "sets").groupBy("node").agg(F.first("data").alias("data"))
-    linked = stored(links_of(_blocked(members.join(sets, "node"), "component", "n", BLOCK), similarity, floor), "links")
+    met = buckets.select("node").distinct()
+    sketched = reread(docs, text, words, met, "sketches").groupBy("node").agg(F.first("data").alias("sketch"))
+    paths = buckets.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    known = stored(sketched.join(paths, "node"), "sketches")
+    members = stored(meetings(_blocked(buckets.join(known, "node"), "path", "n", limit), floor), "meetings")
+    sets = reread(docs, text, words, members.select("node").distinct(), "sets").groupBy("node").agg(F.first("data").alias("data"))
+    decided = members.join(nodes.select("node", "copies"), "node").join(sets, "node")
+    linked = stored(links_of(decided.select("path", "i", "j", "own", "node", "sketch", "paths", "copies", "data"), similarity, floor), "links")
 
     joined = components(linked.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    least = joined.join(nodes.select("node", "copy_of"), "node").groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    of_node = nodes.select("node", "copies", "copy_of").join(joined.join(least, "component").select("node", "class_id"), "node", "left").join(counts, "node", "left")
-    of_node = of_node.select(F.col("node").alias("__node"), F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    least = joined.join(nodes.select("node", "copy"), "node").groupBy("component").agg(F.min("copy").alias("class"))
+    of_node = nodes.select("node", "copies", "copy").join(joined.join(least, "component").select("node", "class"), "node", "left").join(counts, "node", "left")
+    of_node = of_node.select(F.col("node").alias("__node"), F.coalesce("class", "copy").alias("class"), "copy", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = base.join(of_node, base["node"] == of_node["__node"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = F.col("node").isNull()
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("text_key") == F.col("class.text_key")))
+    of = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(f"{c}.doc_id"))
+    return out.select("doc_id", of("class").alias("class_id"), of("copy").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", stays.alias("stays"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate class and number of links."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("stays")

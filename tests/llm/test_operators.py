@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm import bpe, components, jaccard_join, langid, mixing, quality, secrets, token_counts
+from lintlake.llm import bpe, components, langid, mixing, quality, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,28 +85,6 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
-def brute_links(texts):
-    sets = {}
-    for k, t in enumerate(texts):
-        w = WORD.findall((t or "").translate(ASCII_LOWER))
-        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    return {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-
-
-def test_jaccard_join(spark, monkeypatch):
-    base = [f"t{k}" for k in range(60)]
-    group = [" ".join(base[:k] + [f"z{k}"] + base[k:]) for k in range(0, 60, 3)]
-    texts = [*TEXTS, *group]
-    links = brute_links(texts)
-    df = docs(spark, texts).limit(len(texts))
-    for limit in (512, 4):  # the second one splits every bucket to the last level
-        got = by_id(jaccard_join.jaccard_join(df, limit=limit))
-        assert {k: r.n_links for k, r in got.items()} == {k: sum(k in p for p in links) for k in range(len(texts))}
-        assert all(got[a].class_id == got[b].class_id for a, b in links)
-    assert got[3].class_id == 3 and got[2].copy_of == 0
-    assert jaccard_join.jaccard_join(empty(spark)).count() == 0
-
-
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components.components(chain).collect()}
