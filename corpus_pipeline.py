@@ -6,7 +6,6 @@ next stage's docs. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import bpe, jaccard_join, mixing, quality, secrets
-from lintlake.llm.common import shared_dir, table
+from lintlake.llm.common import stored, table
 
+#: What words are made of.
+WORD = r"[^\x20\x09-\x0D]"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,15 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id; of repeated rows with that id one."""
+    """One document of each class of near duplicates: that with the least id, of rows with that id the least text.
+
+    Rows are told apart by id and text, so a row goes only if its own text is a copy. Documents without words have
+    no class and stay; of rows that agree in id and text, and have words, one stays.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     classes = jaccard_join.jaccard_join(docs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    # only ids move; a document without an id has no class and stays
-    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").join(kept, "doc_id", "left_semi").select(F.col("doc_id").alias("__twice"))
-    once = out.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return out.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    # only ids and hashes move
+    gone = classes.filter(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
+    twice = classes.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_key").alias("twice_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("twice_id")) & (F.col("text_key") == F.col("twice_key"))
+    once = out.join(twice, same, "left_semi").filter(F.col("text").rlike(WORD)).groupBy("doc_id", "text_key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    rest = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    return rest.select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +72,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder and read again."""
+    """All stages over `documents`; each result is written to the shared folder and read again.
+
+    What a stage has written goes when the session ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/lintlake/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
     return docs
