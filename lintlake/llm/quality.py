@@ -1,24 +1,29 @@
 """Quality rules on n-gram perplexity.
 
-Texts are read as symbols of a fixed small alphabet (letters without case, a few classes of other bytes;
-see `SYMBOL`). Spark counts all n-grams of the whole corpus by language; from the counts a modified
-Kneser-Ney model is made for each language and stored in sorted arrays of n-gram hashes with their
-interpolated probabilities and of context hashes with their backoff weights. A language's model has at
-most `SIZE ** ORDER` n-grams whatever the corpus holds; that bound (about 40 MB) is why it may be
-broadcast, `AT_ONCE` languages in one pass, and further languages in further passes.
-
-Log perplexity scatters less the longer a text is, so each language has its own lower and upper band for each
-class of lengths (powers of two of bytes; classes of under `ENOUGH` texts look at their neighbours too): the
-median less `WIDTH` times its distance from the lower quartile, and plus `WIDTH` times that from the upper one,
-each side by its own spread. On normal scores these are Tukey's fences. Texts outside are rejected, as are those that fail the base rules: under 50
-words, or over half of the words in 3-word windows that come twice or more.
+A text is read as its UTF-8 bytes, with ORDER - 1 spaces before it. Spark counts all n-grams of the whole corpus by
+language and makes a modified Kneser-Ney model of them with joins on contexts and suffixes: the counts grow with
+what the corpus holds and are nowhere in one place. The model is stored in buckets, each with the sorted hashes of its
+n-grams, their interpolated log probabilities, and their backoff weights as contexts.
+
+Documents are dealt into parts of about `PART` bytes, in `ROUNDS` rounds so that only a part of the texts is on its way
+at once. A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets search their arrays
+and answer in the order asked; then each byte's probability is evaluated recursively: that of the longest n-gram
+stored, after the backoff weights of the longer contexts.
+
+A text has two perplexities, that of a byte and that of a word (all of the text's probability, by words): marks glued
+to words are cheap by the byte, but dear by the word. Both scatter less the longer a text is, so each language has its own
+lower and upper band of each for each class of lengths (powers of two of bytes; classes of under `ENOUGH` texts
+look at their neighbours too): the median less `WIDTH` times its distance from the lower quartile, and plus `WIDTH`
+times that from the upper one, each side by its own spread. Texts outside either band are rejected, as are those that
+fail the base rules: under 50 words, or over half of the words in 3-word windows that come twice or more.
 
 Null texts have no words and fail. Null languages share one model. Rows are judged one by one, so repeated
-ids are no matter. An empty table gives an empty result.
+ids are no matter. Of clashing names the result's own win. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from lintlake.llm.common import U64, mix, pieces, bounded_batches, span_hashes, stored, table, utf8, word_spans
-
-ORDER = 4
-SIZE = 40
-AT_ONCE = 8
-WIDTH = 4.0
+from pyspark.sql import types as T
+
+from lintlake.llm.common import U64, bounded_batches, grouped, mix, pack, pack_sorted, pieces, span_hashes, stored, table, unpack, unpack_sorted, utf8, word_spans
+
+ORDER = 5
+SIZE = 256
+WIDTH = 4.5
+#: Bytes of a part, rounds, and n-grams in a bucket of the model.
+PART = 8 << 20
+ROUNDS = 4
+BUCKET = 1_000_000
+#: Cells of a table that numbers n-grams; beyond that they are sorted.
+CELLS = 1 << 24
 #: The least spread of a side (in log10 perplexity), and of texts to take it from.
 LEAST = 0.001
 ENOUGH = 30
@@ -40,138 +51,204 @@ BINS = 4000  # of one unit of log10 perplexity
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
-def _symbols() -> np.ndarray:
-    """The symbol of each byte: 26 letters, space, digit, sentence marks, other marks, control; 9 classes of high bytes."""
-    of = np.full(256, 30, np.int64)
-    of[33:127] = 29
-    for c in b".,;:!?'\"()-":
-        of[c] = 28
-    of[48:58] = 27
-    of[[0x20, *range(9, 14)]] = 26
-    for k in range(26):
-        of[65 + k] = of[97 + k] = k
-    of[0x80:0xC0] = 31 + np.arange(64) % 8
-    of[0xC0:] = 39
-    return of
-
-
-SYMBOL = _symbols()
-_CODES = SIZE**ORDER
-
-
-def codes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte; before a row stand ORDER - 1 spaces."""
-    s = SYMBOL[buf]
-    at = np.arange(len(buf)) - np.repeat(off[:-1], np.diff(off))
-    out = s.copy()
-    for k in range(1, ORDER):
-        prior = np.full(len(s), 26, np.int64)
-        prior[k:] = s[:-k] if len(s) > k else s[:0]
-        prior[at < k] = 26
-        out += prior * SIZE**k
-    return out
+# ------------------------------------------------------------------ n-grams of some texts
+
+
+def padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of rows with ORDER - 1 spaces before each, and where the rows' own bytes stand."""
+    size = np.diff(off)
+    at = np.arange(len(buf)) + np.repeat(np.arange(1, len(size) + 1) * (ORDER - 1), size)
+    out = np.full(len(buf) + len(size) * (ORDER - 1), 32, np.uint8)
+    out[at] = buf
+    return out, at
 
 
 @dataclass
-class Model:
-    """Sorted n-gram hashes with log10 probabilities, sorted context hashes with log10 backoff weights."""
+class Grams:
+    """Numbered n-grams of each length: the code (bytes, first one highest) of each number, and the number at each byte.
 
-    grams: np.ndarray
-    probs: np.ndarray
-    contexts: np.ndarray
-    backoffs: np.ndarray
+    At the first n - 1 bytes of all there is none (number 0 stands there, and is never looked at).
+    """
 
-    @staticmethod
-    def hashes(code: np.ndarray, n: int) -> np.ndarray:
-        return mix(code.astype(U64) * U64(8) + U64(n))
+    codes: list[np.ndarray]
+    at: list[np.ndarray]
 
     @classmethod
-    def fit(cls, code: np.ndarray, count: np.ndarray) -> Model:
-        """Modified Kneser-Ney from the counts of the n-grams of the highest order."""
-        full = np.zeros(_CODES)
-        full[code] = count
-        counts = {ORDER: full.reshape((SIZE,) * ORDER)}
-        for n in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before an n-gram
-            counts[n] = (counts[n + 1] > 0).sum(0).astype(float)
-        lower = np.full((), 1 / SIZE)
-        grams, probs, contexts, backoffs = [], [], [], []
-        for n in range(1, ORDER + 1):
-            c = counts[n]
-            n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            d = [min(max(k - (k + 1) * y * b / a if a and b else 0.5 * k, 0.1 * k), 0.9 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-            cut = np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))
-            total = c.sum(-1, keepdims=True)
-            seen = total > 0
-            back = np.where(seen, cut.sum(-1, keepdims=True) / np.maximum(total, 1), 1.0)
-            p = np.where(seen, (c - cut) / np.maximum(total, 1), 0) + back * lower
-            at = np.flatnonzero(c.ravel() > 0)
-            grams.append(cls.hashes(at, n))
-            probs.append(np.log10(p.ravel()[at]))
-            ctx = np.flatnonzero(seen.ravel())
-            contexts.append(cls.hashes(ctx, n))
-            backoffs.append(np.log10(back.ravel()[ctx]))
-            lower = p
-        g, h = np.concatenate(grams), np.concatenate(contexts)
-        a, b = np.argsort(g), np.argsort(h)
-        return cls(g[a], np.concatenate(probs)[a].astype(np.float32), h[b], np.concatenate(backoffs)[b].astype(np.float32))
-
-    @staticmethod
-    def _search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 probabilities of n-grams: the longest stored suffix, after the backoff weights of longer contexts."""
-        out = np.zeros(len(code))
-        left = np.arange(len(code))
-        for n in range(ORDER, 0, -1):
-            own = code[left] % SIZE**n
-            at, found = self._search(self.grams, self.hashes(own, n))
-            out[left[found]] += self.probs[at[found]]
-            left, own = left[~found], own[~found]
-            at, found = self._search(self.contexts, self.hashes(own // SIZE, n))
-            out[left[found]] += self.backoffs[at[found]]
-        out[left] -= np.log10(SIZE)
-        return out
+    def read(cls, text: np.ndarray, order: int = ORDER) -> Grams:
+        codes, at = [np.zeros(1, np.int64)], [np.zeros(len(text), np.int32)]
+        for n in range(1, order + 1):
+            prior = at[-1]
+            pair = np.zeros(len(text), np.int64)
+            pair[n - 1 :] = (prior[n - 2 : -1] if n > 1 else prior).astype(np.int64) * SIZE + text[n - 1 :] if len(text) >= n else 0
+            own = pair[n - 1 :]
+            if len(codes[-1]) * SIZE <= CELLS:
+                seen = np.zeros(len(codes[-1]) * SIZE, bool)
+                seen[own] = True
+                kept = np.flatnonzero(seen)
+                number = np.zeros(len(seen), np.int32)
+                number[kept] = np.arange(len(kept))
+                of = number[own]
+            else:
+                kept, of = np.unique(own, return_inverse=True)
+            each = np.zeros(len(text), np.int32)
+            each[n - 1 :] = of
+            codes.append(codes[-1][kept // SIZE] * SIZE + kept % SIZE)
+            at.append(each)
+        return cls(codes, at)
 
 
 def _lang(lang: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit(""))
 
 
+def gram_hashes(lang: str, n: int, codes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of a language."""
+    raw = np.frombuffer(lang.encode(), np.uint8)
+    own = span_hashes(raw, np.array([0]), np.array([len(raw)]), folded=False)[0] if len(raw) else U64(0)
+    return mix(mix(codes.astype(U64) * U64(8) + U64(n)) + own)
+
+
+# ------------------------------------------------------------------ the model
+
+
 def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, n): all n-grams of all texts; each task adds up before it sends."""
+    """(lang, code, n): all n-grams of ORDER bytes of all texts; each task adds up before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for k, v in sums.items():
-                at = np.flatnonzero(v)
-                for i in range(0, len(at), 100_000):
-                    part = at[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(v[part], pa.int64())], names=["lang", "code", "n"])
-            sums.clear()
+            for k, texts in held.items():
+                g = Grams.read(np.concatenate(texts))
+                ends = np.concatenate([np.arange(ORDER - 1, len(t)) + a for t, a in zip(texts, np.cumsum([0, *map(len, texts)]), strict=False)])
+                n = np.bincount(g.at[ORDER][ends], minlength=len(g.codes[ORDER]))
+                kept = np.flatnonzero(n)
+                for i in range(0, len(kept), 100_000):
+                    own = kept[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.string()), pa.array(g.codes[ORDER][own]), pa.array(n[own])], names=["lang", "code", "n"])
+            held.clear()
 
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), dtype=object)
-            buf, off = utf8(b.column(1))
-            for x, y in pieces(off):
-                got = codes(buf[off[x] : off[y]], off[x : y + 1] - off[x])
-                of = np.repeat(langs[x:y], np.diff(off[x : y + 1]))
-                for k in set(langs[x:y]):
-                    if k not in sums:
-                        if len(sums) >= AT_ONCE:
-                            yield from sent()
-                        sums[k] = np.zeros(_CODES, np.int64)
-                    sums[k] += np.bincount(got[of == k], minlength=_CODES)
+            for k in dict.fromkeys(langs):
+                own = pa.array(np.flatnonzero(langs == k))
+                for t in _texts(b.column(1).take(own)):
+                    held.setdefault(k, []).append(t)
+                    size += len(t)
+            if size >= PART:
+                yield from sent()
+                size = 0
         yield from sent()
 
     each = docs.select(_lang(lang).alias("lang"), F.col(text).alias("__text")).mapInArrow(run, "lang string, code long, n long")
     return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """Padded texts, each by itself; empty ones are left out."""
+    buf, off = utf8(column)
+    for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if z > a:
+            yield np.concatenate([np.full(ORDER - 1, 32, np.uint8), buf[a:z]])
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3) of modified Kneser-Ney from counts of counts; half the count where they do not tell."""
+    few = counts.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    n = [None, *[F.col(f"n{k}") for k in (1, 2, 3, 4)]]
+    y = F.when((n[1] > 0) & (n[2] > 0), n[1] / (n[1] + 2 * n[2])).otherwise(0.5)
+    d = [F.least(F.greatest(F.when((n[k] > 0) & (n[k + 1] > 0), k - (k + 1) * y * n[k + 1] / n[k]).otherwise(0.5 * k), F.lit(0.1 * k)), F.lit(0.9 * k)) for k in (1, 2, 3)]
+    return few.select("lang", *[x.alias(f"d{k}") for k, x in enumerate(d, 1)])
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(lang, n, code, p, back): interpolated probabilities of n-grams, and their backoff weights as contexts.
+
+    n = 0 stands for the empty context. Lower orders count the different bytes before an n-gram. A context has
+    at most SIZE n-grams, and as many have a common suffix, so no key of the joins is hot.
+    """
+    counts = {ORDER: counted.withColumnRenamed("n", "c")}
+    for n in range(ORDER - 1, 0, -1):
+        counts[n] = stored(counts[n + 1].groupBy("lang", (F.col("code") % SIZE**n).alias("code")).agg(F.count("*").alias("c")), f"continuations-{n}")
+    lower = counts[1].select("lang").distinct().select("lang", F.lit(0).cast("long").alias("suffix"), F.lit(1 / SIZE).alias("lower"))
+    parts, contexts = [lower.select("lang", F.lit(0).alias("n"), F.col("suffix").alias("code"), F.col("lower").alias("p"))], []
+    for n in range(1, ORDER + 1):
+        c = F.col("c")
+        cut = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).otherwise(F.col("d1"))
+        own = counts[n].join(_discounts(counts[n]), "lang").select("lang", "code", "c", cut.alias("cut"), F.expr(f"code div {SIZE}").alias("context"), (F.col("code") % SIZE ** (n - 1)).alias("suffix"))
+        around = own.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("held")).select("lang", "context", "total", (F.col("held") / F.col("total")).alias("back"))
+        p = own.join(around, ["lang", "context"]).join(lower, ["lang", "suffix"]).select("lang", F.lit(n).alias("n"), "code", ((c - F.col("cut")) / F.col("total") + F.col("back") * F.col("lower")).alias("p"))
+        p = stored(p, f"kneser-ney-{n}")
+        parts.append(p)
+        contexts.append(around.select("lang", F.lit(n - 1).alias("n"), F.col("context").alias("code"), "back"))
+        lower = p.select("lang", F.col("code").alias("suffix"), F.col("p").alias("lower"))
+    grams, backs = parts[0], contexts[0]
+    for a in parts[1:]:
+        grams = grams.unionByName(a)
+    for a in contexts[1:]:
+        backs = backs.unionByName(a)
+    return grams.join(backs, ["lang", "n", "code"], "full")
+
+
+@dataclass
+class Model:
+    """Rows (bucket `dest`; sorted hashes, log10 probabilities and log10 backoff weights as arrays) and their number of buckets."""
+
+    rows: DataFrame
+    buckets: int
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+        counted = stored(count_ngrams(docs, text, lang), "ngrams")
+        grams = stored(kneser_ney(counted), "grams")
+        buckets = max(1, math.ceil(grams.count() / BUCKET))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                langs, n, code = np.array(b.column("lang").to_pylist(), dtype=object), b.column("n").to_numpy(), b.column("code").to_numpy()
+                h = np.zeros(len(n), U64)
+                for k in dict.fromkeys(langs):
+                    for m in np.unique(n[langs == k]).tolist():
+                        own = (langs == k) & (n == m)
+                        h[own] = gram_hashes(k, m, code[own])
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(h, buckets)), pa.array(h.view(np.int64)), *[b.column(c) for c in ("p", "back")]], names=["dest", "h", "p", "back"])
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in grouped(batches, 1):
+                h, p, back = (t.column(c).to_numpy() for c in ("h", "p", "back"))
+                order = np.argsort(h.view(U64))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cells = [pack_sorted(h.view(U64)[order]), *[np.log10(x.astype(float))[order].astype(np.float32).tobytes() for x in (p, back)]]
+                yield _row(t.column("dest")[0].as_py(), -1, *cells)
+
+        flat = grams.select("lang", "n", "code", "p", "back").mapInArrow(hashed, "dest long, h long, p double, back double")
+        return cls(stored(flat.repartition("dest").sortWithinPartitions("dest").mapInArrow(packed, _ROW), "sorted-arrays"), buckets)
+
+
+_ROW = "dest long, part long, a binary, b binary, c binary"
+
+
+def _row(dest: int, part: int, *cells: bytes) -> pa.RecordBatch:
+    each = [pa.array([x], pa.binary()) for x in [*cells, b"", b"", b""][:3]]
+    return pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([part], pa.int64()), *each], names=["dest", "part", "a", "b", "c"])
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets have equal ranges of hashes."""
+    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=U64)
+    return np.searchsorted(bounds, h, side="right").astype(np.int64)
+
+
+def search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the wanted values stand there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
+# ------------------------------------------------------------------ scores
+
+
 def base_figures(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
     rows = len(off) - 1
@@ -232,44 +309,126 @@ def _shared(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def perplexities(docs: DataFrame, models: dict[str, Model], text: str, lang: str, keep: tuple[str, ...]) -> DataFrame:
-    """`keep` columns with the base figures, __lang, __class (of length) and log_ppl (log10 perplexity of a symbol; null without text)."""
-    schema = docs.select(*keep).schema
+@dataclass
+class Part:
+    """The n-grams of a part by language, and the rows of each language."""
+
+    langs: list[str]
+    rows: list[np.ndarray]
+    sizes: list[np.ndarray]
+    own: list[np.ndarray]
+    grams: list[Grams]
+
+    @classmethod
+    def read(cls, langs: list[str], texts: pa.Array) -> Part:
+        all_ = np.array(langs, dtype=object)
+        out = cls([], [], [], [], [])
+        for k in sorted(set(langs)):
+            rows = np.flatnonzero(all_ == k)
+            buf, off = utf8(texts.take(pa.array(rows)))
+            text, own = padded(buf, off)
+            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text)), strict=True):
+                x.append(v)
+        return out
+
+    def asks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of all n-grams, and the place there of each n-gram, language by language and order by order."""
+        all_ = [gram_hashes(k, n, g.codes[n]) for k, g in zip(self.langs, self.grams, strict=True) for n in range(ORDER + 1)]
+        return np.unique(np.concatenate(all_), return_inverse=True)
+
+    def log10(self, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
+        """The sum of log10 probabilities of each row, from what is known of the asked hashes (NaN where nothing is)."""
+        of, start = self.asks()[1], 0
+        out = np.zeros(sum(map(len, self.rows)))
+        for rows, sizes, own, g in zip(self.rows, self.sizes, self.own, self.grams, strict=True):
+            p = None
+            for n in range(ORDER + 1):
+                here = of[start : start + len(g.codes[n])]
+                start += len(here)
+                found = logs[here][g.at[n][own]]
+                if p is not None:
+                    found = np.where(np.isnan(found), p + back[g.at[n - 1][own - 1]], found)
+                p, back = found, np.nan_to_num(backs[here])
+            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(p, nan=-math.log10(SIZE)))])
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            out[rows] = sums[cuts[1:]] - sums[cuts[:-1]]
+        return out
+
+
+#: What `judge` adds to the base figures.
+RESULT = ("log_ppl", "word_ppl", "base_failed", "ppl_low", "ppl_high", "word_low", "word_high", "kept")
+
+
+def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tuple[str, ...]) -> DataFrame:
+    """`keep` columns with the base figures, __lang, __class (of length), log_ppl and word_ppl (log10 perplexities of a byte and of a word; null without)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kept = [c for c in keep if c not in (*names, *RESULT)]
+    schema = docs.select(*kept).schema
     for n in names:
         schema = schema.add(n, "long")
-    schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double").add("word_ppl", "double")
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    parts, buckets = max(1, math.ceil(size / PART)), model.buckets
+    dealt = docs.withColumns({"__part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)), "__key": _lang(lang)})
+
+    def ask(t: pa.Table) -> pa.Table:
+        p = Part.read(t.column("__key").to_pylist(), t.column("__text").combine_chunks())
+        h = p.asks()[0]
+        edge = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
+        return pa.Table.from_batches([_row(k, t.column("__part")[0].as_py(), pack_sorted(h[edge[k] : edge[k + 1]])) for k in range(buckets) if edge[k + 1] > edge[k]], schema=_row(0, 0).schema)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 1):
+            keys, logs, backs = np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+            for dest, part, a, b, c in zip(*[t.column(x).to_pylist() for x in ("dest", "part", "a", "b", "c")], strict=True):
+                if part < 0:
+                    keys, logs, backs = unpack_sorted(a), np.frombuffer(b, np.float32), np.frombuffer(c, np.float32)
+                    continue
+                at, found = search(keys, unpack_sorted(a))
+                known = [np.where(found, x[at], np.float32(np.nan)) if len(keys) else np.full(len(at), np.nan, np.float32) for x in (logs, backs)]
+                yield _row(dest, part, *[pack(x.astype(np.float32).view(np.uint32)) for x in known])
+
+    def score(docs_: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs_.num_rows:
+            return pa.Table.from_batches([], schema=arrow)
+        texts = docs_.column("__text").combine_chunks()
+        p = Part.read(docs_.column("__key").to_pylist(), texts)
+        cells = sorted(zip(*[answers.column(x).to_pylist() for x in ("dest", "a", "b")], strict=True))
+        logs, backs = (np.concatenate([unpack(c[k]).astype(np.uint32).view(np.float32) for c in cells]).astype(float) for k in (1, 2))
+        if len(logs) != len(p.asks()[0]):
+            raise RuntimeError("the rows of a part have changed between two readings")
+        total = p.log10(logs, backs)
+        buf, off = utf8(texts)
+        figures: list[list[np.ndarray]] = [[] for _ in names]
+        for x, y in pieces(off):
+            for out, got in zip(figures, base_figures(buf[off[x] : off[y]], off[x : y + 1] - off[x]), strict=True):
+                out.append(got)
+        n = np.diff(off)
+        ppl = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        cols = [pa.array(np.concatenate(v), pa.int64()) for v in figures]
+        words = np.concatenate(figures[0]) if figures[0] else n
+        by_word = pa.array(-total / np.maximum(words, 1), pa.float64(), mask=words == 0)
+        kind = pa.array(np.log2(np.maximum(n, 1)).astype(np.int64))
+        return pa.Table.from_arrays([*[docs_.column(f"__keep{i}") for i in range(len(kept))], *cols, docs_.column("__key"), kind, ppl, by_word], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType(schema.fields))
+    out = None
+    for k in range(ROUNDS):
+        rows = dealt.filter(F.col("__part") % ROUNDS == k).select("__part", "__key", F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept)])
+        rows = rows.repartition(max(1, math.ceil(parts / ROUNDS)), "__part")
+        asked = rows.groupBy("__part").applyInArrow(ask, _ROW).unionByName(model.rows)
+        told = asked.repartition("dest").sortWithinPartitions("dest", "part").mapInArrow(answer, _ROW).withColumnRenamed("part", "__part")
+        got = stored(rows.groupBy("__part").cogroup(told.groupBy("__part")).applyInArrow(score, schema), "perplexity")
+        out = got if out is None else out.unionByName(got)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for b in batches:
-            langs = b.column(b.num_columns - 2).to_pylist()
-            buf, off = utf8(b.column(b.num_columns - 1))
-            figures, lost = [[] for _ in names], np.zeros(len(langs))
-            for x, y in pieces(off):
-                part, cut = buf[off[x] : off[y]], off[x : y + 1] - off[x]
-                for out, got in zip(figures, base_figures(part, cut), strict=True):
-                    out.append(got)
-                got = codes(part, cut)
-                for k in range(x, y):
-                    own = langs[k]
-                    if own not in tables:  # each n-gram is looked up once in the sorted arrays
-                        tables[own] = shared.value[own].log10(np.arange(_CODES)).astype(np.float32)
-                    lost[k] = tables[own][got[cut[k - x] : cut[k - x + 1]]].sum(dtype=float)
-            size = np.diff(off)
-            ppl = pa.array(-lost / np.maximum(size, 1), pa.float64(), mask=size == 0)
-            cols = [pa.array(np.concatenate(v) if v else [], pa.int64()) for v in figures]
-            kind = pa.array(np.log2(np.maximum(size, 1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols, b.column(b.num_columns - 2), kind, ppl], names=schema.names)
-
-    return docs.select(*keep, _lang(lang).alias("__lang"), F.col(text).alias("__text")).mapInArrow(run, schema)
-
-
-def bands(scored: DataFrame, width: float = WIDTH) -> dict[tuple[str, int], tuple[float, float]]:
-    """Lower and upper band of log perplexity by language and class of length, from exact histograms with bins of 1 / BINS."""
-    bins = F.floor(F.col("log_ppl") * BINS).alias("bin")
-    rows = scored.filter(F.col("log_ppl").isNotNull() & ~F.col("base_failed")).groupBy("__lang", "__class", bins).count().collect()
+
+def bands(scored: DataFrame, width: float = WIDTH, of: str = "log_ppl") -> dict[tuple[str, int], tuple[float, float]]:
+    """Lower and upper band of a log perplexity by language and class of length, from exact histograms with bins of 1 / BINS."""
+    bins = F.floor(F.col(of) * BINS).alias("bin")
+    rows = scored.filter(F.col(of).isNotNull() & ~F.col("base_failed")).groupBy("__lang", "__class", bins).count().collect()
     texts: dict[str, list[tuple[int, int, int]]] = {}
     for lang, *row in rows:
         texts.setdefault(lang, []).append(tuple(row))
@@ -286,38 +445,18 @@ def bands(scored: DataFrame, width: float = WIDTH) -> dict[tuple[str, int], tupl
     return found
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), width: float = WIDTH) -> DataFrame:
-    """`keep` columns, the base figures, base_failed, log_ppl, the bands, and kept."""
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), width: float = WIDTH, model: Model | None = None) -> DataFrame:
+    """`keep` columns, the base figures, base_failed, log_ppl, the bands, and kept; by the given model, or one of `docs`."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    grams = stored(count_ngrams(docs, text, lang), "ngrams")
-    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
-    parts = []
-    for k in range(0, len(langs), AT_ONCE):
-        own = langs[k : k + AT_ONCE]
-        got = grams.filter(F.col("lang").isin(own)).toPandas()
-        models = {lang_: Model.fit(g["code"].to_numpy(), g["n"].to_numpy()) for lang_, g in got.groupby("lang")}
-        parts.append(perplexities(docs.filter(_lang(lang).isin(own)), models, text, lang, keep))
-    # languages all of whose texts are empty or null have no n-grams and need no model
-    parts.append(perplexities(docs.filter(~_lang(lang).isin(langs)) if langs else docs, {}, text, lang, keep)) if not langs else parts.append(_blank(docs.filter(~_lang(lang).isin(langs)), parts[0]))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    scored = perplexities(docs, model or Model.fit(docs, text, lang), text, lang, keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    scored = stored(scored.withColumn("base_failed", failed), "perplexity")
-    found = bands(scored, width)
-    band = spark.createDataFrame([(*k, *v) for k, v in found.items()], "__lang string, __class long, ppl_low double, ppl_high double")
-    out = scored.join(F.broadcast(band), ["__lang", "__class"], "left").select(*scored.columns, "ppl_low", "ppl_high")
-    inside = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("__lang", "__class")
-
-
-def _blank(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """Rows without any text: all figures are zero."""
-    cols = []
-    for f in like.schema:
-        cols.append(F.col(f.name) if f.name in docs.columns else {"log_ppl": F.lit(None).cast("double"), "__lang": F.lit("")}.get(f.name, F.lit(0).cast("long")).alias(f.name))
-    return docs.select(*cols)
+    scored = scored.withColumn("base_failed", failed)
+    for of, low, high in (("log_ppl", "ppl_low", "ppl_high"), ("word_ppl", "word_low", "word_high")):
+        band = spark.createDataFrame([(*k, *v) for k, v in bands(scored, width, of).items()], f"__lang string, __class long, {low} double, {high} double")
+        scored = scored.join(band, ["__lang", "__class"], "left").select(*scored.columns, low, high)
+    inside = [F.coalesce(F.col(of).between(F.col(low), F.col(high)), F.lit(True)) for of, low, high in (("log_ppl", "ppl_low", "ppl_high"), ("word_ppl", "word_low", "word_high"))]
+    return scored.withColumn("kept", ~F.col("base_failed") & inside[0] & inside[1]).drop("__lang", "__class")
 
 
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

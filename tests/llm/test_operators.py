@@ -1,6 +1,5 @@
 """Small tables with nulls, empty and repeated rows and clashing columns, against brute force."""
 
-import collections
 import hashlib
 import math
 import re
@@ -12,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm import bpe, components, langid, mixing, quality, secrets, token_counts
+from lintlake.llm import bpe, components, langid, mixing, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,49 +103,6 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
 
 
-def test_quality(spark):
-    got = by_id(quality.judge(docs(spark)))
-    for k, t in enumerate(TEXTS):
-        w = WORD.findall(t or "")
-        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-        tri = collections.Counter(zip(w, w[1:], w[2:]))
-        covered = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
-        r = got[k]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
-        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t or "")
-        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
-    assert quality.judge(empty(spark)).count() == 0
-
-
-def test_quality_bands_by_language_and_length(spark):
-    rng = np.random.default_rng(4)
-    parts = {"en": ["th", "er", "on", "an", "re", "he", "in", "ed"], "es": ["ci", "de", "qu", "os", "ar", "na", "ll", "mi"]}
-    word = lambda lang: "".join(rng.choice(parts[lang], rng.integers(1, 4)))
-    rows = []
-    for lang in parts:
-        for k in range(300):
-            rows.append((len(rows), " ".join(word(lang) for _ in range([60, 150, 400][k % 3])), lang, "clean"))
-        for k in range(8):
-            rows.append((len(rows), " ".join(word(lang) + "#$%&"[rng.integers(4)] * 3 for _ in range(400)), lang, "marks"))
-            rows.append((len(rows), " | ".join(word(lang) for _ in range(400)), lang, "menu"))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
-    share = {(r.lang, r.kind): r.kept for r in quality.judge(df, keep=("lang", "kind")).groupBy("lang", "kind").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    for lang in parts:
-        assert share[lang, "clean"] >= 0.95 and share[lang, "marks"] == share[lang, "menu"] == 0
-    # the tails have their own spreads, and long texts narrower bands than short ones
-    scored = [("x", 8, 0.6 + (0.04 if k > 0 else 0.01) * k / 50, False) for k in range(-50, 51)] + [("x", 12, 0.6 + 0.002 * k / 50, False) for k in range(-50, 51)]
-    got = quality.bands(spark.createDataFrame(scored, "__lang string, __class long, log_ppl double, base_failed boolean"), 4.0)
-    assert np.allclose([*got["x", 8], *got["x", 12]], [0.58, 0.68, 0.596, 0.604], atol=0.003)
-
-
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    code, n = np.unique(rng.integers(0, quality.SIZE**quality.ORDER, 4000) % 70_000, return_counts=True)
-    m = quality.Model.fit(code, n)
-    for context in (0, 17, 1234, 63_999):
-        assert math.isclose((10 ** m.log10(context * quality.SIZE + np.arange(quality.SIZE))).sum(), 1, rel_tol=1e-4)
-
-
 def test_mixing(spark):
     w = mixing.solve(np.array([1000.0, 100.0, 10.0]), 1110.0)
     assert 0 < w.exponent < 1 and w.repeats.max() <= mixing.MAX_REPEAT + 1e-6
