@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH = "array<struct<start:int,end:int,text:string>>"
+#: Elements that running sums take at once.
+RUN = 256
 
 #: Comments, text blocks, strings and characters of Java; an open string ends with its line.
 JAVA_LITERALS = r"""//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|\"""[\s\S]*?(?:\"""|\z)|"(?:[^"\\\n]++|\\(?:[\s\S]|\z))*+"?|'(?:[^'\\\n]++|\\(?:[\s\S]|\z))*+'?"""
@@ -39,18 +40,27 @@ def explode_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(lines_of(F.col(text))).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches from left to right, with offsets summed from the lengths of gaps and matches."""
-    found = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda x: x["m"].isNotNull())
+def running(values: Column) -> Column:
+    """The sum of an integer array up to and with each element: blocks first, then the sums before each block."""
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
+        return F.aggregate(part, start, add, lambda acc: acc["all"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / RUN).cast("int")), lambda k: sums(F.slice(values, k * RUN + 1, RUN)))
+    before = sums(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))))
+    return F.flatten(F.zip_with(blocks, before, lambda b, top: F.transform(b, lambda x: x + top - F.coalesce(F.get(b, F.size(b) - 1), F.lit(0)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("all"))
-    return F.aggregate(found, zero, step, lambda acc: acc["all"])
+def matches(text: Column, pattern: str) -> Column:
+    """All matches from left to right as (start, end, text, line): offsets and lines are running sums over gaps and matches."""
+    found = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda x: x["m"].isNotNull())
+    ends = running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+    lines = running(F.transform(found, lambda x: line_breaks(x["gap"]) + line_breaks(x["m"])))
+    placed = F.arrays_zip(found.alias("x"), ends.alias("end"), lines.alias("breaks"))
+    one = lambda p: F.struct((p["end"] - F.length(p["x"]["m"])).alias("start"), p["end"].alias("end"), p["x"]["m"].alias("text"), (p["breaks"] - line_breaks(p["x"]["m"]) + 1).alias("line"))
+    return F.transform(placed, one)
 
 
 def blank(text: Column, pattern: str) -> Column:
@@ -100,11 +110,6 @@ def snippet(lines: Column, start: Column, end: Column) -> Column:
     return F.when(F.length(text) > 400, F.concat(F.substring(text, 1, 400), F.lit("…"))).otherwise(text)
 
 
-def one_line(text: Column, most: int = 160) -> Column:
-    t = flat(text)
-    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("…"))).otherwise(t)
-
-
 def shorten_path(path: Column) -> Column:
     """The last two parts of a longer path."""
     parts = F.split(path, "/", -1)

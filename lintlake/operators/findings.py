@@ -56,9 +56,9 @@ def ordering() -> list[Column]:
     return [X.severity_rank(F.col("severity")).desc(), F.col("file"), F.col("line"), F.col("unit_ord"), F.col("rule_ord"), F.col("draft_seq")]
 
 
-def with_snippets(findings: DataFrame, units: DataFrame) -> DataFrame:
-    """Findings with the source of their lines; only files with findings are split."""
-    own = findings.join(units.select(F.col("path").alias("file"), "content"), "file", "left")
+def with_snippets(findings: DataFrame, units: DataFrame, key: str = "file") -> DataFrame:
+    """Findings with the source of their lines; `key` is the findings' column that has the units' path. Only files with findings are split."""
+    own = findings.join(units.select(F.col("path").alias(key), "content"), key, "left")
     return own.withColumn("snippet", X.snippet(X.lines_of(F.col("content")), F.col("line"), F.coalesce("end_line", "line"))).drop("content")
 
 
@@ -81,10 +81,17 @@ def hit_rules(findings: DataFrame) -> DataFrame:
 
 
 def top_rules(findings: DataFrame, most: int = 6, samples: int = 3) -> DataFrame:
-    """(rule, n, where_text): the rules with the most findings, ties by first appearance, with their first places."""
-    w = Window.partitionBy("rule").orderBy(*ordering())
-    ranked = findings.withColumns({"k": F.row_number().over(w), "place": F.concat(X.shorten_path(F.col("file")), F.lit(":"), F.col("line"))})
-    first = F.min(F.struct((-X.severity_rank(F.col("severity"))).alias("s"), "file", "line", "unit_ord", "rule_ord")).alias("first")
-    out = ranked.groupBy("rule").agg(F.count("*").alias("n"), first, F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.struct("k", "place")))).alias("places"))
-    text = F.concat(F.array_join(F.transform("places", lambda p: p["place"]), ", "), F.when(F.col("n") > samples, F.concat(F.lit(" +"), F.col("n") - samples, F.lit(" more"))).otherwise(""))
-    return out.orderBy(F.desc("n"), "first").limit(most).select("rule", "n", text.alias("where_text"))
+    """(rule, n, where_text): the rules with the most findings, ties by first appearance, with their first places.
+
+    First places are chosen in shares of each rule's findings and then among those, so no rule is sorted in one task.
+    """
+    place = F.struct((-X.severity_rank(F.col("severity"))).alias("s"), "file", "line", "unit_ord", "rule_ord", "draft_seq").alias("at")
+    rows = findings.select("rule", place, F.pmod(F.xxhash64("file", "line"), F.lit(256)).alias("share"))
+    counts = rows.groupBy("rule").agg(F.count("*").alias("n"))
+    for keys in (["rule", "share"], ["rule"]):
+        w = Window.partitionBy(*keys).orderBy("at")
+        rows = rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= samples)
+    firsts = rows.groupBy("rule").agg(F.min("at").alias("first"), F.array_sort(F.collect_list("at")).alias("places"))
+    text = F.array_join(F.transform("places", lambda p: F.concat(X.shorten_path(p["file"]), F.lit(":"), p["line"])), ", ")
+    more = F.when(F.col("n") > samples, F.concat(F.lit(" +"), F.col("n") - samples, F.lit(" more"))).otherwise("")
+    return firsts.join(counts, "rule").orderBy(F.desc("n"), "first").limit(most).select("rule", "n", F.concat(text, more).alias("where_text"))

@@ -1,9 +1,9 @@
 """Mapper XML as tables: statements, fragments, nested selects, SQL scopes.
 
 One alternation finds, from left to right, whole statements, whole fragments and single tags; what lies inside
-a statement is not looked at again. Everything is column functions over one row for each file, then explodes;
-nothing is shuffled. A statement's text starts after its opening tag, so lines are counted from the line where
-that tag ends. A file may hold any number of tags.
+a statement is not looked at again. A file is one row with an array of its elements, on which everything is
+worked out by array functions: nothing is shuffled, and rows are exploded last. A statement's text starts after its
+opening tag, so lines are counted from the line where that tag ends. A file may hold any number of tags.
 """
 
 from __future__ import annotations
@@ -13,26 +13,31 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
 
+# Statements, and attributes that only statements of mappers carry.
+STATEMENTS = ("select", "insert", "update", "delete")
+SIGNS = ("resultType", "resultMap", "parameterType", "useGeneratedKeys")
+#: The inside of a tag; quoted values may hold ">". Possessive, so that long tags do not use up the stack.
+INSIDE = r"""(?:"[^"]*"|'[^']*'|[^"'>])*+"""
+NAME = r"[A-Za-z_][\w:.-]*+"
+TAG = rf"</?{NAME}{INSIDE}>"
 #: A statement ends with the tag of its own name.
 ELEMENT = "|".join(
-    [rf"""<{k}(?![\w:.-])(?:(?:"[^"]*"|'[^']*'|[^"'>])*+)(?:(?<=/)>|>[\s\S]*?</\s*(?i:{k})\s*>)""" for k in ("select", "insert", "update", "delete")]
-    + [r"""<sql(?![\w:.-])(?:(?:"[^"]*"|'[^']*'|[^"'>])*+)(?<!/)>[\s\S]*?</\s*(?i:sql)\s*>""", r"""</?(?:resultMap|mapper|collection|association)(?![\w:.-])(?:(?:"[^"]*"|'[^']*'|[^"'>])*+)>"""]
+    [rf"<{k}(?![\w:.-]){INSIDE}(?:(?<=/)>|>[\s\S]*?</\s*(?i:{k})\s*>)" for k in STATEMENTS]
+    + [rf"<sql(?![\w:.-]){INSIDE}(?<!/)>[\s\S]*?</\s*(?i:sql)\s*>", rf"</?(?:resultMap|mapper|collection|association)(?![\w:.-]){INSIDE}>"]
 )
-_OPEN = r"""\A<(/?)([A-Za-z_][\w:.-]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>"""
-TAG = r"""</?[A-Za-z_][\w:.-]*(?:"[^"]*"|'[^']*'|[^"'>])*+>"""
-INCLUDE = r"""(?i)<include[^>]*refid=["']([^"']+)["'][^>]*/?>"""
-_MAPPER = r"""<\s*mapper[\s>]|<\s*(?:select|insert|update|delete)\s+[^>]*(?:resultType|resultMap|parameterType|useGeneratedKeys)="""
+_OPEN = rf"\A<(/?)({NAME})({INSIDE})>"
+INCLUDE = rf"(?i)<include\b{INSIDE}>"
 TEMPLATE = r"<#\[\[|</?#"
 
 
 def is_mapper(masked: Column) -> Column:
-    """By the root element or by what only mapper statements carry, so that fragments of a file count too."""
-    return masked.rlike(_MAPPER)
+    """By a mapper tag or by what only mapper statements carry, so that fragments of a file count too."""
+    return masked.rlike(rf"<mapper[\s>]|<(?:{'|'.join(STATEMENTS)})\s[^>]*?(?:{'|'.join(SIGNS)})\s*=")
 
 
 def root_element(masked: Column) -> Column:
     """The name of the first element, null where there is none."""
-    name = F.regexp_extract(masked, r"""<([A-Za-z_][\w:.-]*)(?:"[^"]*"|'[^']*'|[^"'>])*[>/]""", 1)
+    name = F.regexp_extract(masked, f"<({NAME})", 1)
     return F.when(name != "", name)
 
 
@@ -47,90 +52,110 @@ def unwrap_cdata(text: Column) -> Column:
     return F.regexp_replace(text, r"<!\[CDATA\[([\s\S]*?)\]\]>", "$1")
 
 
+def _woven(text: Column, pattern: str, put) -> Column:
+    """Text with each match replaced by what `put` makes of it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    return F.when(F.size(found) > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(found), put(F.get(found, i))).otherwise(""))), "")).otherwise(text)
+
+
 def strip_tags(text: Column) -> Column:
     """Tags become spaces, but where, set and a trim's prefix leave the words that they put into the SQL."""
-    inside = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-    out = F.regexp_replace(text, rf"(?i)<where\b{inside}>", " where ")
-    out = F.regexp_replace(out, rf"(?i)<set\b{inside}>", " set ")
-    out = F.regexp_replace(out, r"""(?i)<trim\b(?=[^>]*?\bprefix\s*=\s*["']([^"']+)["'])(?:[^>"']|"[^"]*"|'[^']*')*+>""", " $1 ")
-    return F.regexp_replace(out, TAG, " ")
+
+    def words(tag: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, f"<({NAME})", 1))
+        return F.when(name.isin("where", "set"), F.concat(F.lit(" "), name, F.lit(" "))).when(name == "trim", F.concat(F.lit(" "), F.coalesce(attribute(tag, "prefix"), F.lit("")), F.lit(" "))).otherwise(" ")
+
+    return F.when(text.contains("<"), _woven(text, TAG, words)).otherwise(text)
+
+
+def element_array(masked: Column) -> Column:
+    """Elements of a masked text: el_ord, closing, name, attrs, self_closing, body, line of the tag, line where it ends."""
+
+    def one(m: Column, k: Column) -> Column:
+        t = m["text"]
+        tag = F.regexp_extract(t, TAG, 0)
+        attrs = F.regexp_extract(t, _OPEN, 3)
+        inner = F.regexp_replace(F.substr(t, F.length(tag) + 1), r"</\s*(?i:select|insert|update|delete|sql)\s*>\z", "")
+        return F.struct(
+            k.alias("el_ord"), (F.regexp_extract(t, _OPEN, 1) == "/").alias("closing"), F.regexp_extract(t, _OPEN, 2).alias("name"), attrs.alias("attrs"), attrs.rlike(r"/\s*\z").alias("self_closing"),
+            unwrap_cdata(inner).alias("body"), m["line"].alias("line"), (m["line"] + X.line_breaks(tag)).alias("body_line"),
+        )
+
+    return F.transform(X.matches(masked, ELEMENT), one)
 
 
 def elements(units: DataFrame, *keep: str) -> DataFrame:
-    """Elements of each unit: el_ord, closing, name, attrs, self_closing, body, line of the tag, line where it ends."""
+    """(keep..., els): each mapper file with its elements."""
     masked = units.filter(F.col("lang") == "xml").select(*keep, X.mask_xml_comments(F.col("content")).alias("masked"))
-    each = masked.filter(is_mapper(F.col("masked"))).select(*keep, "masked", F.posexplode(X.matches(F.col("masked"), ELEMENT)).alias("el_ord", "m"))
-    t = F.col("m.text")
-    tag = F.regexp_extract(t, TAG, 0)
-    attrs = F.regexp_extract(t, _OPEN, 3)
-    name = F.regexp_extract(t, _OPEN, 2)
-    inner = F.regexp_replace(F.substr(t, F.length(tag) + 1), r"</\s*(?i:select|insert|update|delete|sql)\s*>\z", "")
-    return each.select(
-        *keep, "el_ord", (F.regexp_extract(t, _OPEN, 1) == "/").alias("closing"), name.alias("name"), attrs.alias("attrs"), attrs.rlike(r"/\s*\z").alias("self_closing"),
-        unwrap_cdata(inner).alias("body"), X.line_at(F.col("masked"), F.col("m.start")).alias("line"), X.line_at(F.col("masked"), F.col("m.start") + F.length(tag)).alias("body_line"),
-    )
+    return masked.filter(is_mapper(F.col("masked"))).select(*keep, element_array(F.col("masked")).alias("els"))
+
 
+def _opened(*names: str) -> Column:
+    return F.filter("els", lambda e: e["name"].isin(*names) & ~e["closing"])
 
-def statements(el: DataFrame, *keep: str) -> DataFrame:
-    own = el.filter(F.col("name").isin("select", "insert", "update", "delete") & ~F.col("closing"))
-    return own.select(*keep, "el_ord", F.col("name").alias("kind"), F.coalesce(attribute(F.col("attrs"), "id"), F.lit("")).alias("id"), F.col("body").alias("raw"), "line", "body_line")
 
+def statements() -> Column:
+    """Statements of `els` by line."""
+    one = lambda e: F.struct(F.lit(0).alias("part"), e["line"].alias("at"), e["el_ord"].alias("el_ord"), e["name"].alias("kind"), F.coalesce(attribute(e["attrs"], "id"), F.lit("")).alias("id"), e["body"].alias("raw"), e["line"].alias("line"), e["body_line"].alias("base"))
+    return F.array_sort(F.transform(_opened(*STATEMENTS), one))
 
-def fragments(el: DataFrame, *keep: str) -> DataFrame:
-    """Named fragments; of equal names the last, in the place of the first."""
-    own = el.filter((F.col("name") == "sql") & ~F.col("closing")).select(*keep, "el_ord", attribute(F.col("attrs"), "id").alias("id"), F.col("body").alias("raw"), "line", "body_line").filter("id is not null and id != ''")
-    last = own.groupBy(*keep, "id").agg(F.max(F.struct("el_ord", "raw", "line", "body_line")).alias("f"), F.min("el_ord").alias("el_ord"))
-    return last.select(*keep, "el_ord", F.lit("sql").alias("kind"), "id", "f.raw", "f.line", "f.body_line")
+
+def fragments() -> Column:
+    """Named fragments of `els`; of equal names the last, in the place of the first."""
+    named = F.filter(F.transform(_opened("sql"), lambda e: F.struct(F.coalesce(attribute(e["attrs"], "id"), F.lit("")).alias("id"), e["el_ord"].alias("el_ord"), e["body"].alias("raw"), e["line"].alias("line"), e["body_line"].alias("base"))), lambda f: f["id"] != "")
+    by_id = F.array_sort(named)
+    first = F.filter(by_id, lambda f, k: F.coalesce(F.get(by_id, k - 1)["id"] != f["id"], F.lit(True)))
+    last = F.filter(by_id, lambda f, k: F.coalesce(F.get(by_id, k + 1)["id"] != f["id"], F.lit(True)))
+    one = lambda a, z: F.struct(F.lit(1).alias("part"), a["el_ord"].alias("at"), a["el_ord"].alias("el_ord"), F.lit("sql").alias("kind"), z["id"].alias("id"), z["raw"].alias("raw"), z["line"].alias("line"), z["base"].alias("base"))
+    return F.array_sort(F.zip_with(first, last, one))
 
 
 def nested_selects(el: DataFrame, *keep: str) -> DataFrame:
     """(keep..., map_ord, map_id, line): associations and collections with a select, inside a closed result map."""
-    maps = el.filter(F.col("name").isin("resultMap", "collection", "association"))
-    rows = maps.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("el_ord", "name", "closing", "self_closing", F.coalesce(attribute(F.col("attrs"), "id"), F.lit("")).alias("id"), F.coalesce(attribute(F.col("attrs"), "select"), F.lit("")).alias("sel"), "line"))).alias("all"))
+    maps = F.filter("els", lambda e: e["name"].isin("resultMap", "collection", "association"))
+    rows = el.select(*keep, maps.alias("all"))
     closer = lambda x: (x["name"] == "resultMap") & x["closing"]
-    each = rows.select(*keep, "all", F.explode("all").alias("x")).filter((F.col("x.name") != "resultMap") & (F.col("x.sel") != "") & ~F.col("x.closing"))
+    chosen = lambda x: F.coalesce(attribute(x["attrs"], "select"), F.lit("")) != ""
+    last = F.array_max(F.transform(F.filter("all", closer), lambda x: x["el_ord"]))
+    each = rows.select(*keep, "all", last.alias("last"), F.explode(F.filter("all", lambda x: (x["name"] != "resultMap") & ~x["closing"] & chosen(x))).alias("x"))
     before = F.filter("all", lambda y: (y["name"] == "resultMap") & ~y["self_closing"] & (y["el_ord"] < F.col("x.el_ord")))
-    after = F.filter("all", lambda y: closer(y) & (y["el_ord"] > F.col("x.el_ord")))
-    each = each.withColumns({"b": F.try_element_at(before, F.lit(-1)), "a": F.size(after)})
-    inside = each.filter(F.col("b").isNotNull() & ~F.col("b.closing") & (F.col("a") > 0))
-    return inside.select(*keep, F.col("b.el_ord").alias("map_ord"), F.col("b.id").alias("map_id"), F.col("x.el_ord").alias("el_ord"), F.col("x.line").alias("line"))
+    each = each.withColumn("b", F.try_element_at(before, F.lit(-1)))
+    inside = each.filter(F.col("b").isNotNull() & ~F.col("b.closing") & (F.col("last") > F.col("x.el_ord")))
+    return inside.select(*keep, F.col("b.el_ord").alias("map_ord"), F.coalesce(attribute(F.col("b.attrs"), "id"), F.lit("")).alias("map_id"), F.col("x.el_ord").alias("el_ord"), F.col("x.line").alias("line"))
+
+
+def namespace() -> Column:
+    """The namespace of the last mapper tag of `els`."""
+    return attribute(F.try_element_at(_opened("mapper"), F.lit(-1))["attrs"], "namespace")
 
 
 def namespace_of(el: DataFrame, *keep: str) -> DataFrame:
-    """The namespace of the last mapper tag of each unit."""
-    own = el.filter((F.col("name") == "mapper") & ~F.col("closing"))
-    return own.groupBy(*keep).agg(F.max_by(F.struct(attribute(F.col("attrs"), "namespace").alias("ns")), "el_ord").alias("n")).select(*keep, F.col("n.ns").alias("namespace"))
+    return el.filter(F.size(_opened("mapper")) > 0).select(*keep, namespace().alias("namespace"))
 
 
 def _lookup(refid: Column) -> Column:
     """The text of a fragment by its id, or by its id after the mapper's own namespace; null where there is none."""
-    ref = X.trim(refid)
     prefix = F.concat(F.col("namespace"), F.lit("."))
-    short = F.when(F.startswith(ref, prefix), F.substr(ref, F.length(prefix) + 1))
-    return F.coalesce(F.try_element_at(F.col("frags"), ref), F.try_element_at(F.col("frags"), F.coalesce(short, F.lit(""))))
+    short = F.when(F.startswith(refid, prefix), F.substr(refid, F.length(prefix) + 1))
+    return F.coalesce(F.try_element_at(F.col("frags"), refid), F.try_element_at(F.col("frags"), F.coalesce(short, F.lit(""))))
 
 
 def inline_once(text: Column) -> Column:
     """Includes replaced by their fragments, unknown ones by a space."""
-    refs = F.regexp_extract_all(text, F.lit(INCLUDE), F.lit(1))
-    gaps = F.split(text, INCLUDE, -1)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.concat(F.lit(" "), _lookup(F.get(refs, i)), F.lit(" ")), F.lit(" "))))
-    return F.when(F.size(refs) > 0, F.array_join(parts, "")).otherwise(text)
+    return F.when(text.contains("<"), _woven(text, INCLUDE, lambda tag: F.coalesce(F.concat(F.lit(" "), _lookup(attribute(tag, "refid")), F.lit(" ")), F.lit(" ")))).otherwise(text)
 
 
 def unresolved(raw: Column) -> Column:
-    refs = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(INCLUDE), F.lit(1)), X.trim))
-    return F.filter(refs, lambda r: (r != "") & _lookup(r).isNull())
+    refs = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(INCLUDE), F.lit(0)), lambda tag: attribute(tag, "refid")))
+    return F.filter(refs, lambda r: r.isNotNull() & (r != "") & _lookup(r).isNull())
 
 
 def xml_scopes(el: DataFrame, *keep: str) -> DataFrame:
-    """SQL scopes of mapper files: statements by line, then fragments; includes inlined up to three levels."""
-    st = statements(el, *keep).withColumn("part", F.lit(0))
-    fr = fragments(el, *keep)
-    known = fr.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("id", "raw"))).alias("frags"))
-    rows = st.unionByName(fr.withColumn("part", F.lit(1))).join(known, list(keep), "left").join(namespace_of(el, *keep), list(keep), "left")
-    rows = rows.withColumn("frags", F.coalesce("frags", F.create_map().cast("map<string,string>")))
-    one = rows.withColumn("t", inline_once(F.col("raw")))
+    """SQL scopes of mapper files, numbered: statements by line, then fragments; includes inlined up to three levels."""
+    known = el.select(*keep, namespace().alias("namespace"), statements().alias("sts"), fragments().alias("frs"))
+    rows = known.select(*keep, "namespace", F.map_from_entries(F.transform("frs", lambda f: F.struct(f["id"], f["raw"]))).alias("frags"), F.posexplode(F.concat("sts", "frs")).alias("k", "s"))
+    one = rows.withColumn("t", inline_once(F.col("s.raw")))
     two = one.withColumn("t", inline_once(F.col("t")))
     three = two.withColumn("t", inline_once(F.col("t")))
-    return three.select(*keep, F.array("part", F.when(F.col("part") == 0, F.col("line")).otherwise(F.col("el_ord")), "el_ord").alias("scope_ord"), "kind", "id", "raw", X.flat(strip_tags(F.col("t"))).alias("resolved"), "line", F.col("body_line").alias("base"), F.lit("xml").alias("source"), unresolved(F.col("raw")).alias("unresolved"))
+    return three.select(*keep, (F.col("k") + 1).alias("scope_ix"), F.col("s.kind").alias("kind"), F.col("s.id").alias("id"), F.col("s.raw").alias("raw"), X.flat(strip_tags(F.col("t"))).alias("resolved"), F.col("s.line").alias("line"), F.col("s.base").alias("base"), F.lit("xml").alias("source"), unresolved(F.col("s.raw")).alias("unresolved"))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
 from lintlake.operators import findings as fin
 from lintlake.operators import mapper_xml as mx
-from lintlake.operators.java_structure import java_structure, table_of
+from lintlake.operators.java_structure import FAILED, SCHEMA, java_structure, table_of
 from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
-from lintlake.plans.catalogue import RULE_IDS, RULES, rules_table
+from lintlake.plans.catalogue import RULE_IDS, RULES
 from lintlake.session import cut
 from lintlake.sources.units import companions_of
 
@@ -42,70 +43,101 @@ class Review:
     units: DataFrame
 
 
+@dataclass(frozen=True)
+class Context:
+    """What rules read: units with their elements, Java structure, SQL scopes, companions. `path` is the key of a unit."""
+
+    units: DataFrame
+    structure: DataFrame
+    elements: DataFrame
+    scopes: DataFrame | None
+    java: rj.Java
+    companions: DataFrame
+
+
 def scopes(units: DataFrame, structure: DataFrame, el: DataFrame | None = None) -> DataFrame:
-    """All SQL scopes with their order in a file: statements, fragments, annotation SQL."""
-    el = mx.elements(units, "path") if el is None else el
-    xml = mx.xml_scopes(el, "path")
-    java = table_of(structure, "sql").select("path", F.array(F.lit(2), "ord", F.lit(0)).alias("scope_ord"), "kind", F.concat("kind", F.lit("Annotation")).alias("id"), "raw", X.flat(mx.strip_tags(F.col("raw"))).alias("resolved"), "line", F.col("line").alias("base"), F.lit("annotation").alias("source"), F.array().cast("array<string>").alias("unresolved"))
-    w = Window.partitionBy("path").orderBy("scope_ord")
-    return xml.unionByName(java).withColumn("scope_ix", F.row_number().over(w))
+    """All SQL scopes with their number in a file: statements, fragments, annotation SQL."""
+    xml = mx.xml_scopes(mx.elements(units, "path") if el is None else el, "path")
+    java = table_of(structure, "sql").select("path", (F.col("ord") + 1).alias("scope_ix"), "kind", F.concat("kind", F.lit("Annotation")).alias("id"), "raw", X.flat(mx.strip_tags(F.col("raw"))).alias("resolved"), "line", F.col("line").alias("base"), F.lit("annotation").alias("source"), F.array().cast("array<string>").alias("unresolved"))
+    return xml.unionByName(java)
 
 
 def gates(units: DataFrame) -> DataFrame:
-    """Units with `refused`: the reason for which an XML file is not reviewed, null where it is."""
-    masked = X.mask_xml_comments(F.col("content"))
-    root = mx.root_element(masked)
+    """Units with `refused`, the reason for which an XML file is not reviewed (null where it is), and `els`, its elements.
+
+    Comments are masked once for both.
+    """
+    xml = F.col("lang") == "xml"
+    masked = units.withColumn("masked", F.when(xml, X.mask_xml_comments(F.col("content"))))
+    root = mx.root_element(F.col("masked"))
     reason = (
-        F.when(F.col("lang") != "xml", F.lit(None).cast("string"))
-        .when(~mx.is_mapper(masked), "not a mapper XML")
+        F.when(~xml, F.lit(None).cast("string"))
+        .when(~mx.is_mapper(F.col("masked")), "not a mapper XML")
         .when(F.col("content").rlike(mx.TEMPLATE), "a template, not a mapper")
         .when(F.col("complete") & root.isNotNull() & (root != "mapper"), F.concat(F.lit("root element is <"), root, F.lit(">, not <mapper>")))
     )
-    return units.withColumn("refused", reason)
+    return masked.withColumn("refused", reason).withColumn("els", F.when(xml & F.col("refused").isNull(), mx.element_array(F.col("masked")))).drop("masked")
+
+
+#: What stands between a unit's number and its path in the key of its rows.
+_KEY = "\x1f"
+_STATEMENT_RULES = frozenset({"MYB001", "MYB003", "MYB004", "MYB005"})
 
 
-def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFrame | None = None, options: Options = Options(), skipped: DataFrame | None = None) -> Review:
+def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFrame | None = None, options: Options = Options(), skipped: DataFrame | None = None, own_rules: Sequence[Callable[[Context], DataFrame]] = (), own_ids: Sequence[str] = ()) -> Review:
     """Review units (lintlake.sources.units) under options.
 
+    own_rules: further rules, from the tables of a `Context` to drafts (lintlake.plans.drafting.COLUMNS), whose ids are
+    own_ids; they see what all rules see, and their drafts pass the same gates.
+
     added: (path, line) that a diff added, for units that are not whole files. java_paths: (ord, path, content) of
-    files that may be companions of mappers. Structure is worked out once, for all rules, and written to the
-    checkpoint folder; the rules run when a result is used.
+    files that may be companions of mappers. What the active rules need is worked out once and written to the
+    checkpoint folder; the rules run when a result is used. A unit whose structure cannot be read is skipped with a
+    reason; the others are reviewed.
     """
     spark = units.sparkSession
     gated = cut(gates(units))
-    ready = gated.filter("refused is null").drop("refused")
-    structure = cut(java_structure(ready))
-    el = cut(mx.elements(ready, "path"))
-    sc = cut(scopes(ready, structure, el))
+    # rows of a unit are told by its number and path: a path may come more than once
+    ready = gated.filter("refused is null").drop("refused").withColumn("file", F.col("path")).withColumn("path", F.concat(F.col("unit_ord"), F.lit(_KEY), "file"))
+    active = options.rules()
+    java_units = ready.filter("lang = 'java'")
+    reads_java = bool(active) and not java_units.isEmpty()
+    structure = cut(java_structure(java_units)) if reads_java else spark.createDataFrame([], SCHEMA)
+    el = ready.filter("els is not null").select("path", "els")
+    sc = cut(scopes(ready, structure, el)) if _STATEMENT_RULES & set(active) else None
     java = rj.Java.of(structure)
     companions = companions_of(mx.namespace_of(el, "path"), java_paths) if java_paths is not None else spark.createDataFrame([], "path string, companion_path string, companion_content string")
     make = {
         "SPR001": lambda: rj.spr001(java), "SPR002": lambda: rj.spr002(java), "SPR003": lambda: rj.spr003(java), "SPR004": lambda: rj.spr004(java), "SPR005": lambda: rj.spr005(java), "SPR006": lambda: rj.spr006(java),
         "MYB001": lambda: rs.myb001(sc), "MYB002": lambda: rj.myb002(java).unionByName(rs.nested_selects(mx.nested_selects(el, "path"))), "MYB003": lambda: rs.myb003(sc), "MYB004": lambda: rs.myb004(sc), "MYB005": lambda: rs.myb005(sc, companions),
     }
-    active = options.rules()
 
-    # which rules apply to which units: a cross of the files with at most eleven rules
-    diagnosed = structure.select("path", F.get("diagnostics", F.lit(0)).alias("issue"))
-    pairs = ready.select("unit_ord", "path", "lang", "complete").join(diagnosed, "path", "left").crossJoin(F.broadcast(rules_table(spark).filter(F.col("id").isin(active))))
-    pairs = pairs.filter((F.col("target") == "both") | (F.col("target") == F.col("lang")))
-    why = F.when(F.col("needs_full") & ~F.col("complete"), "file not fully available (patch fragment)").when(F.col("needs_full"), F.col("issue"))
-    pairs = pairs.withColumn("why", why)
-    runs = pairs.filter("why is null").select("path", "unit_ord", F.col("id").alias("rule"))
+    # which rules apply to which units is a matter of the unit alone
+    slim = ready.select("path", "file", "unit_ord", "lang", "complete", "whole_file")
+    slim = slim.join(structure.select("path", F.get("diagnostics", F.lit(0)).alias("issue")), "path", "left") if reads_java else slim.withColumn("issue", F.lit(None).cast("string"))
+    full = [r.id for r in RULES if r.needs_full]
+    unread = F.coalesce(F.startswith("issue", F.lit(FAILED)), F.lit(False))
 
-    rows = [make[i]() for i in active]
+    rows = [make[i]() for i in active] + [rule(Context(ready, structure, el, sc, java, companions)) for rule in own_rules]
     if rows:
-        drafts = reduce(DataFrame.unionByName, rows).join(runs, ["path", "rule"]).withColumnRenamed("path", "file")
+        drafts = reduce(DataFrame.unionByName, rows).join(slim.select("path", "file", "unit_ord", "complete", "whole_file", "issue"), "path")
+        drafts = drafts.filter(~F.col("rule").isin(full) | (F.col("complete") & F.col("issue").isNull())).filter("line >= 1")
     else:
-        drafts = spark.createDataFrame([], "rule string, file string, rule_ord int, draft_seq array<int>, severity string, line int, end_line int, message string, suggestion string, unit_ord bigint")
-    lines = added if added is not None else spark.createDataFrame([], "path string, line int")
-    kept = fin.on_added_lines(drafts, ready, lines)
-    kept = fin.unsuppressed(kept, fin.suppressions(ready), RULE_IDS)
-    found = fin.with_snippets(fin.at_least(fin.first_wins(kept), options.min_severity), ready)
-
-    has_sql = sc.select("path").distinct().withColumn("sql", F.lit(True))
-    blank = ready.filter("lang = 'xml'").join(has_sql, "path", "left").filter("sql is null").select("unit_ord", F.lit(-1).alias("k"), "path", F.lit("no mapper SQL in this file").alias("reason"))
+        drafts = spark.createDataFrame([], "path string, rule string, file string, rule_ord int, draft_seq array<int>, severity string, line int, end_line int, message string, suggestion string, unit_ord bigint, whole_file boolean")
+    lines = (added if added is not None else spark.createDataFrame([], "path string, line int")).withColumnRenamed("path", "file").distinct()
+    on = [c for c in ("file", "unit_ord", "line") if c in lines.columns]
+    kept = drafts.filter("whole_file").unionByName(drafts.filter("not whole_file").join(lines, on, "left_semi")).drop("whole_file", "complete", "issue")
+    unit = kept.withColumnsRenamed({"file": "shown", "path": "file"})
+    kept = fin.unsuppressed(unit, fin.suppressions(ready), [*RULE_IDS, *own_ids]).withColumnsRenamed({"file": "unit", "shown": "file"})
+    found = fin.at_least(fin.first_wins(kept), options.min_severity)
+    found = fin.with_snippets(found, ready, "unit").drop("unit")
+
+    blank = ready.filter(F.col("els").isNotNull() & (F.size(mx.statements()) + F.size(mx.fragments()) == 0)).select("unit_ord", F.lit(-1).alias("k"), F.col("file").alias("path"), F.lit("no mapper SQL in this file").alias("reason"))
     refused = gated.filter("refused is not null").select("unit_ord", F.lit(-2).alias("k"), "path", F.col("refused").alias("reason"))
-    passed = pairs.filter("why is not null").select("unit_ord", F.col("rule_ord").alias("k"), "path", F.concat("id", F.lit(": "), "why").alias("reason"))
+    needs = F.array(*[F.struct(F.lit(r.ord).alias("ord"), F.lit(r.id).alias("id"), F.lit(r.target).alias("target"), F.lit(r.needs_full).alias("full")) for r in RULES if r.id in active]) if active else F.array().cast("array<struct<ord:int,id:string,target:string,full:boolean>>")
+    why = F.when(unread, F.col("issue")).when(F.col("r.full") & ~F.col("complete"), "file not fully available (patch fragment)").when(F.col("r.full"), F.col("issue"))
+    passed = slim.select("*", F.explode(needs).alias("r")).filter((F.col("r.target") == "both") | (F.col("r.target") == F.col("lang"))).withColumn("why", why).filter("why is not null")
+    passed = passed.select("unit_ord", F.col("r.ord").alias("k"), F.col("file").alias("path"), F.concat("r.id", F.lit(": "), "why").alias("reason"))
     own = refused.unionByName(blank).unionByName(passed).select(F.lit(2).alias("stage"), (F.col("unit_ord") * 100 + F.col("k")).cast("bigint").alias("seq"), "path", "reason")
-    return Review(found, own if skipped is None else skipped.unionByName(own), ready)
+    shown = ready.drop("path", "els").withColumnRenamed("file", "path").select(*[c for c in units.columns])
+    return Review(found, own if skipped is None else skipped.unionByName(own), shown)

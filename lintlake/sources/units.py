@@ -78,7 +78,7 @@ def from_diff(files: DataFrame, lines: DataFrame, contents: DataFrame, exclude:
         F.col("file_ord").cast("bigint").alias("unit_ord"), "path", P.lang_of(F.col("path")).alias("lang"), F.when(F.col("read"), F.col("content")).otherwise(F.coalesce("built", F.lit(""))).alias("content"),
         F.when(F.col("read"), F.col("content_source")).otherwise("patch").alias("content_source"), F.when(F.col("read"), True).when(F.col("stale"), False).otherwise(F.coalesce("contiguous", F.lit(True)) & F.col("unsupported").isNull()).alias("complete"), F.lit(False).alias("whole_file"),
     )
-    added = lines.filter("kind = 'added'").join(todo.select("file_ord", F.col("path").alias("p")), "file_ord").select(F.col("p").alias("path"), F.col("new_line").alias("line"))
+    added = lines.filter("kind = 'added'").join(todo.select("file_ord", F.col("path").alias("p")), "file_ord").select(F.col("p").alias("path"), F.col("file_ord").cast("bigint").alias("unit_ord"), F.col("new_line").alias("line"))
     left = judged.filter("reason is not null").select("file_ord", "path", "reason").unionByName(rows.filter("stale").select("file_ord", "path", F.lit("patch context does not match the file on disk, so the patch's own lines were reviewed").alias("reason")))
     return units, added, left.select(F.lit(1).alias("stage"), F.col("file_ord").cast("bigint").alias("seq"), "path", "reason")
 

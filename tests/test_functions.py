@@ -62,7 +62,6 @@ def test_matches_and_lines(spark):
 def test_snippet_and_short_forms(spark):
     assert one(spark, X.snippet(X.lines_of(F.col("t")), F.lit(2), F.lit(9)), t="a\n  b \n\n c") == "b\nc"
     assert len(one(spark, X.snippet(X.lines_of(F.col("t")), F.lit(1), F.lit(1)), t="x" * 500)) == 401
-    assert one(spark, X.one_line(F.col("t")), t=" a \n b ") == "a b"
     assert one(spark, X.shorten_path(F.col("t")), t="a/b/c/d.java") == "…/c/d.java"
     assert one(spark, X.escape_property(F.col("t")), t="a:b c%\n") == "a%3Ab%20c%25%0A"
     assert one(spark, X.normalize_newlines(F.col("t")), t="a\r\nb\rc") == "a\nb\nc"
