@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ ORDER = 5
 SIZE = 256
 WIDTH = 4.5
 #: Bytes of a part, rounds, and n-grams in a bucket of the model.
-PART = 8 << 20
+PART = 3 << 20
 ROUNDS = 4
 BUCKET = 1_000_000
 #: Cells of a table that numbers n-grams; beyond that they are sorted.
@@ -74,14 +75,14 @@ class Grams:
     at: list[np.ndarray]
 
     @classmethod
-    def read(cls, text: np.ndarray, order: int = ORDER) -> Grams:
+    def read(cls, text: np.ndarray, every: bool = True) -> Grams:
+        """With `every` the numbers at the bytes for each length, else only for the longest."""
         codes, at = [np.zeros(1, np.int64)], [np.zeros(len(text), np.int32)]
-        for n in range(1, order + 1):
-            prior = at[-1]
-            pair = np.zeros(len(text), np.int64)
-            pair[n - 1 :] = (prior[n - 2 : -1] if n > 1 else prior).astype(np.int64) * SIZE + text[n - 1 :] if len(text) >= n else 0
-            own = pair[n - 1 :]
-            if len(codes[-1]) * SIZE <= CELLS:
+        for n in range(1, ORDER + 1):
+            few = len(codes[-1]) * SIZE <= CELLS
+            prior = at[-1][n - 2 : -1] if n > 1 else at[-1]
+            own = prior.astype(np.int32 if few else np.int64) * SIZE + text[n - 1 :] if len(text) >= n else np.zeros(0, np.int32)
+            if few:
                 seen = np.zeros(len(codes[-1]) * SIZE, bool)
                 seen[own] = True
                 kept = np.flatnonzero(seen)
@@ -92,6 +93,8 @@ class Grams:
                 kept, of = np.unique(own, return_inverse=True)
             each = np.zeros(len(text), np.int32)
             each[n - 1 :] = of
+            if not every:
+                at.clear()
             codes.append(codes[-1][kept // SIZE] * SIZE + kept % SIZE)
             at.append(each)
         return cls(codes, at)
@@ -120,9 +123,9 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
         def sent() -> Iterator[pa.RecordBatch]:
             for k, texts in held.items():
-                g = Grams.read(np.concatenate(texts))
+                g = Grams.read(np.concatenate(texts), every=False)
                 ends = np.concatenate([np.arange(ORDER - 1, len(t)) + a for t, a in zip(texts, np.cumsum([0, *map(len, texts)]), strict=False)])
-                n = np.bincount(g.at[ORDER][ends], minlength=len(g.codes[ORDER]))
+                n = np.bincount(g.at[-1][ends], minlength=len(g.codes[ORDER]))
                 kept = np.flatnonzero(n)
                 for i in range(0, len(kept), 100_000):
                     own = kept[i : i + 100_000]
@@ -320,17 +323,18 @@ class Part:
     grams: list[Grams]
 
     @classmethod
-    def read(cls, langs: list[str], texts: pa.Array) -> Part:
+    def read(cls, langs: list[str], texts: pa.Array, every: bool = True) -> Part:
         all_ = np.array(langs, dtype=object)
         out = cls([], [], [], [], [])
         for k in sorted(set(langs)):
             rows = np.flatnonzero(all_ == k)
             buf, off = utf8(texts.take(pa.array(rows)))
             text, own = padded(buf, off)
-            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text)), strict=True):
+            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text, every)), strict=True):
                 x.append(v)
         return out
 
+    @cached_property
     def asks(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of all n-grams, and the place there of each n-gram, language by language and order by order."""
         all_ = [gram_hashes(k, n, g.codes[n]) for k, g in zip(self.langs, self.grams, strict=True) for n in range(ORDER + 1)]
@@ -338,7 +342,7 @@ class Part:
 
     def log10(self, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
         """The sum of log10 probabilities of each row, from what is known of the asked hashes (NaN where nothing is)."""
-        of, start = self.asks()[1], 0
+        of, start = self.asks[1], 0
         out = np.zeros(sum(map(len, self.rows)))
         for rows, sizes, own, g in zip(self.rows, self.sizes, self.own, self.grams, strict=True):
             p = None
@@ -372,8 +376,8 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
     dealt = docs.withColumns({"__part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)), "__key": _lang(lang)})
 
     def ask(t: pa.Table) -> pa.Table:
-        p = Part.read(t.column("__key").to_pylist(), t.column("__text").combine_chunks())
-        h = p.asks()[0]
+        p = Part.read(t.column("__key").to_pylist(), t.column("__text").combine_chunks(), every=False)
+        h = p.asks[0]
         edge = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
         return pa.Table.from_batches([_row(k, t.column("__part")[0].as_py(), pack_sorted(h[edge[k] : edge[k + 1]])) for k in range(buckets) if edge[k + 1] > edge[k]], schema=_row(0, 0).schema)
 
@@ -395,7 +399,7 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         p = Part.read(docs_.column("__key").to_pylist(), texts)
         cells = sorted(zip(*[answers.column(x).to_pylist() for x in ("dest", "a", "b")], strict=True))
         logs, backs = (np.concatenate([unpack(c[k]).astype(np.uint32).view(np.float32) for c in cells]).astype(float) for k in (1, 2))
-        if len(logs) != len(p.asks()[0]):
+        if len(logs) != len(p.asks[0]):
             raise RuntimeError("the rows of a part have changed between two readings")
         total = p.log10(logs, backs)
         buf, off = utf8(texts)
