@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import crc_mod, pieces, bounded_batches, table, utf8
+from lintlake.llm.common import bounded_batches, crc_mod, pieces, table, utf8
 
 WINDOW = 256
 PER_LANGUAGE = 400
@@ -122,17 +122,21 @@ def classify(net: ByteCnn, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def labelled_windows(docs: DataFrame, doc_id: str, text: str, lang: str, train: Column, per_language: int, count: int, window: int) -> tuple[np.ndarray, list[str]]:
-    """A bounded sample: of each label about `per_language` texts, `count` windows each, chosen by hashes."""
-    known = docs.filter(train & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(doc_id).alias("__id"), F.col(text).alias("__t"), F.col(lang).alias("__l"))
-    sizes = {r[0]: r[1] for r in known.groupBy("__l").count().collect()}
-    if not sizes:
-        return np.zeros((0, window), np.uint8), []
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    dice = F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) / 1_000_003.0
+    """A bounded sample: of each label at most `per_language` different texts, `count` windows each, chosen by hashes of id and text.
+
+    Hashes below a share of their range are looked at, four times what is needed, and the label's least one, so
+    that a label of few texts in many rows is not missed.
+    """
+    own = F.xxhash64(doc_id, text)
+    known = docs.filter(train & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(own.alias("__h"), F.col(text).alias("__t"), F.col(lang).alias("__l"))
+    sizes = known.groupBy("__l").agg(F.count("*").alias("n"), F.min("__h").alias("least"))
+    dice = F.pmod(F.xxhash64("__h"), F.lit(1_000_003)) / 1_000_003.0
+    some = known.join(sizes, "__l").filter((dice < F.lit(4.0 * per_language) / F.col("n")) | (F.col("__h") == F.col("least"))).dropDuplicates(["__l", "__h"])
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("__l").orderBy("__h"))).filter(F.col("k") <= per_language)
     body = F.encode("__t", "UTF-8")
     room = F.greatest(F.octet_length("__t") - window, F.lit(0)) + 1
-    cut = F.array(*[F.substring(body, F.pmod(F.xxhash64("__id", F.lit(k)), room.cast("long")).cast("int") + 1, F.lit(window)) for k in range(count)])
-    rows = known.filter(dice < share[F.col("__l")]).select("__l", F.explode(F.array_distinct(cut)).alias("w"), "__id").orderBy("__l", "__id", "w").select("__l", "w").collect()
+    cut = F.array(*[F.substring(body, F.pmod(F.xxhash64("__h", F.lit(k)), room.cast("long")).cast("int") + 1, F.lit(window)) for k in range(count)])
+    rows = chosen.select("__l", F.explode(F.array_distinct(cut)).alias("w"), "__h").orderBy("__l", "__h", "w").select("__l", "w").collect()
     x = np.zeros((len(rows), window), np.uint8)
     for k, r in enumerate(rows):
         x[k, : len(r.w)] = np.frombuffer(bytes(r.w), np.uint8)

@@ -79,22 +79,23 @@ def solve(tokens: np.ndarray, budget: float, target_entropy: float | None = None
     return Weights(a, temper(tokens, a), repeats(a))
 
 
-def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget: int | None = None, target_entropy: float | None = None, max_repeat: float = MAX_REPEAT, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget: int | None = None, target_entropy: float | None = None, max_repeat: float = MAX_REPEAT, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
     """`docs` with mix_tokens, mix_epoch, mix_block and mix_weight: one row for each time that a document is used.
 
-    A budget of None is the tokens of all documents. Sort by (mix_epoch, mix_block_key, mix_doc_key) for the mix.
+    tokens: what a document counts for, such as the n_tokens of `token_counts`; its words where that is None. A budget
+    of None is the tokens of all documents. Sort by (mix_epoch, mix_block_key, mix_doc_key) for the mix.
     """
     spark = docs.sparkSession
     key = F.col("__src")
-    rows = docs.withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).withColumn("mix_tokens", n_words(text))
+    rows = docs.withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).withColumn("mix_tokens", n_words(text) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long"))
     slim = rows.select("__src", F.col(doc_id).alias("__id"), "mix_tokens")
     totals = slim.groupBy("__src").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    names, tokens = [r[0] for r in totals], np.array([r.tokens for r in totals], float)
-    if not tokens.sum():
+    names, sums_ = [r[0] for r in totals], np.array([r.tokens for r in totals], float)
+    if not sums_.sum():
         return _with_picks(rows.filter(F.lit(False)), F.lit(None), F.lit(0).cast("long"), F.lit(None).cast("double"), doc_id, 1, seed)
-    got = solve(tokens, float(budget if budget is not None else tokens.sum()), target_entropy, max_repeat)
-    quota = np.floor(got.repeats * tokens + 1e-6).astype(np.int64)
-    passes = [(k, int(q // t) if t else 0, int(q % t) if t else 0, float(w)) for k, q, t, w in zip(names, quota.tolist(), tokens.astype(np.int64).tolist(), got.weights.tolist(), strict=True)]
+    got = solve(sums_, float(budget if budget is not None else sums_.sum()), target_entropy, max_repeat)
+    quota = np.floor(got.repeats * sums_ + 1e-6).astype(np.int64)
+    passes = [(k, int(q // t) if t else 0, int(q % t) if t else 0, float(w)) for k, q, t, w in zip(names, quota.tolist(), sums_.astype(np.int64).tolist(), got.weights.tolist(), strict=True)]
     blocks = max(1, -(-sum(r.n for r in totals) // BLOCK_DOCS))
     plan = spark.createDataFrame(passes, "__src string, full long, rest long, weight double")
     small = len(names) <= BROADCAST_SOURCES

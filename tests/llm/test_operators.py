@@ -119,6 +119,56 @@ def test_mixing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixing_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    sizes = [("s0", 900), ("s1", 260), ("s2", 40), (None, 3)]
+    rows = [(k * 10_000 + j, "w " * int(rng.integers(0, 30)), name) for k, (name, n) in enumerate(sizes) for j in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {i: len(t.split()) for i, t, _ in rows}
+    total = {name: sum(words[i] for i, _, s in rows if s == name) for name, _ in sizes}
+    w = mixing.solve(np.array([float(total[name]) for name, _ in sizes]), float(sum(total.values())))
+    blocks = -(-len(rows) // mixing.BLOCK_DOCS)
+    got = mixing.mix_sources(df).select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_block").collect()
+    want = set()
+    for (name, _), repeat in zip(sizes, w.repeats, strict=True):
+        quota = int(np.floor(repeat * total[name] + 1e-6))
+        full, rest = divmod(quota, total[name])
+        own = [i for i, _, s in rows if s == name]
+        want |= {(i, e) for i in own for e in range(full)}
+        keyed = spark.createDataFrame([(i,) for i in own], "doc_id long").select("doc_id", *mixing._keys(F.col("doc_id"), F.lit(full).cast("long"), blocks, mixing.SEED)).collect()
+        used = 0
+        for r in sorted(keyed, key=lambda r: (r[2], r[1], r[3])):  # blocks by their keys, documents by theirs
+            used += words[r.doc_id]
+            if used > rest:
+                break
+            if rest:
+                want.add((r.doc_id, full))
+    assert {(r.doc_id, r.mix_epoch) for r in got} == want and len(got) == len(want)
+    by_tokens = mixing.mix_sources(df, tokens=F.lit(2)).select("mix_tokens").distinct().collect()
+    assert [r[0] for r in by_tokens] == [2]
+
+
+def test_network_against_loops():
+    net = langid.ByteCnn(["a", "b", "c"], window=12)
+    g = np.random.default_rng(1)
+    x = g.integers(0, 256, (4, 12)).astype(np.uint8)
+    for row, p in zip(x, net.probabilities(x), strict=True):
+        z = net.c.astype(float).copy()
+        for f in range(net.W.shape[1]):
+            width = 2 + f // 12
+            best = max(sum(float(net.E[row[i + j], d]) * float(net.W[j * net.dim + d, f]) for j in range(width) for d in range(net.dim)) for i in range(12 - net.wide + 1))
+            z += max(best + net.b[f], 0) * net.V[f]
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum(), atol=1e-5)
+
+
+def test_language_sample_of_repeated_rows(spark):
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text in all rows").alias("text"), F.lit("en").alias("lang"))
+    x, y = langid.labelled_windows(df, "doc_id", "text", "lang", F.lit(True), 400, 4, 256)
+    assert len(x) == 1 and y == ["en"]
+    many = spark.range(3000).select("id", F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    assert len(langid.labelled_windows(many, "id", "text", "lang", F.lit(True), 50, 1, 256)[0]) == 50
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs(spark, [*TEXTS, *[" ".join(sentence(100 * k + j) for j in range(8)) for k in range(1, 30)]]).drop("n", "hash", "path").write.parquet(f"{tmp_path}/documents.parquet")
