@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--experimental", action="store_true", default=None)
     p.add_argument("--config", metavar="FILE")
     p.add_argument("--summary", action="store_true")
+    p.add_argument("--output", metavar="FOLDER", help="write findings there as lines of text, without bringing them to the driver")
     p.add_argument("--list-rules", action="store_true")
     p.add_argument("--no-color", action="store_true")
     return p
@@ -59,6 +60,9 @@ def main(argv: list[str] | None = None) -> int:
     except (OSError, ValueError) as e:
         print(str(e), file=sys.stderr)
         return 2
+    if a.output:
+        reports.save(r.findings, a.output, "json" if a.format == "table" else a.format)
+        return int(not r.findings.filter("severity = 'error'").isEmpty())
     done = reports.Collected.of(r)
     text = reports.summary(r) if a.summary else None
     color = not a.no_color and sys.stdout.isatty() and "NO_COLOR" not in os.environ

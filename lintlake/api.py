@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,6 @@ _SKIP = "stage int, seq bigint, path string, reason string"
 
 def expand(paths: list[str], cwd: str, exclude: tuple[str, ...] = ()) -> tuple[list[str], list[tuple[str, str]]]:
     """Files, folders and globs as a sorted list of reviewable files, and the inputs that gave none."""
-    import re
-
     base, files, skipped = Path(cwd), set(), []
     inside = re.compile(rf"(?:^|/)(?:{BUILD_DIRS}|\.git)(?:/|$)", re.I)
     good = re.compile(r"\.(?:java|xml)\Z", re.I)
@@ -59,8 +58,10 @@ def expand(paths: list[str], cwd: str, exclude: tuple[str, ...] = ()) -> tuple[l
     return sorted(p for p in files if not any(rx.match(p) for rx in shut)), skipped
 
 
-def _java_of(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """(ord, path, content) of Java files that may be companions; contents are read where a mapper needs them."""
+def _java_of(spark: SparkSession, root: str, mappers: list[str]) -> DataFrame:
+    """(ord, path, content) of the Java files that may be companions: those named like the last part of a namespace."""
+    wanted = {f"{m.rpartition('.')[2]}.java" for text in mappers for m in re.findall(r"""namespace\s*=\s*["']\s*([\w.$]+)""", text)}
+    names = [p for p in G.tracked_java(root) if p.rpartition("/")[2] in wanted] if wanted else []
     rows = [(k, p, G.in_tree(p, root)) for k, p in enumerate(names)]
     return spark.createDataFrame([r for r in rows if r[2] is not None], "ord int, path string, content string")
 
@@ -70,7 +71,7 @@ def review_paths(spark: SparkSession, paths: list[str], cwd: str, options: Optio
     rows = [(p, G.in_tree(p, cwd)) for p in files]
     units = U.whole_files(spark.createDataFrame([r for r in rows if r[1] is not None], "path string, content string"))
     skipped = spark.createDataFrame([(1, k, p, r) for k, (p, r) in enumerate(left)], _SKIP)
-    java = _java_of(spark, cwd, G.tracked_java(cwd)) if any(p.lower().endswith(".xml") for p in files) else None
+    java = _java_of(spark, cwd, [body for p, body in rows if body is not None and p.lower().endswith(".xml")])
     return review(units, None, java, options, skipped)
 
 
@@ -105,5 +106,5 @@ def review_diff(spark: SparkSession, source: G.DiffSource, cwd: str, options: Op
         rows += [(p, b, "worktree") for p, b in new if b is not None]
     contents = spark.createDataFrame(rows, _CONTENT)
     units, added, skipped = U.from_diff(files, lines, contents, options.exclude)
-    java = _java_of(spark, root, G.tracked_java(root)) if any(p.lower().endswith(".xml") for p in names) else None
+    java = _java_of(spark, root, [body for p, body, _ in rows if p.lower().endswith(".xml")])
     return review(cut(units), cut(added), java, options, cut(skipped))

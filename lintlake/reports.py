@@ -39,6 +39,21 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(value): one SARIF result for each finding, as JSON."""
+    place = F.create_map(*[F.lit(x) for k, r in enumerate(RULES) for x in (r.id, k)])
+    text = F.concat("message", F.coalesce(F.concat(F.lit("\n"), "suggestion"), F.lit("")))
+    region = F.struct(F.col("line").alias("startLine"), F.lit(1).alias("startColumn"), F.struct(F.col("snippet").alias("text")).alias("snippet"))
+    where = F.struct(F.struct(F.struct(F.col("file").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    one = F.struct(F.col("rule").alias("ruleId"), F.coalesce(F.try_element_at(place, F.col("rule")), F.lit(0)).alias("ruleIndex"), sarif_level(F.col("severity")).alias("level"), F.struct(text.alias("text")).alias("message"), F.array(where).alias("locations"))
+    return findings.select(F.to_json(one).alias("value"))
+
+
+def save(findings: DataFrame, folder: str, kind: str = "json") -> None:
+    """Findings as lines of text files below a folder, written by executors: json, sarif (results) or github."""
+    {"json": json_rows, "sarif": sarif_results, "github": annotations}[kind](findings).write.text(folder)
+
+
 @dataclass
 class Collected:
     """A review on the driver: rows are read in order, a partition at a time."""

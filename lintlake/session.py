@@ -24,8 +24,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to spark.checkpoint.dir (a local folder only where none is set): plans built on it stay small."""
+    """`df` written to spark.checkpoint.dir (a local folder only where none is set, on a local master): plans built on it stay small."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lintlake-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="lintlake-"))
     return df.checkpoint()

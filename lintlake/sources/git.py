@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import subprocess
+import threading
 from dataclasses import dataclass
 from pathlib import Path
 
-#: Output beyond this is refused.
-LIMIT = 64 << 20
+#: Seconds that one call of git may take.
+TIMEOUT = 600
+
+class GitError(OSError):
+    """git did not end in time."""
 
 
 def git(args: list[str], cwd: str) -> str | None:
-    """Standard output, or None for any failure and for output over LIMIT."""
+    """Standard output whatever its size, or None where there is nothing to show (no git, or a status other than 0)."""
     try:
-        done = subprocess.run(["git", *args], cwd=cwd, capture_output=True, timeout=600)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    if done.returncode or len(done.stdout) > LIMIT:
+        with subprocess.Popen(["git", *args], cwd=cwd, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+            timer = threading.Timer(TIMEOUT, run.kill)
+            timer.start()
+            try:
+                out = b"".join(iter(lambda: run.stdout.read(1 << 20), b""))
+                status = run.wait()
+            finally:
+                timer.cancel()
+    except OSError:
         return None
-    return done.stdout.decode("utf-8", "replace")
+    if status < 0:
+        raise GitError(f"git {args[0]} was stopped")
+    return None if status else out.decode("utf-8", "replace")
 
 
 @dataclass(frozen=True)

@@ -85,7 +85,7 @@ def test_gates(spark):
     assert r.findings.count() == 0
 
 
-def test_reports(spark):
+def test_reports(spark, tmp_path):
     r = review(units(spark, ("m.xml", "<mapper namespace='a'>\n<select id='q'>select * from t</select>\n</mapper>")))
     c = reports.Collected.of(r)
     out = json.loads(reports.render_json(c))
@@ -97,6 +97,11 @@ def test_reports(spark):
     assert "1 error(s)" in reports.render_table(c) and "\x1b[31m" in reports.render_table(c, color=True)
     assert c.exit_code() == 1 and "MYB005" in reports.summary(r)
     assert '"suggestion":' in reports.json_rows(r.findings).first().value
+    for kind in ("json", "sarif", "github"):
+        reports.save(r.findings, f"{tmp_path}/{kind}", kind)
+    rows = [json.loads(x.value) for x in spark.read.text(f"{tmp_path}/sarif").collect()]
+    assert sorted(rows, key=lambda x: x["ruleId"]) == sorted(sarif["runs"][0]["results"], key=lambda x: x["ruleId"])
+    assert spark.read.text(f"{tmp_path}/github").count() == spark.read.text(f"{tmp_path}/json").count() == 2
 
 
 def run_git(cwd, *args):
@@ -162,3 +167,81 @@ def test_rpc(spark):
 def test_suppression_without_ids_is_for_all(spark, line):
     text = f"<mapper namespace='a'>\n<select id='q'>select * from t</select> {line}\n</mapper>"
     assert review(units(spark, ("m.xml", text))).findings.count() == 0
+
+
+TWICE = "package demo;\n@Service\npublic class A {\n  public void a() { b(); }\n  %spublic void b() { }\n}\n"
+
+
+def test_units_of_one_path_are_apart(spark):
+    """Two versions of a file, of which neither has a finding."""
+    both = spark.createDataFrame([(1, "A.java", TWICE % ""), (2, "A.java", (TWICE % "@Transactional ").replace("b();", ""))], "unit_ord long, path string, content string")
+    rows = both.selectExpr("unit_ord", "path", "'java' as lang", "content", "'patch' as content_source", "true as complete", "true as whole_file")
+    assert review(rows).findings.count() == 0
+    last = both.filter("unit_ord = 2").selectExpr("unit_ord", "path", "'java' as lang", "replace(content, 'a() { ', 'a() { b(); ') as content", "'patch' as content_source", "true as complete", "true as whole_file")
+    got = review(rows.filter("unit_ord = 1").unionByName(last)).findings.collect()
+    assert [(x.rule, x.file, x.line, x.unit_ord) for x in got] == [("SPR001", "A.java", 4, 2)] and "b();" in got[0].snippet
+
+
+def test_very_long_tags_and_gaps(spark):
+    tag = "<select " + "x" * 1_000_000 + ">select * from t</select>"
+    gap = "class AService {\n  private int n;\n  void m() { int /*" + "-" * 10_000 + "*/ n = 3; }\n}\n"
+    r = review(units(spark, ("a.xml", tag), ("b.xml", "<mapper namespace='a'>" + tag + "</mapper>"), ("c.xml", "<doc " + "y" * 1_000_000), ("AService.java", gap)), options=Options(experimental=True))
+    assert {(x.file, x.rule) for x in r.findings.collect()} == {("b.xml", "MYB004"), ("b.xml", "MYB005")}
+    assert {s.path for s in r.skipped.collect()} == {"a.xml", "c.xml"}
+
+
+def test_many_matches_in_one_text(spark):
+    from pyspark.sql import functions as F
+
+    from lintlake.functions import text as X
+
+    text = "a\nbb a" * 3000 + "é a"
+    df = spark.createDataFrame([(text,), ("",), (None,), ("a",), ("xa\n\na",)], "t string").select(X.matches(F.col("t"), "a").alias("m"))
+    first, none, null, one, two = [r.m for r in df.collect()]
+    assert [m.start for m in first] == [i for i, c in enumerate(text) if c == "a"] and all(m.end == m.start + 1 and m.text == "a" for m in first)
+    assert [m.line for m in first] == [text.count("\n", 0, m.start) + 1 for m in first]
+    assert none == [] and not null and [(m.start, m.line) for m in one] == [(0, 1)] and [(m.start, m.line) for m in two] == [(1, 1), (4, 3)]
+
+
+def test_a_file_that_cannot_be_read_is_skipped(spark, monkeypatch):
+    from lintlake.operators import java_structure as js
+
+    bad = js.analyzed("A.java", None, None)
+    assert bad["diagnostics"][0].startswith(js.FAILED) and bad["members"] == []
+    broken = spark.createDataFrame([bad | {"path": "1\x1fA.java"}], js.SCHEMA)
+    from lintlake.plans import review as plan
+
+    monkeypatch.setattr(plan, "java_structure", lambda u: broken)
+    rows = spark.createDataFrame([(1, "A.java", TWICE % "@Transactional ")], "unit_ord long, path string, content string").selectExpr("unit_ord", "path", "'java' as lang", "content", "'x' as content_source", "true as complete", "true as whole_file")
+    r = review(rows, options=Options(only=("SPR001", "MYB001")))
+    assert r.findings.count() == 0 and {s.reason.split(":")[0] for s in r.skipped.collect()} == {"SPR001", "MYB001"}
+
+
+def test_own_rules(spark):
+    from pyspark.sql import functions as F
+
+    def long_names(c):
+        return c.java.members.filter(F.length("name") > 3).select("path", F.lit(50).alias("rule_ord"), F.array("member_ix").alias("draft_seq"), F.lit("OWN001").alias("rule"), F.lit("warn").alias("severity"), "line", F.col("line").alias("end_line"), F.concat(F.lit("long name "), "name").alias("message"), F.lit(None).cast("string").alias("suggestion"))
+
+    text = "class A {\n  void abcd() { }\n  // review:disable OWN001\n  void efgh() { }\n  void ij() { }\n}\n"
+    r = review(units(spark, ("A.java", text)), own_rules=[long_names], own_ids=["OWN001"])
+    assert [(x.rule, x.line, x.message) for x in r.findings.collect()] == [("OWN001", 2, "long name abcd")]
+
+
+def test_staged_and_range(spark, tmp_path):
+    run_git(tmp_path, "init", "-q")
+    one, two, three = ("<mapper namespace='a'>\n" + "".join(f"<select id='q{k}'>select * from t{k}</select>\n" for k in range(n)) + "</mapper>\n" for n in (1, 2, 3))
+    for text in (one, two):
+        (tmp_path / "m.xml").write_text(text)
+        run_git(tmp_path, "add", ".")
+        run_git(tmp_path, "commit", "-qm", "x")
+    (tmp_path / "m.xml").write_text(three)
+    run_git(tmp_path, "add", ".")
+    (tmp_path / "m.xml").write_text("overwritten")
+    got = api.review_diff(spark, DiffSource("range", "HEAD~1..HEAD"), str(tmp_path))
+    assert {x.line for x in got.findings.collect()} == {3} and {x.content_source for x in got.units.collect()} == {"head"}
+    staged = api.review_diff(spark, DiffSource("staged"), str(tmp_path))
+    assert {(x.rule, x.line) for x in staged.findings.collect()} <= {("MYB001", 4), ("MYB004", 4), ("MYB005", 4)}
+    assert any("does not match" in s.reason for s in staged.skipped.collect())
+    with pytest.raises(ValueError):
+        api.review_diff(spark, DiffSource("range", "no-such-ref..HEAD"), str(tmp_path))
