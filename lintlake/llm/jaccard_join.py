@@ -217,12 +217,13 @@ class Block:
         sketch = np.frombuffer(b"".join(t.column("sketch").combine_chunks().take(take).to_pylist()), np.uint16).reshape(len(ids), -1)
         lists = t.column("paths").combine_chunks().take(take)
         flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        before = flat < path
-        seen, col = np.unique(flat[before], return_inverse=True)
-        member = np.zeros((len(ids), len(seen)), np.float32)
-        member[row[before], col] = 1
-        # not pairs that meet under a lesser path; pairs inside one block belong to the pair (block, block)
-        todo = (member @ member.T == 0) & ((own[:, None] != own[None, :]) | (i == j))
+        todo = (own[:, None] != own[None, :]) | (i == j)  # pairs inside one block belong to the pair (block, block)
+        # not pairs that meet under a lesser path
+        order = np.argsort(flat, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1, [len(flat)]]) if len(flat) else np.zeros(1, np.int64)
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            members = row[order[cuts[k] : cuts[k + 1]]]
+            todo[np.ix_(members, members)] = False
         return cls(path, ids, at, sketch, np.triu(todo, 1))
 
     def near(self, floor: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -249,7 +250,8 @@ def meetings(buckets: DataFrame, floor: float) -> DataFrame:
             if met.any():
                 yield from t.take(pa.array(b.at[met])).to_batches()
 
-    return _sorted_groups(buckets.select("path", "i", "j", "own", "node", "sketch", "paths"), "path").mapInArrow(run, _MEMBER)
+    lesser = F.filter("paths", lambda p: p < F.col("path")).alias("paths")
+    return _sorted_groups(buckets.select("path", "i", "j", "own", "node", "sketch", lesser), "path").mapInArrow(run, _MEMBER)
 
 
 def links_of(members: DataFrame, similarity: float, floor: float) -> DataFrame:
