@@ -14,6 +14,7 @@ from lintlake.operators import mapper_xml as mx
 from lintlake.operators.java_structure import java_structure, table_of
 from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
+from lintlake.plans.catalogue import RULE_IDS
 from lintlake.plans.review import Options, review, scopes
 from lintlake import reports
 from lintlake.sources import corpus as C
@@ -360,6 +361,19 @@ def corpus_summary(spark, d):
     return review(u, options=Options(experimental=True)).findings.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def _variants_of(rule: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return review(C.variant_units(spark, d), options=Options(only=(rule,), experimental=True)).findings.select("file", "line", "severity", "message")
+
+    run.__name__ = f"variants_{rule.lower()}"
+    run.__doc__ = f"Every branch of {rule} in fixtures that mark their own lines: places, severities and messages."
+    query(C.variant_sql(rule))(run)
+
+
+for _rule in RULE_IDS:
+    _variants_of(_rule)
+
+
 def star_selects(spark: SparkSession, d: str) -> DataFrame:
     """Which selects of the mapper corpus read all columns, on which line, without suppressed ones."""
     return review(C.mapper_units(spark, d), options=Options(only=("MYB004",))).findings.select("rule", "severity", "file", "line", "snippet")
