@@ -55,33 +55,36 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 # ------------------------------------------------------------------ n-grams of some texts
 
 
-def padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of rows with ORDER - 1 spaces before each, and where the rows' own bytes stand."""
+def padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of rows with ORDER - 1 spaces before each, where the rows' own bytes stand, and where the spaces begin."""
     size = np.diff(off)
     at = np.arange(len(buf)) + np.repeat(np.arange(1, len(size) + 1) * (ORDER - 1), size)
     out = np.full(len(buf) + len(size) * (ORDER - 1), 32, np.uint8)
     out[at] = buf
-    return out, at
+    return out, at, off[:-1] + np.arange(len(size)) * (ORDER - 1)
 
 
 @dataclass
 class Grams:
     """Numbered n-grams of each length: the code (bytes, first one highest) of each number, and the number at each byte.
 
-    At the first n - 1 bytes of all there is none (number 0 stands there, and is never looked at).
+    At the first n - 1 bytes of all, and of what starts anew, there is none (number 0 stands there, and is never looked
+    at), so that what is numbered does not depend on the order of rows.
     """
 
     codes: list[np.ndarray]
     at: list[np.ndarray]
 
     @classmethod
-    def read(cls, text: np.ndarray, every: bool = True) -> Grams:
-        """With `every` the numbers at the bytes for each length, else only for the longest."""
+    def read(cls, text: np.ndarray, starts: np.ndarray, every: bool = True) -> Grams:
+        """starts: where texts begin. With `every` the numbers at the bytes for each length, else only for the longest."""
         codes, at = [np.zeros(1, np.int64)], [np.zeros(len(text), np.int32)]
         for n in range(1, ORDER + 1):
             few = len(codes[-1]) * SIZE <= CELLS
             prior = at[-1][n - 2 : -1] if n > 1 else at[-1]
             own = prior.astype(np.int32 if few else np.int64) * SIZE + text[n - 1 :] if len(text) >= n else np.zeros(0, np.int32)
+            for k in range(1, n):
+                own[starts[starts >= k] - k] = 0
             if few:
                 seen = np.zeros(len(codes[-1]) * SIZE, bool)
                 seen[own] = True
@@ -123,8 +126,9 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
         def sent() -> Iterator[pa.RecordBatch]:
             for k, texts in held.items():
-                g = Grams.read(np.concatenate(texts), every=False)
-                ends = np.concatenate([np.arange(ORDER - 1, len(t)) + a for t, a in zip(texts, np.cumsum([0, *map(len, texts)]), strict=False)])
+                starts = np.cumsum([0, *map(len, texts)])[:-1]
+                g = Grams.read(np.concatenate(texts), starts, every=False)
+                ends = np.concatenate([np.arange(ORDER - 1, len(t)) + a for t, a in zip(texts, starts, strict=True)])
                 n = np.bincount(g.at[-1][ends], minlength=len(g.codes[ORDER]))
                 kept = np.flatnonzero(n)
                 for i in range(0, len(kept), 100_000):
@@ -329,8 +333,8 @@ class Part:
         for k in sorted(set(langs)):
             rows = np.flatnonzero(all_ == k)
             buf, off = utf8(texts.take(pa.array(rows)))
-            text, own = padded(buf, off)
-            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text, every)), strict=True):
+            text, own, starts = padded(buf, off)
+            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text, starts, every)), strict=True):
                 x.append(v)
         return out
 
