@@ -207,20 +207,23 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
-        gc.disable()  # nothing here is cyclic, and the collector would walk all remembered words
-        for b in batches:
-            count, of_ids, of_text, arrays = [], [], [], []
-            for part in chunks(b.column(b.num_columns - 1).to_pylist()):
-                for names, n, raw in bpe.encode(part):
-                    count.append(n)
-                    of_ids.append(hashlib.sha256(names.encode()).hexdigest())
-                    of_text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-                    if ids:
-                        arrays.append(np.array(names.split(",") if n else [], dtype=np.int32))
-            more = [pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            if ids:
-                more.append(pa.array(arrays, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=schema.names)
+        gc.disable()  # while this task runs: nothing here is cyclic, and the collector would walk all remembered words
+        try:
+            for b in batches:
+                count, of_ids, of_text, arrays = [], [], [], []
+                for part in chunks(b.column(b.num_columns - 1).to_pylist()):
+                    for names, n, raw in bpe.encode(part):
+                        count.append(n)
+                        of_ids.append(hashlib.sha256(names.encode()).hexdigest())
+                        of_text.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+                        if ids:
+                            arrays.append(np.array(names.split(",") if n else [], dtype=np.int32))
+                more = [pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                if ids:
+                    more.append(pa.array(arrays, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=schema.names)
+        finally:
+            gc.enable()
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.text import running
 from lintlake.llm.common import stored, table
 
 #: A value held by more owners than this is a widely copied example.
@@ -42,16 +43,11 @@ def _found(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0,
     rx = F.lit(pattern)
     hits = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.regexp_extract_all(text, rx, F.lit(group)).alias("v"), F.split(text, pattern, -1).alias("gap"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        kept = F.when(F.length(x["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.coalesce(kept, acc["spans"]).alias("spans"))
-
     # the last gap has no match: arrays_zip pads it with nulls
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    spans = F.aggregate(F.filter(hits, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["spans"])
+    hits = F.filter(hits, lambda x: x["m"].isNotNull())
+    ends = running(F.transform(hits, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+    one = lambda p: F.struct((p["end"] - F.length(p["x"]["m"])).alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"), p["x"]["v"].alias("value"))
+    spans = F.filter(F.transform(F.arrays_zip(hits.alias("x"), ends.alias("end")), one), lambda s: F.length(s["value"]) >= least)
     return F.when(maybe, spans).otherwise(F.array().cast(_SPAN))
 
 
