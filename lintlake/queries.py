@@ -184,6 +184,12 @@ def patch_line_numbers(spark, d):
     return D.parse_patches(C.patches(spark, d)).select("patch_id", F.explode("lines").alias("l")).select("patch_id", "l.new_line", "l.kind")
 
 
+@query(C.patch_kinds_sql())
+def patch_file_kinds(spark, d):
+    added = F.size(F.filter("lines", lambda x: x["kind"] == "added")).alias("added")
+    return D.parse_patches(C.patch_kinds(spark, d)).select("patch_id", "path", "old_path", "status", "hunks", "unsupported", added)
+
+
 def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return D.split(D.parse_patches(C.patches(spark, d)).withColumn("file_ord", F.col("patch_id").cast("int")))
 

@@ -280,3 +280,30 @@ def variant_sql(rule: str) -> str:
         if rows:
             out.append(f"SELECT '{head}' || {key} || '{tail}' AS file, CAST(x.line AS INTEGER) AS line, x.severity AS severity, x.message AS message FROM {rel} JOIN (VALUES {rows}) AS x(v, line, severity, message) ON {key} % {len(texts)} = x.v")
     return " UNION ALL ".join(out)
+
+
+#: Patches of one file each: text, and the path, old path, status, hunks, reason and added lines that it tells.
+PATCH_KINDS = [
+    ("diff --git a/o/A.java b/n/A.java\nsimilarity index 90%\nrename from o/A.java\nrename to n/A.java\n--- a/o/A.java\n+++ b/n/A.java\n@@ -1,2 +1,2 @@\n class A {\n-int a;\n+int b;\n", "n/A.java", "o/A.java", "renamed", 1, None, 1),
+    ("diff --git a/o.xml b/n.xml\nsimilarity index 100%\ncopy from o.xml\ncopy to n.xml\n", "n.xml", "o.xml", "renamed", 0, None, 0),
+    ("diff --git a/p.bin b/p.bin\nindex 1..2 100644\nBinary files a/p.bin and b/p.bin differ\n", "p.bin", "p.bin", "added", 0, "binary file", 0),
+    ('diff --git "a/\\303\\251 x.java" "b/\\303\\251 x.java"\nnew file mode 100644\n--- /dev/null\n+++ "b/\\303\\251 x.java"\n@@ -0,0 +1,2 @@\n+a\n+b\n\\ No newline at end of file\n', "é x.java", "é x.java", "added", 1, None, 2),
+    ("diff --git a/g.xml b/g.xml\ndeleted file mode 100644\n--- a/g.xml\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-x\n-y\n", "g.xml", "g.xml", "deleted", 1, None, 0),
+    ("diff --cc c.xml\nindex 1,2..3\n--- a/c.xml\n+++ b/c.xml\n@@@ -1 -1 +1,2 @@@\n x\n", "c.xml", "c.xml", "modified", 0, "combined merge diff is not supported", 0),
+    ("--- a/x y.java\t2020-01-01\n+++ b/x y.java\t2020-01-01\n@@ -1,2 +1,3 @@\n a\n\n+c\n", "x y.java", None, "modified", 1, None, 1),
+    ("--- a/z.java\n+++ b/z.java\n@@ -1 +1,2 @@\n a\n b\n+c\n", "z.java", None, "modified", 1, "hunk line counts do not match", 0),
+    ("diff --git a/k.java b/k.java\n--- a/k.java\n+++ b/k.java\n@@ -3 +3 @@ class K {\n--- looks like a header\n+++ so does this\n@@ -9,0 +10 @@\n+end\n", "k.java", "k.java", "modified", 2, None, 2),
+]
+
+
+def patch_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("patch_id"), _pick(F.col("o_orderkey"), [p[0] for p in PATCH_KINDS]).alias("text"))
+
+
+def patch_kinds_sql() -> str:
+    def lit(x) -> str:
+        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({k}, {', '.join(map(lit, p[1:]))})" for k, p in enumerate(PATCH_KINDS))
+    return f"SELECT o_orderkey AS patch_id, x.path AS path, x.old_path AS old_path, x.status AS status, CAST(x.hunks AS INTEGER) AS hunks, x.unsupported AS unsupported, CAST(x.added AS INTEGER) AS added FROM orders JOIN (VALUES {rows}) AS x(k, path, old_path, status, hunks, unsupported, added) ON o_orderkey % {len(PATCH_KINDS)} = x.k"
