@@ -39,10 +39,11 @@ from lintlake.llm.common import U64, bounded_batches, grouped, mix, pack, pack_s
 ORDER = 5
 SIZE = 256
 WIDTH = 4.5
-#: Bytes of a part, rounds, and n-grams in a bucket of the model.
-PART = 3 << 20
+#: Bytes of a part, rounds, and n-grams in a bucket of the model; a bucket is asked by so many parts' worth of n-grams.
+PART = 2 << 20
 ROUNDS = 4
 BUCKET = 1_000_000
+ASKING = 24
 #: Cells of a table that numbers n-grams; beyond that they are sorted.
 CELLS = 1 << 24
 #: The least spread of a side (in log10 perplexity), and of texts to take it from.
@@ -198,6 +199,10 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     return grams.join(backs, ["lang", "n", "code"], "full")
 
 
+def _parts(docs: DataFrame, text: str) -> int:
+    return max(1, math.ceil(int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / PART))
+
+
 @dataclass
 class Model:
     """Rows (bucket `dest`; sorted hashes, log10 probabilities and log10 backoff weights as arrays) and their number of buckets."""
@@ -209,7 +214,7 @@ class Model:
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         counted = stored(count_ngrams(docs, text, lang), "ngrams")
         grams = stored(kneser_ney(counted), "grams")
-        buckets = max(1, math.ceil(grams.count() / BUCKET))
+        buckets = max(1, math.ceil(grams.count() / BUCKET), _parts(docs, text) // ASKING)
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -375,8 +380,7 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
     for n in names:
         schema = schema.add(n, "long")
     schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double").add("word_ppl", "double")
-    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    parts, buckets = max(1, math.ceil(size / PART)), model.buckets
+    parts, buckets = _parts(docs, text), model.buckets
     dealt = docs.withColumns({"__part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)), "__key": _lang(lang)})
 
     def ask(t: pa.Table) -> pa.Table:
