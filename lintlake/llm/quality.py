@@ -44,6 +44,8 @@ PART = 2 << 20
 ROUNDS = 4
 BUCKET = 1_000_000
 ASKING = 24
+#: Languages up to which their discounts are broadcast (a row of about 50 bytes each); beyond it they are joined.
+MOST_LANGUAGES = 50_000
 #: Cells of a table that numbers n-grams; beyond that they are sorted.
 CELLS = 1 << 24
 #: The least spread of a side (in log10 perplexity), and of texts to take it from.
@@ -179,12 +181,14 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     counts = {ORDER: counted.withColumnRenamed("n", "c")}
     for n in range(ORDER - 1, 0, -1):
         counts[n] = stored(counts[n + 1].groupBy("lang", (F.col("code") % SIZE**n).alias("code")).agg(F.count("*").alias("c")), f"continuations-{n}")
+    # discounts are one row a language: broadcast where that is checked to be little, for a language may have most rows
+    few = counts[1].select("lang").distinct().count() <= MOST_LANGUAGES
     lower = counts[1].select("lang").distinct().select("lang", F.lit(0).cast("long").alias("suffix"), F.lit(1 / SIZE).alias("lower"))
     parts, contexts = [lower.select("lang", F.lit(0).alias("n"), F.col("suffix").alias("code"), F.col("lower").alias("p"))], []
     for n in range(1, ORDER + 1):
         c = F.col("c")
         cut = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).otherwise(F.col("d1"))
-        own = counts[n].join(_discounts(counts[n]), "lang").select("lang", "code", "c", cut.alias("cut"), F.expr(f"code div {SIZE}").alias("context"), (F.col("code") % SIZE ** (n - 1)).alias("suffix"))
+        own = counts[n].join(F.broadcast(_discounts(counts[n])) if few else _discounts(counts[n]), "lang").select("lang", "code", "c", cut.alias("cut"), F.expr(f"code div {SIZE}").alias("context"), (F.col("code") % SIZE ** (n - 1)).alias("suffix"))
         around = own.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("held")).select("lang", "context", "total", (F.col("held") / F.col("total")).alias("back"))
         p = own.join(around, ["lang", "context"]).join(lower, ["lang", "suffix"]).select("lang", F.lit(n).alias("n"), "code", ((c - F.col("cut")) / F.col("total") + F.col("back") * F.col("lower")).alias("p"))
         p = stored(p, f"kneser-ney-{n}")
