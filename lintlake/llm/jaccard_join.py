@@ -217,14 +217,17 @@ class Block:
         sketch = np.frombuffer(b"".join(t.column("sketch").combine_chunks().take(take).to_pylist()), np.uint16).reshape(len(ids), -1)
         lists = t.column("paths").combine_chunks().take(take)
         flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        todo = (own[:, None] != own[None, :]) | (i == j)  # pairs inside one block belong to the pair (block, block)
+        todo = np.triu((own[:, None] != own[None, :]) | (i == j), 1)  # pairs inside one block belong to the pair (block, block)
         # not pairs that meet under a lesser path
         order = np.argsort(flat, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1, [len(flat)]]) if len(flat) else np.zeros(1, np.int64)
-        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+        size = np.diff(cuts)
+        for k in np.argsort(-size, kind="stable")[: int((size > 1).sum())].tolist():  # largest first: one is often enough
             members = row[order[cuts[k] : cuts[k + 1]]]
             todo[np.ix_(members, members)] = False
-        return cls(path, ids, at, sketch, np.triu(todo, 1))
+            if size[k] > 32 and not todo.any():
+                break
+        return cls(path, ids, at, sketch, todo)
 
     def near(self, floor: float) -> Iterator[tuple[int, np.ndarray]]:
         """For each member those after it that sketches find near, of the pairs that belong here."""
