@@ -425,14 +425,14 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         words = np.concatenate(figures[0]) if figures[0] else n
         by_word = pa.array(-total / np.maximum(words, 1), pa.float64(), mask=words == 0)
         kind = pa.array(np.log2(np.maximum(n, 1)).astype(np.int64))
-        return pa.Table.from_arrays([*[docs_.column(f"__keep{i}") for i in range(len(kept))], *cols, docs_.column("__key"), kind, ppl, by_word], schema=arrow)
+        return pa.Table.from_arrays([*[docs_.column("__text" if c == text else f"__keep{i}") for i, c in enumerate(kept)], *cols, docs_.column("__key"), kind, ppl, by_word], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(T.StructType(schema.fields))
     out = None
     for k in range(ROUNDS):
-        rows = dealt.filter(F.col("__part") % ROUNDS == k).select("__part", "__key", F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept)])
+        rows = dealt.filter(F.col("__part") % ROUNDS == k).select("__part", "__key", F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept) if c != text])  # the text travels once
         rows = rows.repartition(max(1, math.ceil(parts / ROUNDS)), "__part")
         asked = rows.groupBy("__part").applyInArrow(ask, _ROW).unionByName(model.rows)
         told = asked.repartition("dest").sortWithinPartitions("dest", "part").mapInArrow(answer, _ROW).withColumnRenamed("part", "__part")
