@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import ann, bpe, jaccard_join, katz, langid, mixing, quality, secrets, substring_dedup, token_counts
+from lintlake.llm import ann, bbit_minhash, bpe, filter_audit, jaccard_join, katz, langid, mixing, quality, resampling, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,7 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_katz_scores": katz.op9_katz_scores,
     "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_bbit_minhash": bbit_minhash.op13_bbit_minhash,
 }
 
 #: The other operators learn, merge or search, which SQL cannot express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_secret_scan": secrets.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_secret_scan": secrets.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op12_importance_resampling": resampling.ORACLE_SQL, "op13_bbit_minhash": bbit_minhash.ORACLE_SQL}
