@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.paths import BUILD_DIRS, glob_regex
 from lintlake.plans.review import Options, Review, review
-from lintlake.session import cut
+from lintlake.session import cut, shared_folder
 from lintlake.sources import diff as D
 from lintlake.sources import git as G
 from lintlake.sources import units as U
 
+#: Characters that a table of the driver's rows holds before they go to the shared folder.
+CHUNK = 32 << 20
 _CONTENT = "path string, content string, content_source string"
 _SKIP = "stage int, seq bigint, path string, reason string"
 
@@ -58,21 +62,46 @@ def expand(paths: list[str], cwd: str, exclude: tuple[str, ...] = ()) -> tuple[l
     return sorted(p for p in files if not any(rx.match(p) for rx in shut)), skipped
 
 
-def _java_of(spark: SparkSession, root: str, mappers: list[str]) -> DataFrame:
-    """(ord, path, content) of the Java files that may be companions: those named like the last part of a namespace."""
-    wanted = {f"{m.rpartition('.')[2]}.java" for text in mappers for m in re.findall(r"""namespace\s*=\s*["']\s*([\w.$]+)""", text)}
-    names = [p for p in G.tracked_java(root) if p.rpartition("/")[2] in wanted] if wanted else []
-    rows = [(k, p, G.in_tree(p, root)) for k, p in enumerate(names)]
-    return spark.createDataFrame([r for r in rows if r[2] is not None], "ord int, path string, content string")
+def contents(spark: SparkSession, rows: Iterable[tuple], schema: str, most: int = CHUNK) -> DataFrame:
+    """Rows that the driver reads, as a table: what is beyond `most` characters goes to the shared folder, part by part."""
+    folder, held, size = None, [], 0
+
+    def flush() -> None:
+        nonlocal folder, size
+        folder = folder or f"{shared_folder(spark)}/contents-{uuid.uuid4().hex}"
+        spark.createDataFrame(held, schema).coalesce(1).write.mode("append").parquet(folder)
+        held.clear()
+        size = 0
+
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, str))
+        if size > most:
+            flush()
+    if folder is None:
+        return spark.createDataFrame(held, schema)
+    if held:
+        flush()
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _java_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(ord, path, content) of the Java files that may be companions of mappers among the files: those named like the last part of a namespace."""
+    found = F.explode(F.regexp_extract_all("content", F.lit(r"""namespace\s*=\s*["']\s*([\w.$]+)"""), F.lit(1)))
+    names = files.filter(F.lower("path").endswith(".xml")).select(found.alias("ns"))
+    wanted = names.select(F.concat(F.substring_index("ns", ".", -1), F.lit(".java")).alias("name"))
+    tracked = spark.createDataFrame([(k, p) for k, p in enumerate(G.tracked_java(root))], "ord int, path string")
+    named = tracked.withColumn("name", F.substring_index("path", "/", -1)).join(wanted.distinct(), "name", "left_semi").orderBy("ord")
+    rows = ((r.ord, r.path, G.in_tree(r.path, root)) for r in named.select("ord", "path").toLocalIterator())
+    return contents(spark, (r for r in rows if r[2] is not None), "ord int, path string, content string")
 
 
 def review_paths(spark: SparkSession, paths: list[str], cwd: str, options: Options = Options()) -> Review:
     files, left = expand(paths, cwd, options.exclude)
-    rows = [(p, G.in_tree(p, cwd)) for p in files]
-    units = U.whole_files(spark.createDataFrame([r for r in rows if r[1] is not None], "path string, content string"))
+    rows = ((p, G.in_tree(p, cwd)) for p in files)
+    own = contents(spark, (r for r in rows if r[1] is not None), "path string, content string")
     skipped = spark.createDataFrame([(1, k, p, r) for k, (p, r) in enumerate(left)], _SKIP)
-    java = _java_of(spark, cwd, [body for p, body in rows if body is not None and p.lower().endswith(".xml")])
-    return review(units, None, java, options, skipped)
+    return review(U.whole_files(own), None, _java_of(spark, cwd, own), options, skipped)
 
 
 def review_tree(spark: SparkSession, root: str, options: Options = Options()) -> Review:
@@ -82,29 +111,30 @@ def review_tree(spark: SparkSession, root: str, options: Options = Options()) ->
     return review(U.whole_files(files), None, java, options)
 
 
+def _versions(names: Iterable[str], ref: str | None, root: str) -> Iterator[tuple[str, str, str]]:
+    """(path, content, content_source): at the ref where there is one that has the file, else as it lies in the work tree."""
+    at_ref = G.blobs(ref, names, root) if ref else ((p, None) for p in names)
+    for p, blob in at_ref:
+        body = blob.decode("utf-8", "replace") if blob is not None else G.in_tree(p, root)
+        if body is not None:
+            yield p, body, "head" if blob is not None else "worktree"
+
+
 def review_diff(spark: SparkSession, source: G.DiffSource, cwd: str, options: Options = Options()) -> Review:
-    """A diff: rules see whole files, findings are kept on added lines."""
-    text = G.diff_text(source, cwd)
-    if text is None:
-        raise ValueError("the diff could not be read")
+    """A diff of any size: rules see whole files, findings are kept on added lines."""
+    try:
+        patch = D.put_file(spark, G.diff_chunks(source, cwd))
+    except OSError as e:
+        raise ValueError("the diff could not be read") from e
     root = G.root_of(cwd) or cwd
-    parsed = cut(D.parse_patches(D.patch_text(spark, text)))
-    files, lines = D.split(parsed)
-    names = [r.path for r in files.filter("status != 'deleted'").select("path").distinct().collect()]
-    ref = source.after()
-    rows = []
-    for p in names:
-        at = G.at_ref(ref, p, root) if ref else None
-        body = at if at is not None else G.in_tree(p, root)
-        if body is not None:
-            rows.append((p, body, "head" if at is not None else "worktree"))
+    files, lines = (x.drop("patch_id") for x in D.read_patch_file(spark, patch))
+    files = cut(files)
+    names = (r.path for r in files.filter("status != 'deleted'").select("path").distinct().toLocalIterator())
+    at_hand = contents(spark, _versions(names, source.after(), root), _CONTENT)
     if source.kind == "worktree":
-        new = [(p, G.in_tree(p, root)) for p in G.untracked_files(root) if p.lower().endswith((".java", ".xml"))]
-        own = spark.createDataFrame([r for r in new if r[1] is not None], "path string, content string")
-        more, more_lines = D.untracked(own, 1 + (files.agg(F.max("file_ord")).first()[0] or 0))
-        files, lines = files.unionByName(more), lines.unionByName(more_lines)
-        rows += [(p, b, "worktree") for p, b in new if b is not None]
-    contents = spark.createDataFrame(rows, _CONTENT)
-    units, added, skipped = U.from_diff(files, lines, contents, options.exclude)
-    java = _java_of(spark, root, [body for p, body, _ in rows if p.lower().endswith(".xml")])
-    return review(cut(units), cut(added), java, options, cut(skipped))
+        new = (p for p in G.untracked_files(root) if p.lower().endswith((".java", ".xml")))
+        own = contents(spark, _versions(new, None, root), _CONTENT)
+        more, more_lines = D.untracked(own.select("path", "content"), 1 + (files.agg(F.max("file_ord")).first()[0] or 0))
+        files, lines, at_hand = files.unionByName(more), lines.unionByName(more_lines), at_hand.unionByName(own)
+    units, added, skipped = U.from_diff(files, lines, at_hand, options.exclude)
+    return review(cut(units), cut(added), _java_of(spark, root, at_hand), options, cut(skipped))

@@ -6,6 +6,8 @@ text use `\\z`, and repeated groups are possessive so that long inputs do not ex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def explode_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(lines_of(F.col(text))).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often `use` names it: the engine
+    works an expression out anew wherever a lambda names it, but not a lambda's own variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(values: Column) -> Column:
     """The sum of an integer array up to and with each element: blocks first, then the sums before each block."""
 
@@ -48,25 +56,34 @@ def running(values: Column) -> Column:
         add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
         return F.aggregate(part, start, add, lambda acc: acc["all"])
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / RUN).cast("int")), lambda k: sums(F.slice(values, k * RUN + 1, RUN)))
-    before = sums(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))))
-    return F.flatten(F.zip_with(blocks, before, lambda b, top: F.transform(b, lambda x: x + top - F.coalesce(F.get(b, F.size(b) - 1), F.lit(0)))))
+    last = lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / RUN).cast("int")), lambda k: sums(F.slice(v, k * RUN + 1, RUN)))
+    join = lambda blocks: F.flatten(F.zip_with(blocks, sums(F.transform(blocks, last)), lambda b, top: bound(top - last(b), lambda before: F.transform(b, lambda x: x + before))))
+    return bound(values, lambda v: bound(cut(v), join))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches from left to right as (start, end, text, line): offsets and lines are running sums over gaps and matches."""
-    found = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda x: x["m"].isNotNull())
-    ends = running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["m"])))
-    lines = running(F.transform(found, lambda x: line_breaks(x["gap"]) + line_breaks(x["m"])))
-    placed = F.arrays_zip(found.alias("x"), ends.alias("end"), lines.alias("breaks"))
-    one = lambda p: F.struct((p["end"] - F.length(p["x"]["m"])).alias("start"), p["end"].alias("end"), p["x"]["m"].alias("text"), (p["breaks"] - line_breaks(p["x"]["m"]) + 1).alias("line"))
-    return F.transform(placed, one)
+
+    def measured(x: Column) -> Column:
+        m, gap = x["m"], x["gap"]
+        return F.struct(m.alias("m"), F.length(m).alias("n"), line_breaks(m).alias("b"), (F.length(gap) + F.length(m)).alias("chars"), (line_breaks(gap) + line_breaks(m)).alias("breaks"))
+
+    def placed(found: Column) -> Column:
+        zipped = F.arrays_zip(found.alias("x"), running(F.transform(found, lambda x: x["chars"])).alias("end"), running(F.transform(found, lambda x: x["breaks"])).alias("breaks"))
+        return F.transform(zipped, lambda p: F.struct((p["end"] - p["x"]["n"]).alias("start"), p["end"].alias("end"), p["x"]["m"].alias("text"), (p["breaks"] - p["x"]["b"] + 1).alias("line")))
+
+    return bound(F.transform(F.filter(gaps_and_matches(text, pattern), lambda x: x["m"].isNotNull()), measured), placed)
+
+
+def gaps_and_matches(text: Column, pattern: str) -> Column:
+    """The text from left to right as (gap, m): what stands before each match, and the match; m is null at the end."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
 
 def blank(text: Column, pattern: str) -> Column:
     """Matches overwritten by spaces, line breaks kept, so that offsets and lines stay."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    return F.array_join(F.transform(zipped, lambda x: F.concat(F.coalesce(x["gap"], F.lit("")), F.coalesce(F.regexp_replace(x["m"], r"[^\n]", " "), F.lit("")))), "")
+    return F.array_join(F.transform(gaps_and_matches(text, pattern), lambda x: F.concat(F.coalesce(x["gap"], F.lit("")), F.coalesce(F.regexp_replace(x["m"], r"[^\n]", " "), F.lit("")))), "")
 
 
 def mask_java(text: Column) -> Column:

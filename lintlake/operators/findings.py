@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
+from lintlake.operators.ranking import global_row_number
 
 #: What a suppression comment holds, whatever prefix stands before it.
 MARKER = "review:disable"
@@ -71,9 +72,8 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 def by_file(findings: DataFrame) -> DataFrame:
     """(file, n, first_rank): files in the order in which the sorted findings first show them."""
-    w = Window.orderBy(*ordering())
-    ranked = findings.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy("file").agg(F.count("*").alias("n"), F.min("rank").cast("long").alias("first_rank"))
+    ranked = global_row_number(findings, ordering(), "rank")
+    return ranked.groupBy("file").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
 
 
 def hit_rules(findings: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def root_element(masked: Column) -> Column:
 def attribute(attrs: Column, name: str) -> Column:
     """The value of an attribute (the last of its name), trimmed; null where it is missing."""
     rx = rf"""(?<![\w:.-]){name}\s*=\s*("[^"]*"|'[^']*')"""
-    found = F.regexp_extract_all(attrs, F.lit(rx), F.lit(1))
-    return F.when(F.size(found) > 0, X.trim(F.regexp_replace(F.element_at(found, -1), r"""\A["']|["']\z""", "")))
+    last = F.try_element_at(F.regexp_extract_all(attrs, F.lit(rx), F.lit(1)), F.lit(-1))
+    return X.trim(F.regexp_replace(last, r"""\A["']|["']\z""", ""))
 
 
 def unwrap_cdata(text: Column) -> Column:
@@ -54,9 +54,8 @@ def unwrap_cdata(text: Column) -> Column:
 
 def _woven(text: Column, pattern: str, put) -> Column:
     """Text with each match replaced by what `put` makes of it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    return F.when(F.size(found) > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(found), put(F.get(found, i))).otherwise(""))), "")).otherwise(text)
+    one = lambda x: F.concat(F.coalesce(x["gap"], F.lit("")), F.when(x["m"].isNotNull(), put(x["m"])).otherwise(""))
+    return F.array_join(F.transform(X.gaps_and_matches(text, pattern), one), "")
 
 
 def strip_tags(text: Column) -> Column:
@@ -104,11 +103,9 @@ def statements() -> Column:
 def fragments() -> Column:
     """Named fragments of `els`; of equal names the last, in the place of the first."""
     named = F.filter(F.transform(_opened("sql"), lambda e: F.struct(F.coalesce(attribute(e["attrs"], "id"), F.lit("")).alias("id"), e["el_ord"].alias("el_ord"), e["body"].alias("raw"), e["line"].alias("line"), e["body_line"].alias("base"))), lambda f: f["id"] != "")
-    by_id = F.array_sort(named)
-    first = F.filter(by_id, lambda f, k: F.coalesce(F.get(by_id, k - 1)["id"] != f["id"], F.lit(True)))
-    last = F.filter(by_id, lambda f, k: F.coalesce(F.get(by_id, k + 1)["id"] != f["id"], F.lit(True)))
     one = lambda a, z: F.struct(F.lit(1).alias("part"), a["el_ord"].alias("at"), a["el_ord"].alias("el_ord"), F.lit("sql").alias("kind"), z["id"].alias("id"), z["raw"].alias("raw"), z["line"].alias("line"), z["base"].alias("base"))
-    return F.array_sort(F.zip_with(first, last, one))
+    edge = lambda by_id, step: F.filter(by_id, lambda f, k: F.coalesce(F.get(by_id, k + step)["id"] != f["id"], F.lit(True)))
+    return F.array_sort(X.bound(F.array_sort(named), lambda by_id: F.zip_with(edge(by_id, -1), edge(by_id, 1), one)))
 
 
 def nested_selects(el: DataFrame, *keep: str) -> DataFrame:

@@ -27,7 +27,7 @@ UNCHECKED = r"(?i)(?:\A|\.)(?:(?:Runtime)?Exception|Error|Throwable|RuntimeExcep
 SAFE = r"\A(?:ConcurrentHashMap|ConcurrentSkipListMap|CopyOnWriteArrayList|CopyOnWriteArraySet|Atomic\w+|ThreadLocal|InheritableThreadLocal|ImmutableList|ImmutableMap|BlockingQueue\w*)\z"
 UNSAFE = r"\A(?:HashMap|TreeMap|LinkedHashMap|Hashtable|ArrayList|LinkedList|HashSet|TreeSet|ArrayDeque|StringBuilder|StringBuffer|SimpleDateFormat|Date|LocalDate|LocalDateTime|Map|List|Set|Collection|int|long|double|float|boolean|byte|char|short)\z"
 # Fixed pattern: parameter types that make good cache keys.
-SIMPLE = r"\A(?:final\s+)?(?:java\.(?:lang|math|util|sql|time)\.)?(?:String|Integer|Long|Boolean|Byte|Short|Float|Double|Character|BigDecimal|BigInteger|Date|LocalDate|LocalDateTime|LocalTime|Timestamp|int|long|boolean|double|float|short|byte|char|void)\z"
+SIMPLE = r"\A(?:final\s+)?(?:java\.(?:lang|math|util|sql|time)\.)?(?:String|Integer|Long|Boolean|Byte|Short|Float|Double|Character|BigDecimal|BigInteger|Date|LocalDate|LocalDateTime|LocalTime|Timestamp|int|long|boolean|double|float|short|byte|char|void)(?:\[\])?\z"
 # Fixed patterns: receivers and methods that go to the database.
 MAPPER = r"(?:Mapper|Dao|DAO|Repository)\z"
 QUERY = r"(?i)\A(?:select|find|get|query|list|count|exists|page|search|load|fetch|insert|update|delete|save|remove|batch)"

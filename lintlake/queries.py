@@ -12,11 +12,13 @@ from lintlake.functions import text as X
 from lintlake.operators import findings as fin
 from lintlake.operators import mapper_xml as mx
 from lintlake.operators.java_structure import java_structure, table_of
+from lintlake.operators.ranking import global_row_number
 from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
 from lintlake.plans.catalogue import RULE_IDS
 from lintlake.plans.review import Options, review, scopes
 from lintlake import reports
+from lintlake.session import cut
 from lintlake.sources import corpus as C
 from lintlake.sources import diff as D
 from lintlake.sources import units as U
@@ -134,9 +136,7 @@ def dedupe_before_severity(spark, d):
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, file, line, event_id) AS BIGINT) AS pos, event_id FROM ({_DRAFT_SQL})")
 def stable_final_sort(spark, d):
-    from pyspark.sql import Window
-
-    return event_drafts(spark, d).select(F.row_number().over(Window.orderBy(*fin.ordering())).cast("bigint").alias("pos"), F.get("draft_seq", F.lit(0)).cast("bigint").alias("event_id"))
+    return global_row_number(event_drafts(spark, d), fin.ordering(), "pos").select("pos", F.get("draft_seq", F.lit(0)).cast("bigint").alias("event_id"))
 
 
 @query(f"SELECT event_id FROM ({_DRAFT_SQL}) WHERE line >= 1 AND NOT (file LIKE 'u/1%' AND rule = (SELECT min(event_type) FROM events)) AND NOT (line = 3 AND file LIKE 'u/2%')")
@@ -181,17 +181,18 @@ def sarif_levels(spark, d):
 
 @query("SELECT l_orderkey AS patch_id, CAST(9 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS new_line, CASE WHEN l_returnflag = 'R' THEN 'added' ELSE 'context' END AS kind FROM lineitem")
 def patch_line_numbers(spark, d):
-    return D.parse_patches(C.patches(spark, d)).select("patch_id", F.explode("lines").alias("l")).select("patch_id", "l.new_line", "l.kind")
+    return D.read_patches(C.patches(spark, d))[1].select("patch_id", "new_line", "kind")
 
 
 @query(C.patch_kinds_sql())
 def patch_file_kinds(spark, d):
-    added = F.size(F.filter("lines", lambda x: x["kind"] == "added")).alias("added")
-    return D.parse_patches(C.patch_kinds(spark, d)).select("patch_id", "path", "old_path", "status", "hunks", "unsupported", added)
+    files, lines = D.read_patches(C.patch_kinds(spark, d))
+    added = lines.filter("kind = 'added'").groupBy("patch_id", "file_ord").agg(F.count("*").cast("int").alias("n"))
+    return files.join(added, ["patch_id", "file_ord"], "left").select("patch_id", "path", "old_path", "status", "hunks", "unsupported", F.coalesce("n", F.lit(0)).alias("added"))
 
 
 def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return D.split(D.parse_patches(C.patches(spark, d)).withColumn("file_ord", F.col("patch_id").cast("int")))
+    return tuple(x.withColumn("file_ord", F.col("patch_id").cast("int")).drop("patch_id") for x in D.read_patches(C.patches(spark, d)))
 
 
 @query("SELECT CAST(l_orderkey AS INTEGER) AS file_ord, false AS contiguous, CAST(10 + count(*) AS BIGINT) AS lines FROM lineitem GROUP BY l_orderkey")
@@ -223,7 +224,8 @@ def skip_reason_cascade(spark, d):
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
-    return mx.elements(C.mapper_units(spark, d), "path")
+    # written once: what follows asks for the elements of a file more than once
+    return cut(mx.elements(C.mapper_units(spark, d), "path"))
 
 
 @query("""SELECT 'm/M' || o_orderkey || '.xml' AS path, 'demo/M' || o_orderkey || '.java' AS companion_key, CASE WHEN o_orderkey % 3 = 0 THEN 'a/src/main/java/demo/M' || o_orderkey || '.java' END AS companion_path FROM orders""")

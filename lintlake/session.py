@@ -23,12 +23,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to spark.checkpoint.dir (a local folder only where none is set, on a local master): plans built on it stay small."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir (a local one only where none is set, on a local master)."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="lintlake-"))
+    return context.getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder: plans built on it stay small, and what it costs is paid once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -41,9 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Few narrow rows dealt to all cores, before texts are made of them: a small file is one partition."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def mappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mapper for each order. Line 2 suppresses by o_orderstatus: O the file, F the next line, others nothing."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
     note = F.when(F.col("o_orderstatus") == "O", "<!-- review:disable-file -->").when(F.col("o_orderstatus") == "F", "<!-- review:disable MYB005 -->").otherwise("")
     nested = F.when(F.pmod("o_custkey", F.lit(3)) == 0, '<resultMap id="r" type="T">\n<association property="p" select="s" column="c"/>\n</resultMap>\n').otherwise("")
     text = F.concat(F.lit('<mapper namespace="demo.M'), "o_orderkey", F.lit('">\n'), note, F.lit('\n<select id="q" resultType="T">\n'), _pick(F.col("o_orderkey"), SELECTS), F.lit('\n</select>\n<sql id="cols">a, b</sql>\n'), nested, F.lit("</mapper>\n"))
@@ -52,7 +57,7 @@ def mappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One class for each part."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     text = F.concat(F.lit("package demo;\n@Service\npublic class P"), "p_partkey", F.lit("Service {\n"), _pick(F.col("p_size"), CLASSES), F.lit("\n}\n"))
     return p.select(F.concat(F.lit("src/main/java/demo/P"), "p_partkey", F.lit("Service.java")).alias("path"), text.alias("content"))
 

@@ -1,6 +1,12 @@
+import random
+
 import pytest
 
-from lintlake.sources.diff import git_paths, parse_patch, side, unquote
+from lintlake.sources import diff as D
+from lintlake.sources.corpus import PATCH_KINDS
+from lintlake.sources.diff import git_paths, side, unquote
+
+from .brute.patches import parse_patch
 
 PATCH = """diff --git a/src/A.java b/src/A.java
 index 1..2 100644
@@ -64,3 +70,63 @@ def test_paths():
     assert git_paths("a/x y.java b/x y.java") == ("x y.java", "x y.java")
     assert git_paths("a/p.java b/q.java") == ("p.java", "q.java")
     assert side("/dev/null") == "" and side("b/p.java\t1") == "p.java"
+
+
+def files_of(text):
+    """What the one-place reading tells of a patch: files and their lines, as rows."""
+    found = parse_patch(text)
+    files = [(k, f.path, f.old_path, f.status, f.hunks, f.unsupported) for k, f in enumerate(found)]
+    return files, sorted((k, f.path, kind, n, t) for k, f in enumerate(found) for n, (kind, t) in f.lines.items())
+
+
+def rows_of(files, lines):
+    return sorted((r.file_ord, r.path, r.old_path, r.status, r.hunks, r.unsupported) for r in files.collect()), sorted((r.file_ord, r.path, r.kind, r.new_line, r.text) for r in lines.collect())
+
+
+ODD = ["--- a/x", "+++ b/x", "@@ -1,3 +1,4 @@ f", "@@ -5 +6,0 @@", "@@ -0,0 +1,2 @@", "@@ bad", "diff --git a/p.java b/p.java", "diff --cc q.xml", "+", "-", " ", "", "x", "xy", "\\ No newline", "+one", "-two", " three", "--- removed", "+++ added", "rename to r.java", "new file mode 100644", "Binary files differ", 'diff --git "a/\\303\\251.java" "b/\\303\\251.java"', "@@ -10,2 +99999999999999999999 @@"]
+
+
+def patches():
+    rng = random.Random(4)
+    made = ["\n".join(rng.choices(ODD, k=rng.randint(1, 60))) + rng.choice(["", "\n", "\r\n"]) for _ in range(150)]
+    return [PATCH, PATCH.replace("\n", "\r\n"), PATCH.replace("\n", "\r"), "", *[p[0] for p in PATCH_KINDS], *made]
+
+
+def test_tables_of_patches_against_one_place(spark):
+    texts = patches()
+    files, lines = D.read_patches(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(len(texts), None)], "patch_id long, text string"))
+    got_files, got_lines = {}, {}
+    for r in files.collect():
+        got_files.setdefault(r.patch_id, []).append((r.file_ord, r.path, r.old_path, r.status, r.hunks, r.unsupported))
+    for r in lines.collect():
+        got_lines.setdefault(r.patch_id, []).append((r.file_ord, r.path, r.kind, r.new_line, r.text))
+    for k, t in enumerate(texts):
+        if "999999999" in t:
+            continue  # line numbers beyond an int
+        assert (sorted(got_files.get(k, [])), sorted(got_lines.get(k, []))) == files_of(t), t
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_a_file_in_ranges_against_one_place(spark, tmp_path, size):
+    """Ranges end inside hunks, headers, runs of CR LF and characters of several bytes; hunks run over many of them."""
+    long = "".join(f"+é {k}\n" for k in range(40))
+    texts = [*[t for t in patches()[:30] if "999999999" not in t], PATCH + f"diff --git a/n.xml b/n.xml\nnew file mode 100644\n--- /dev/null\n+++ b/n.xml\n@@ -0,0 +1,40 @@\n{long}--- not a side\n" + PATCH, "@@ -1,2 +1,3 @@\n a\n+b"]
+    text = "\n".join(t.rstrip("\r\n") for t in texts) + "\n"
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        for k, t in enumerate([text, PATCH, PATCH.rstrip("\n"), texts[-1], texts[-1] + "\n", ""] if size < 1000 else [text]):
+            (tmp_path / f"{k}.diff").write_bytes(t.encode())
+            lines = D.lines_of_file(spark, str(tmp_path / f"{k}.diff"))
+            assert k or lines.select("stretch").distinct().count() > len(text.encode()) / size / 4
+            assert rows_of(*D.read_patch_file(spark, str(tmp_path / f"{k}.diff"))) == files_of(t)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_files_outside_version_control(spark):
+    own = spark.createDataFrame([("b.xml", "x\ny\n"), ("a.xml", "one"), ("c.xml", "")], "path string, content string")
+    files, lines = D.untracked(own, 5)
+    assert sorted((r.file_ord, r.path, r.status) for r in files.collect()) == [(5, "a.xml", "added"), (6, "b.xml", "added"), (7, "c.xml", "added")]
+    assert sorted((r.file_ord, r.new_line, r.text) for r in lines.collect()) == [(5, 1, "one"), (6, 1, "x"), (6, 2, "y")]

@@ -2,9 +2,10 @@
 
 from lintlake.plans.review import Options, review
 from lintlake.sources import corpus as C
-from lintlake.sources.diff import parse_patch
 from lintlake.sources.units import whole_files
 
+from .brute.patches import parse_patch
+
 
 def test_marked_lines_and_no_others(spark):
     rows = [(f"J{k}.java", t) for k, t in enumerate(C.JAVA_VARIANTS)] + [(f"X{k}.xml", t) for k, t in enumerate(C.XML_VARIANTS)]
