@@ -64,7 +64,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `stored` wrote for these tables, which nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
 
 
 def crc_mod(doc_id: str, n: int):

@@ -5,10 +5,12 @@ language and makes a modified Kneser-Ney model of them with joins on contexts an
 what the corpus holds and are nowhere in one place. The model is stored in buckets, each with the sorted hashes of its
 n-grams, their interpolated log probabilities, and their backoff weights as contexts.
 
-Documents are dealt into parts of about `PART` bytes, in `ROUNDS` rounds so that only a part of the texts is on its way
-at once. A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets search their arrays
-and answer in the order asked; then each byte's probability is evaluated recursively: that of the longest n-gram
-stored, after the backoff weights of the longer contexts.
+Documents are dealt into parts of about `PART` bytes, written once, and worked off in `ROUNDS` rounds so that only a part
+of the texts is on its way at once. A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets
+hold one row of arrays, search it for one ask after the other, and answer in the order asked; then each byte's
+probability is evaluated recursively: that of the longest n-gram stored, after the backoff weights of the longer
+contexts. Texts are read in stretches of `STRETCH` bytes, a long one by itself with the bytes before each stretch, so
+what a task holds besides the texts of a part does not grow with them.
 
 A text has two perplexities, that of a byte and that of a word (all of the text's probability, by words): marks glued
 to words are cheap by the byte, but dear by the word. Both scatter less the longer a text is, so each language has its own
@@ -17,6 +19,9 @@ look at their neighbours too): the median less `WIDTH` times its distance from t
 times that from the upper one, each side by its own spread. Texts outside either band are rejected, as are those that
 fail the base rules: under 50 words, or over half of the words in 3-word windows that come twice or more.
 
+Quartiles are taken from histograms of at most `BINS` x `SPAN` bins a language and class: perplexities beyond 10^SPAN
+share the last bin.
+
 Null texts have no words and fail. Null languages share one model. Rows are judged one by one, so repeated
 ids are no matter. Of clashing names the result's own win. An empty table gives an empty result.
 """
@@ -26,24 +31,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import U64, bounded_batches, grouped, mix, pack, pack_sorted, pieces, span_hashes, stored, table, unpack, unpack_sorted, utf8, word_spans
+from lintlake.llm.common import U64, bounded_batches, discard, grouped, mix, pack, pack_sorted, pieces, span_hashes, stored, table, unpack, unpack_sorted, utf8, word_spans
 
 ORDER = 5
 SIZE = 256
 WIDTH = 4.5
 #: Bytes of a part, rounds, and n-grams in a bucket of the model; a bucket is asked by so many parts' worth of n-grams.
 PART = 2 << 20
+STRETCH = 1 << 19
 ROUNDS = 4
 BUCKET = 1_000_000
 ASKING = 24
+#: Bytes of answers that leave together.
+ANSWER = 4 << 20
 #: Languages up to which their discounts are broadcast (a row of about 50 bytes each); beyond it they are joined.
 MOST_LANGUAGES = 50_000
 #: Cells of a table that numbers n-grams; beyond that they are sorted.
@@ -52,6 +59,7 @@ CELLS = 1 << 24
 LEAST = 0.001
 ENOUGH = 30
 BINS = 4000  # of one unit of log10 perplexity
+SPAN = 10
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -83,7 +91,7 @@ class Grams:
         """starts: where texts begin. With `every` the numbers at the bytes for each length, else only for the longest."""
         codes, at = [np.zeros(1, np.int64)], [np.zeros(len(text), np.int32)]
         for n in range(1, ORDER + 1):
-            few = len(codes[-1]) * SIZE <= CELLS
+            few = len(codes[-1]) * SIZE <= min(CELLS, 8 * max(len(text), 1 << 16))
             prior = at[-1][n - 2 : -1] if n > 1 else at[-1]
             own = prior.astype(np.int32 if few else np.int64) * SIZE + text[n - 1 :] if len(text) >= n else np.zeros(0, np.int32)
             for k in range(1, n):
@@ -156,11 +164,29 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    """Padded texts, each by itself; empty ones are left out."""
+    """Texts, each by itself with the ORDER - 1 bytes before it (spaces at its start), long ones in stretches; empty ones are left out."""
     buf, off = utf8(column)
     for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        if z > a:
-            yield np.concatenate([np.full(ORDER - 1, 32, np.uint8), buf[a:z]])
+        for k in range(a, z, STRETCH):
+            yield np.concatenate([_before(buf, a, k), buf[k : min(k + STRETCH, z)]])
+
+
+def _before(buf: np.ndarray, start: int, at: int) -> np.ndarray:
+    return np.full(ORDER - 1, 32, np.uint8) if at == start else buf[at - ORDER + 1 : at]
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts about STRETCH bytes at a time: padded bytes, where the texts' own bytes stand, where padding begins, rows and their sizes here."""
+    buf, off = utf8(texts)
+    for x, y in pieces(off, STRETCH):
+        a, z = int(off[x]), int(off[y])
+        if z - a <= STRETCH:
+            text, own, starts = padded(buf[a:z], off[x : y + 1] - a)
+            yield text, own, starts, np.arange(x, y), np.diff(off[x : y + 1])
+            continue
+        for k in range(a, z, STRETCH):  # one long text
+            here = buf[k : min(k + STRETCH, z)]
+            yield np.concatenate([_before(buf, a, k), here]), np.arange(ORDER - 1, ORDER - 1 + len(here)), np.zeros(1, np.int64), np.array([x]), np.array([len(here)])
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -172,8 +198,8 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return few.select("lang", *[x.alias(f"d{k}") for k, x in enumerate(d, 1)])
 
 
-def kneser_ney(counted: DataFrame) -> DataFrame:
-    """(lang, n, code, p, back): interpolated probabilities of n-grams, and their backoff weights as contexts.
+def kneser_ney(counted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, n, code, p, back), and the stored tables that it reads: interpolated probabilities of n-grams, and their backoff weights as contexts.
 
     n = 0 stands for the empty context. Lower orders count the different bytes before an n-gram. A context has
     at most SIZE n-grams, and as many have a common suffix, so no key of the joins is hot.
@@ -200,7 +226,7 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
         grams = grams.unionByName(a)
     for a in contexts[1:]:
         backs = backs.unionByName(a)
-    return grams.join(backs, ["lang", "n", "code"], "full")
+    return grams.join(backs, ["lang", "n", "code"], "full"), [*[counts[n] for n in range(1, ORDER)], *parts[1:]]
 
 
 def _parts(docs: DataFrame, text: str) -> int:
@@ -217,7 +243,9 @@ class Model:
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         counted = stored(count_ngrams(docs, text, lang), "ngrams")
-        grams = stored(kneser_ney(counted), "grams")
+        smoothed, read = kneser_ney(counted)
+        grams = stored(smoothed, "grams")
+        discard(counted, *read)
         buckets = max(1, math.ceil(grams.count() / BUCKET), _parts(docs, text) // ASKING)
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,18 +264,21 @@ class Model:
                 order = np.argsort(h.view(U64))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     cells = [pack_sorted(h.view(U64)[order]), *[np.log10(x.astype(float))[order].astype(np.float32).tobytes() for x in (p, back)]]
-                yield _row(t.column("dest")[0].as_py(), -1, *cells)
+                yield from _rows([(t.column("dest")[0].as_py(), -1, *cells)]).to_batches()
 
         flat = grams.select("lang", "n", "code", "p", "back").mapInArrow(hashed, "dest long, h long, p double, back double")
-        return cls(stored(flat.repartition("dest").sortWithinPartitions("dest").mapInArrow(packed, _ROW), "sorted-arrays"), buckets)
+        rows = stored(flat.repartition("dest").sortWithinPartitions("dest").mapInArrow(packed, _ROW), "sorted-arrays")
+        discard(grams)
+        return cls(rows, buckets)
 
 
 _ROW = "dest long, part long, a binary, b binary, c binary"
 
 
-def _row(dest: int, part: int, *cells: bytes) -> pa.RecordBatch:
-    each = [pa.array([x], pa.binary()) for x in [*cells, b"", b"", b""][:3]]
-    return pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([part], pa.int64()), *each], names=["dest", "part", "a", "b", "c"])
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Rows of a bucket, a part and three cells."""
+    kinds = {"dest": pa.int64(), "part": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -325,51 +356,39 @@ def _shared(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Part:
-    """The n-grams of a part by language, and the rows of each language."""
-
-    langs: list[str]
-    rows: list[np.ndarray]
-    sizes: list[np.ndarray]
-    own: list[np.ndarray]
-    grams: list[Grams]
-
-    @classmethod
-    def read(cls, langs: list[str], texts: pa.Array, every: bool = True) -> Part:
-        all_ = np.array(langs, dtype=object)
-        out = cls([], [], [], [], [])
-        for k in sorted(set(langs)):
-            rows = np.flatnonzero(all_ == k)
-            buf, off = utf8(texts.take(pa.array(rows)))
-            text, own, starts = padded(buf, off)
-            for x, v in zip((out.langs, out.rows, out.sizes, out.own, out.grams), (k, rows, np.diff(off), own, Grams.read(text, starts, every)), strict=True):
-                x.append(v)
-        return out
-
-    @cached_property
-    def asks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of all n-grams, and the place there of each n-gram, language by language and order by order."""
-        all_ = [gram_hashes(k, n, g.codes[n]) for k, g in zip(self.langs, self.grams, strict=True) for n in range(ORDER + 1)]
-        return np.unique(np.concatenate(all_), return_inverse=True)
-
-    def log10(self, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
-        """The sum of log10 probabilities of each row, from what is known of the asked hashes (NaN where nothing is)."""
-        of, start = self.asks[1], 0
-        out = np.zeros(sum(map(len, self.rows)))
-        for rows, sizes, own, g in zip(self.rows, self.sizes, self.own, self.grams, strict=True):
-            p = None
-            for n in range(ORDER + 1):
-                here = of[start : start + len(g.codes[n])]
-                start += len(here)
-                found = logs[here][g.at[n][own]]
-                if p is not None:
-                    found = np.where(np.isnan(found), p + back[g.at[n - 1][own - 1]], found)
-                p, back = found, np.nan_to_num(backs[here])
-            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(p, nan=-math.log10(SIZE)))])
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            out[rows] = sums[cuts[1:]] - sums[cuts[:-1]]
-        return out
+def asked(langs: list[str], texts: pa.Array) -> np.ndarray:
+    """Sorted distinct hashes of all n-grams of some texts."""
+    found = [np.zeros(0, U64)]
+    for k, _, g, *_ in _grams(langs, texts):
+        found.append(np.unique(np.concatenate([gram_hashes(k, n, g.codes[n]) for n in range(ORDER + 1)])))
+    return np.unique(np.concatenate(found))
+
+
+def _grams(langs: list[str], texts: pa.Array, every: bool = False) -> Iterator[tuple[str, np.ndarray, Grams, np.ndarray, np.ndarray]]:
+    """Language by language and stretch by stretch: the language, the rows, their n-grams, where their bytes stand, their sizes."""
+    all_ = np.array(langs, dtype=object)
+    for k in sorted(set(langs)):
+        rows = np.flatnonzero(all_ == k)
+        for text, own, starts, at, sizes in chunks(texts.take(pa.array(rows))):
+            yield k, rows[at], Grams.read(text, starts, every), own, sizes
+
+
+def log10_of(langs: list[str], texts: pa.Array, asks: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
+    """The sum of log10 probabilities of each text, from what is known of the asked hashes (NaN where nothing is)."""
+    out = np.zeros(len(langs))
+    for k, rows, g, own, sizes in _grams(langs, texts, every=True):
+        p = None
+        for n in range(ORDER + 1):
+            here = np.searchsorted(asks, gram_hashes(k, n, g.codes[n]))
+            found = logs[here][g.at[n][own]]
+            if p is not None:
+                missing = np.flatnonzero(np.isnan(found))
+                found[missing] = p[missing] + back[g.at[n - 1][own[missing] - 1]]
+            p, back = found, np.nan_to_num(backs[here])
+        sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(p, nan=-math.log10(SIZE)))])
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        out[rows] += sums[cuts[1:]] - sums[cuts[:-1]]  # a long text comes stretch by stretch
+    return out
 
 
 #: What `judge` adds to the base figures.
@@ -385,35 +404,47 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         schema = schema.add(n, "long")
     schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double").add("word_ppl", "double")
     parts, buckets = _parts(docs, text), model.buckets
-    dealt = docs.withColumns({"__part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)), "__key": _lang(lang)})
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    # written once, so that asking and scoring read the same rows in the same parts; a text travels once
+    dealt = docs.select(part.alias("__part"), _lang(lang).alias("__key"), F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept) if c != text])
+    dealt = stored(dealt, "dealt")
 
     def ask(t: pa.Table) -> pa.Table:
-        p = Part.read(t.column("__key").to_pylist(), t.column("__text").combine_chunks(), every=False)
-        h = p.asks[0]
+        h = asked(t.column("__key").to_pylist(), t.column("__text").combine_chunks())
         edge = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
-        return pa.Table.from_batches([_row(k, t.column("__part")[0].as_py(), pack_sorted(h[edge[k] : edge[k + 1]])) for k in range(buckets) if edge[k + 1] > edge[k]], schema=_row(0, 0).schema)
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        return _rows([(k, t.column("__part")[0].as_py(), pack_sorted(h[edge[k] : edge[k + 1]]), b"", b"") for k in some])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 1):
-            keys, logs, backs = np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(0, np.float32)
-            for dest, part, a, b, c in zip(*[t.column(x).to_pylist() for x in ("dest", "part", "a", "b", "c")], strict=True):
+        """Rows come by bucket, the model's first; answers leave some megabytes at a time."""
+        at, keys, known = -1, np.zeros(0, U64), [np.zeros(0, np.float32)] * 2
+        out, size = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dest, part, a, b, c = (batch.column(x)[k].as_py() for x in range(5))
+                if dest != at:
+                    at, keys, known = dest, np.zeros(0, U64), [np.zeros(0, np.float32)] * 2
                 if part < 0:
-                    keys, logs, backs = unpack_sorted(a), np.frombuffer(b, np.float32), np.frombuffer(c, np.float32)
+                    keys, known = unpack_sorted(a), [np.frombuffer(x, np.float32) for x in (b, c)]
                     continue
-                at, found = search(keys, unpack_sorted(a))
-                known = [np.where(found, x[at], np.float32(np.nan)) if len(keys) else np.full(len(at), np.nan, np.float32) for x in (logs, backs)]
-                yield _row(dest, part, *[pack(x.astype(np.float32).view(np.uint32)) for x in known])
+                place, found = search(keys, unpack_sorted(a))
+                told = [np.where(found, x[place], np.float32(np.nan)) if len(keys) else np.full(len(place), np.nan, np.float32) for x in known]
+                out.append((dest, part, *[pack(x.astype(np.float32).view(np.uint32)) for x in told], b""))
+                size += len(out[-1][2]) + len(out[-1][3])
+                if size > ANSWER:
+                    yield from _rows(out).to_batches()
+                    out, size = [], 0
+        if out:
+            yield from _rows(out).to_batches()
 
     def score(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return pa.Table.from_batches([], schema=arrow)
-        texts = docs_.column("__text").combine_chunks()
-        p = Part.read(docs_.column("__key").to_pylist(), texts)
+        texts, keys = docs_.column("__text").combine_chunks(), docs_.column("__key").to_pylist()
+        asks = asked(keys, texts)
         cells = sorted(zip(*[answers.column(x).to_pylist() for x in ("dest", "a", "b")], strict=True))
         logs, backs = (np.concatenate([unpack(c[k]).astype(np.uint32).view(np.float32) for c in cells]).astype(float) for k in (1, 2))
-        if len(logs) != len(p.asks[0]):
-            raise RuntimeError("the rows of a part have changed between two readings")
-        total = p.log10(logs, backs)
+        total = log10_of(keys, texts, asks, logs, backs)
         buf, off = utf8(texts)
         figures: list[list[np.ndarray]] = [[] for _ in names]
         for x, y in pieces(off):
@@ -432,33 +463,41 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
     arrow = to_arrow_schema(T.StructType(schema.fields))
     out = None
     for k in range(ROUNDS):
-        rows = dealt.filter(F.col("__part") % ROUNDS == k).select("__part", "__key", F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept) if c != text])  # the text travels once
-        rows = rows.repartition(max(1, math.ceil(parts / ROUNDS)), "__part")
-        asked = rows.groupBy("__part").applyInArrow(ask, _ROW).unionByName(model.rows)
-        told = asked.repartition("dest").sortWithinPartitions("dest", "part").mapInArrow(answer, _ROW).withColumnRenamed("part", "__part")
+        rows = dealt.filter(F.col("__part") % ROUNDS == k).repartition(max(1, math.ceil(parts / ROUNDS)), "__part")
+        asks = rows.groupBy("__part").applyInArrow(ask, _ROW).unionByName(model.rows)
+        told = asks.repartition("dest").sortWithinPartitions("dest", "part").mapInArrow(answer, _ROW).withColumnRenamed("part", "__part")
         got = stored(rows.groupBy("__part").cogroup(told.groupBy("__part")).applyInArrow(score, schema), "perplexity")
         out = got if out is None else out.unionByName(got)
+    discard(dealt)
     return out
 
 
-def bands(scored: DataFrame, width: float = WIDTH, of: str = "log_ppl") -> dict[tuple[str, int], tuple[float, float]]:
-    """Lower and upper band of a log perplexity by language and class of length, from exact histograms with bins of 1 / BINS."""
-    bins = F.floor(F.col(of) * BINS).alias("bin")
-    rows = scored.filter(F.col(of).isNotNull() & ~F.col("base_failed")).groupBy("__lang", "__class", bins).count().collect()
-    texts: dict[str, list[tuple[int, int, int]]] = {}
-    for lang, *row in rows:
-        texts.setdefault(lang, []).append(tuple(row))
-    found: dict[tuple[str, int], tuple[float, float]] = {}
-    for lang, own in texts.items():
-        kind, at, n = np.array(sorted(own, key=lambda x: x[1])).T
-        for k in set(kind.tolist()):
-            far = np.abs(kind - k)
-            reach = next((d for d in range(int(far.max())) if n[far <= d].sum() >= ENOUGH), far.max())
-            near = far <= reach
-            sums = np.cumsum(n[near])
-            low, mid, high = (at[near][np.searchsorted(sums, q * sums[-1])] / BINS for q in (0.25, 0.5, 0.75))
-            found[lang, k] = (float(mid - width * max(mid - low, LEAST)), float(mid + width * max(high - mid, LEAST)))
-    return found
+def _reach(sizes: DataFrame) -> DataFrame:
+    """(__lang, __class, lo, hi): the classes of length whose texts a class looks at, itself and as few neighbours as make ENOUGH."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, n = t.column("__class").to_numpy(), t.column("n").to_numpy()
+        far = np.abs(kind[:, None] - kind[None, :])
+        reach = [next((d for d in range(int(own.max())) if n[own <= d].sum() >= ENOUGH), own.max()) for own in far]
+        return pa.table([t.column("__lang"), t.column("__class"), pa.array(kind - reach), pa.array(kind + reach)], names=["__lang", "__class", "lo", "hi"])
+
+    return sizes.groupBy("__lang").applyInArrow(run, "__lang string, __class long, lo long, hi long")
+
+
+def bands(scored: DataFrame, width: float = WIDTH, of: str = "log_ppl", low: str = "low", high: str = "high") -> DataFrame:
+    """(__lang, __class, low, high): the bands of a log perplexity, from histograms with bins of 1 / BINS up to SPAN."""
+    bins = F.least(F.floor(F.col(of) * BINS), F.lit(BINS * SPAN)).alias("bin")
+    counted = stored(scored.filter(F.col(of).isNotNull() & ~F.col("base_failed")).groupBy("__lang", "__class", bins).agg(F.count("*").alias("n")), "bins")
+    reach = _reach(counted.groupBy("__lang", "__class").agg(F.sum("n").alias("n")))
+    # a class has at most 64 neighbours, and a pair of a language and a class BINS x SPAN bins
+    near = counted.withColumnRenamed("__class", "__of").join(reach.select("__lang", F.explode(F.sequence("lo", "hi")).alias("__of"), "__class"), ["__lang", "__of"])
+    spread = near.groupBy("__lang", "__class", "bin").agg(F.sum("n").alias("n"))
+    up_to, all_ = Window.partitionBy("__lang", "__class").orderBy("bin"), Window.partitionBy("__lang", "__class")
+    spread = spread.withColumns({"sum": F.sum("n").over(up_to), "total": F.sum("n").over(all_)})
+    quartile = lambda q: F.min(F.when(F.col("sum") >= q * F.col("total"), F.col("bin"))) / BINS
+    found = spread.groupBy("__lang", "__class").agg(*[quartile(q).alias(c) for q, c in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    side = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(LEAST)) * width
+    return found.select("__lang", "__class", (F.col("q2") - side("q2", "q1")).alias(low), (F.col("q2") + side("q3", "q2")).alias(high))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), width: float = WIDTH, model: Model | None = None) -> DataFrame:
@@ -469,8 +508,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     for of, low, high in (("log_ppl", "ppl_low", "ppl_high"), ("word_ppl", "word_low", "word_high")):
-        band = spark.createDataFrame([(*k, *v) for k, v in bands(scored, width, of).items()], f"__lang string, __class long, {low} double, {high} double")
-        scored = scored.join(band, ["__lang", "__class"], "left").select(*scored.columns, low, high)
+        band = stored(bands(scored, width, of, low, high), "bands")
+        few = band.count() <= MOST_LANGUAGES  # rows of about 50 bytes
+        scored = scored.join(F.broadcast(band) if few else band, ["__lang", "__class"], "left").select(*scored.columns, low, high)
     inside = [F.coalesce(F.col(of).between(F.col(low), F.col(high)), F.lit(True)) for of, low, high in (("log_ppl", "ppl_low", "ppl_high"), ("word_ppl", "word_low", "word_high"))]
     return scored.withColumn("kept", ~F.col("base_failed") & inside[0] & inside[1]).drop("__lang", "__class")
 

@@ -2,6 +2,7 @@
 
 import collections
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,8 +45,8 @@ def test_quality_bands_by_language_and_length(spark):
         assert share[lang, "clean"] >= 0.95 and share[lang, "marks"] == share[lang, "menu"] == 0
     # the tails have their own spreads, and long texts narrower bands than short ones
     scored = [("x", 8, 0.6 + (0.04 if k > 0 else 0.01) * k / 50, False) for k in range(-50, 51)] + [("x", 12, 0.6 + 0.002 * k / 50, False) for k in range(-50, 51)]
-    got = quality.bands(spark.createDataFrame(scored, "__lang string, __class long, log_ppl double, base_failed boolean"), 4.0)
-    assert np.allclose([*got["x", 8], *got["x", 12]], [0.58, 0.68, 0.596, 0.604], atol=0.003)
+    got = {r["__class"]: (r.low, r.high) for r in quality.bands(spark.createDataFrame(scored, "__lang string, __class long, log_ppl double, base_failed boolean"), 4.0).collect()}
+    assert np.allclose([*got[8], *got[12]], [0.58, 0.68, 0.596, 0.604], atol=0.003)
 
 
 class Brute:
@@ -127,9 +128,37 @@ def test_what_is_asked_does_not_depend_on_the_order_of_rows():
     import pyarrow as pa
 
     texts = ["abc", "", "é xyz", "zz"] * 3 + ["q" * 50]
-    one = quality.Part.read(["=en"] * len(texts), pa.array(texts))
-    two = quality.Part.read(["=en"] * len(texts), pa.array(texts[::-1]), every=False)
-    assert (one.asks[0] == two.asks[0]).all()
+    langs = ["=en", "=fr"] * (len(texts) // 2) + ["=en"]
+    one, two = quality.asked(langs, pa.array(texts)), quality.asked(langs[::-1], pa.array(texts[::-1]))
+    assert (one == two).all() and (np.diff(one.astype(object)) > 0).all()
+
+
+def counts_of(texts):
+    """n-grams of ORDER bytes as counting cuts the texts."""
+    import pyarrow as pa
+
+    return Counter(t[i : i + quality.ORDER].tobytes() for t in quality._texts(pa.array(texts)) for i in range(len(t) - quality.ORDER + 1))
+
+
+@pytest.mark.parametrize("stretch", [5, 16, 1000])
+def test_stretches_of_long_texts(monkeypatch, stretch):
+    """What a text asks for, and its score, are the same however it is cut into stretches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab é\n"), n)) for n in (0, 3, 200, 17, 400)] + [None, "abab"]
+    langs = ["=en", "=fr", "=en", "=fr", "=fr", "=en", "=en"]
+    whole = quality.asked(langs, pa.array(texts))
+    logs, backs = -rng.random((2, len(whole)))
+    logs[rng.random(len(logs)) < 0.4] = backs[rng.random(len(backs)) < 0.2] = np.nan
+    want = quality.log10_of(langs, pa.array(texts), whole, logs, backs)
+    counted = counts_of(texts)
+    monkeypatch.setattr(quality, "STRETCH", stretch)
+    cut = quality.asked(langs, pa.array(texts))
+    at, known = quality.search(whole, cut)  # what stands at the first bytes of a stretch is asked too, and never looked at
+    told = [np.where(known, x[at], np.nan) for x in (logs, backs)]
+    assert np.allclose(quality.log10_of(langs, pa.array(texts), cut, *told), want) and (want[[1, 2, 3, 4, 6]] < 0).all() and want[0] == want[5] == 0
+    assert counts_of(texts) == counted
 
 
 def test_other_texts_with_a_stored_model(spark):
