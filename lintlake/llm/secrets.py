@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions.text import running
+from lintlake.functions.text import RUN, bound, running
 from lintlake.llm.common import stored, table
 
 #: A value held by more owners than this is a widely copied example.
@@ -43,14 +43,27 @@ def _found(text: Column, pattern: str, kind: int, maybe: Column, group: int = 0,
     rx = F.lit(pattern)
     hits = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.regexp_extract_all(text, rx, F.lit(group)).alias("v"), F.split(text, pattern, -1).alias("gap"))
 
-    # the last gap has no match: arrays_zip pads it with nulls
-    hits = F.filter(hits, lambda x: x["m"].isNotNull())
-    ends = running(F.transform(hits, lambda x: F.length(x["gap"]) + F.length(x["m"])))
     one = lambda p: F.struct((p["end"] - F.length(p["x"]["m"])).alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"), p["x"]["v"].alias("value"))
-    spans = F.filter(F.transform(F.arrays_zip(hits.alias("x"), ends.alias("end")), one), lambda s: F.length(s["value"]) >= least)
+    ended = lambda h: F.arrays_zip(h.alias("x"), running(F.transform(h, lambda x: F.length(x["gap"]) + F.length(x["m"]))).alias("end"))
+    # the last gap has no match: arrays_zip pads it with nulls
+    placed = bound(F.filter(hits, lambda x: x["m"].isNotNull()), ended)
+    spans = F.filter(F.transform(placed, one), lambda s: F.length(s["value"]) >= least)
     return F.when(maybe, spans).otherwise(F.array().cast(_SPAN))
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others: these are sorted into runs with their outer bounds, and only runs whose bounds overlap are looked at."""
+    ordered = F.array_sort(F.transform(others, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def run(part: Column) -> Column:
+        return F.struct(F.get(part, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(part, lambda s: s["end"])).alias("hi"), part.alias("spans"))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / RUN).cast("int")), lambda k: bound(F.slice(all_, k * RUN + 1, RUN), run))
+    meets = lambda a, b, lo, hi: (b[lo] < a["end"]) & (a["start"] < b[hi])
+    near = lambda c, runs: F.exists(runs, lambda r: meets(c, r, "lo", "hi") & F.exists(r["spans"], lambda b: meets(c, b, "start", "end")))
+    return bound(bound(ordered, cut), lambda runs: F.filter(spans, lambda c: ~F.coalesce(near(c, runs), F.lit(False))))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of spans, by start, then kind."""
     names = F.array(*map(F.lit, KINDS))
@@ -80,8 +93,8 @@ def candidates(docs: DataFrame, doc_id: str, text: str, owner: str, repository:
         _found(t, TOKEN, 3, t.rlike(TOKEN)).alias("__token"),
     )
     base = F.concat("__assign", "__access", "__hex")
-    apart = F.filter("__token", lambda c: live_looking(c["value"]) & ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return stored(rows.withColumn("__base", base).withColumn("__more", apart).drop("__assign", "__access", "__hex", "__token"), "secrets")
+    more = apart(F.filter("__token", lambda c: live_looking(c["value"])), F.col("__base"))
+    return stored(rows.withColumn("__base", base).withColumn("__more", more).drop("__assign", "__access", "__hex", "__token"), "secrets")
 
 
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
