@@ -20,11 +20,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import bounded_batches, crc_mod, pieces, table, utf8
+from lintlake.llm.common import bounded_batches, crc_mod, pieces, stored, table, utf8
 
 WINDOW = 256
 PER_LANGUAGE = 400
 WINDOWS = 4
+#: Labels up to which their sizes and chosen hashes are broadcast (PER_LANGUAGE rows of about 30 bytes each); beyond it they are joined.
+MOST_LABELS = 500
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -125,14 +127,19 @@ def labelled_windows(docs: DataFrame, doc_id: str, text: str, lang: str, train:
     """A bounded sample: of each label at most `per_language` different texts, `count` windows each, chosen by hashes of id and text.
 
     Hashes below a share of their range are looked at, four times what is needed, and the label's least one, so
-    that a label of few texts in many rows is not missed.
+    that a label of few texts in many rows is not missed. Only hashes are shuffled; the chosen ones, which are bounded,
+    then pick their texts out of the table. Labels are one row each, and broadcast where they are checked to be few.
     """
     own = F.xxhash64(doc_id, text)
     known = docs.filter(train & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(own.alias("__h"), F.col(text).alias("__t"), F.col(lang).alias("__l"))
-    sizes = known.groupBy("__l").agg(F.count("*").alias("n"), F.min("__h").alias("least"))
+    hashes = known.select("__h", "__l")
+    sizes = stored(hashes.groupBy("__l").agg(F.count("*").alias("n"), F.min("__h").alias("least")), "labels")
+    few = sizes.count() <= MOST_LABELS
     dice = F.pmod(F.xxhash64("__h"), F.lit(1_000_003)) / 1_000_003.0
-    some = known.join(sizes, "__l").filter((dice < F.lit(4.0 * per_language) / F.col("n")) | (F.col("__h") == F.col("least"))).dropDuplicates(["__l", "__h"])
-    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("__l").orderBy("__h"))).filter(F.col("k") <= per_language)
+    some = hashes.join(F.broadcast(sizes) if few else sizes, "__l").filter((dice < F.lit(4.0 * per_language) / F.col("n")) | (F.col("__h") == F.col("least"))).select("__l", "__h").distinct()
+    best = some.withColumn("k", F.row_number().over(Window.partitionBy("__l").orderBy("__h"))).filter(F.col("k") <= per_language).select("__l", "__h")
+    best = stored(best, "chosen")
+    chosen = known.join(F.broadcast(best) if few else best, ["__l", "__h"]).groupBy("__l", "__h").agg(F.min("__t").alias("__t"))
     body = F.encode("__t", "UTF-8")
     room = F.greatest(F.octet_length("__t") - window, F.lit(0)) + 1
     cut = F.array(*[F.substring(body, F.pmod(F.xxhash64("__h", F.lit(k)), room.cast("long")).cast("int") + 1, F.lit(window)) for k in range(count)])
