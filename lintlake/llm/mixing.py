@@ -44,6 +44,10 @@ class Weights:
     repeats: np.ndarray
 
 
+#: Upper bits of a block key that name its share of the range.
+SHARE_BITS = 10
+
+
 def temper(tokens: np.ndarray, exponent: float) -> np.ndarray:
     p = tokens / tokens.sum()
     w = np.where(p > 0, np.power(np.where(p > 0, p, 1.0), exponent), 0.0)
@@ -97,30 +101,36 @@ def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
     quota = np.floor(got.repeats * sums_ + 1e-6).astype(np.int64)
     passes = [(k, int(q // t) if t else 0, int(q % t) if t else 0, float(w)) for k, q, t, w in zip(names, quota.tolist(), sums_.astype(np.int64).tolist(), got.weights.tolist(), strict=True)]
     blocks = max(1, -(-sum(r.n for r in totals) // BLOCK_DOCS))
-    plan = spark.createDataFrame(passes, "__src string, full long, rest long, weight double")
+    plan = spark.createDataFrame(passes, "__src string, __full long, __rest long, __weight double")
     small = len(names) <= BROADCAST_SOURCES
     hint = (lambda d: F.broadcast(d)) if small else (lambda d: d)
 
-    # where the last pass of each source ends: first among block sums, then inside the one block
-    block, block_key, doc_key = _keys(F.col("__id"), F.col("full"), blocks, seed)
-    placed = slim.join(hint(plan), "__src").select("__src", "rest", block.alias("b"), block_key.alias("bk"), doc_key.alias("dk"), "mix_tokens")
+    # where the last pass of each source ends: among shares of the range of block keys, among the blocks of that share, then
+    # inside the one block; so no source is sorted in one task
+    block, block_key, doc_key = _keys(F.col("__id"), F.col("__full"), blocks, seed)
+    placed = slim.join(hint(plan), "__src").select("__src", F.col("__rest").alias("rest"), block.alias("b"), block_key.alias("bk"), doc_key.alias("dk"), "mix_tokens")
     sums = placed.groupBy("__src", "b").agg(F.first("rest").alias("rest"), F.first("bk").alias("bk"), F.sum("mix_tokens").alias("t"))
-    run = F.sum("t").over(Window.partitionBy("__src").orderBy("bk", "b").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sums.withColumn("run", run).filter("run > rest").groupBy("__src").agg(F.min(F.struct("bk", "b", (F.col("rest") - F.col("run") + F.col("t")).alias("room"))).alias("e"))
+    sums = sums.withColumn("share", F.shiftright("bk", 64 - SHARE_BITS))
+    shares = sums.groupBy("__src", "share").agg(F.first("rest").alias("rest"), F.sum("t").alias("t"))
+    shares = shares.withColumn("run", F.sum("t").over(Window.partitionBy("__src").orderBy("share")))
+    shares = shares.filter("run > rest").groupBy("__src").agg(F.min(F.struct("share", (F.col("run") - F.col("t")).alias("before"))).alias("s"))
+    near = sums.join(hint(shares), "__src").filter(F.col("share") == F.col("s.share"))
+    run = F.col("s.before") + F.sum("t").over(Window.partitionBy("__src").orderBy("bk", "b").rowsBetween(Window.unboundedPreceding, 0))
+    ends = near.withColumn("run", run).filter("run > rest").groupBy("__src").agg(F.min(F.struct("bk", "b", (F.col("rest") - F.col("run") + F.col("t")).alias("room"))).alias("e"))
     ends = ends.select("__src", F.col("e.bk").alias("end_bk"), F.col("e.b").alias("end_b"), F.col("e.room").alias("room"))
     last = placed.join(hint(ends), "__src").filter(F.col("b") == F.col("end_b")).select("__src", "end_bk", "end_b", "room", "dk", "mix_tokens")
     run = F.sum("mix_tokens").over(Window.partitionBy("__src").orderBy("dk"))  # of equal keys all or none
     stops = last.withColumn("run", run).groupBy("__src", "end_bk", "end_b").agg(F.max(F.when(F.col("run") <= F.col("room"), F.col("dk"))).alias("end_dk"))
-    stopped = spark.createDataFrame([tuple(r) for r in stops.collect()], "__src string, end_bk long, end_b long, end_dk long")
+    stopped = spark.createDataFrame([tuple(r) for r in stops.collect()], "__src string, __end_bk long, __end_b long, __end_dk long")
 
     out = rows.join(hint(plan.join(hint(stopped), "__src", "left")), "__src")
-    block, block_key, doc_key = _keys(F.col(doc_id), F.col("full"), blocks, seed)
-    before = F.struct(block_key, block) < F.struct("end_bk", "end_b")
-    inside = (block == F.col("end_b")) & (doc_key <= F.col("end_dk"))
-    partly = F.when(F.col("rest") == 0, F.lit(False)).when(F.col("end_b").isNull(), F.lit(True)).otherwise(before | F.coalesce(inside, F.lit(False)))
-    copies = F.col("full") + partly.cast("long")
+    block, block_key, doc_key = _keys(F.col(doc_id), F.col("__full"), blocks, seed)
+    before = F.struct(block_key, block) < F.struct("__end_bk", "__end_b")
+    inside = (block == F.col("__end_b")) & (doc_key <= F.col("__end_dk"))
+    partly = F.when(F.col("__rest") == 0, F.lit(False)).when(F.col("__end_b").isNull(), F.lit(True)).otherwise(before | F.coalesce(inside, F.lit(False)))
+    copies = F.col("__full") + partly.cast("long")
     out = out.filter(copies > 0)
-    return _with_picks(out, F.sequence(F.lit(0).cast("long"), copies - 1), None, F.col("weight"), doc_id, blocks, seed).drop("full", "rest", "weight", "end_bk", "end_b", "end_dk")
+    return _with_picks(out, F.sequence(F.lit(0).cast("long"), copies - 1), None, F.col("__weight"), doc_id, blocks, seed).drop("__full", "__rest", "__weight", "__end_bk", "__end_b", "__end_dk")
 
 
 def _keys(doc_id: Column, epoch: Column, blocks: int, seed: int) -> tuple[Column, Column, Column]:

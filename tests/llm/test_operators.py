@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lintlake.llm import bpe, components, langid, mixing, secrets, token_counts
+from lintlake.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +87,28 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_of_a_long_dump(spark):
+    """Many spans in one text: overlaps are those of a double loop, and the time does not grow with their square."""
+    rng = np.random.default_rng(8)
+    words = [rng.choice(["%032x" % rng.integers(1 << 62), "Zx9fK2mQ7Lp4Rt8Vw3" + str(rng.integers(10**6)), "plain", "token=abcDEF123456789"]) for _ in range(12_000)]
+    text = " ".join(words)
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert time.time() - began < 60
+    base = [(m.start(), m.end()) for p in ("[0-9a-f]{16,}", secrets.ASSIGN) for m in re.finditer(p, text)]
+    assert row.n_hex == len(re.findall("[0-9a-f]{16,}", text)) and row.n_assign == sum(w.startswith("token") for w in words)
+    spans = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("live")]
+    starts = sorted(base)
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.TOKEN, text)]
+    free, k, reach = set(), 0, -1
+    for a, z, v in tokens:
+        while k < len(starts) and starts[k][0] < z:
+            reach, k = max(reach, starts[k][1]), k + 1
+        if reach <= a and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= secrets.MIN_DISTINCT:
+            free.add((a, z))
+    assert set(spans) == free and len(free) > 1000
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components.components(chain).collect()}
@@ -144,6 +169,9 @@ def test_mixing_against_brute_force(spark):
             if rest:
                 want.add((r.doc_id, full))
     assert {(r.doc_id, r.mix_epoch) for r in got} == want and len(got) == len(want)
+    named = df.withColumns({c: F.lit(f"own {c}") for c in ("full", "rest", "weight", "end_b", "end_dk", "share", "b", "run")})
+    own = mixing.mix_sources(named)
+    assert {(r.doc_id, r.mix_epoch) for r in own.collect()} == want and own.select("weight", "rest").distinct().collect() == [("own weight", "own rest")]
     by_tokens = mixing.mix_sources(df, tokens=F.lit(2)).select("mix_tokens").distinct().collect()
     assert [r[0] for r in by_tokens] == [2]
 
@@ -177,3 +205,48 @@ def test_pipeline(spark, tmp_path):
     assert not {3, 4, 5, 6} & {r.doc_id for r in out}
     empty(spark).drop("n", "hash", "path").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def written(spark, path, texts):
+    docs(spark, texts).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_language_query(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "and", "of", "that"], "fr": ["été", "où", "le", "ça"]}
+    texts = [" ".join(rng.choice(words[["en", "fr", "en"][k % 3]], 40)) if k % 3 < 2 else None for k in range(120)]
+    got = QUERIES["op2_language_id"](spark, written(spark, tmp_path, [*texts, "12 34"])).collect()
+    assert {r.doc_id: r.held_out for r in got} == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in range(121)}
+    assert len(got) == 122 and all(0 <= r.score <= 1 for r in got)
+    assert all(r.lang_pred == ("und" if r.doc_id % 3 == 2 or r.doc_id == 120 else ["en", "fr"][r.doc_id % 3]) for r in got)
+
+
+def test_token_query(spark, tmp_path):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [*TEXTS, "word " * 5000]
+    for r in QUERIES["op3_token_counts"](spark, written(spark, tmp_path, texts)).collect():
+        n = len(sp.encode(texts[r.doc_id] or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 4096)
+
+
+def test_mixing_query(spark, tmp_path):
+    out = QUERIES["op5_source_mixing"](spark, written(spark, tmp_path, TEXTS))
+    names = ["doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_block_key", "mix_doc_key", "mix_weight"]
+    own = mixing.mix_sources(docs(spark)).select(*names)
+    assert sorted(map(tuple, out.select(*names).collect())) == sorted(map(tuple, own.collect())) and "text" not in out.columns
+
+
+def test_secret_query(spark, tmp_path):
+    alone = "key Qx7kP2vR9sT4wY6zB1cD here"
+    got = by_id(QUERIES["op8_secret_scan"](spark, written(spark, tmp_path, [*TEXTS, alone])))
+    assert (got[7].n_assign, got[7].n_access, got[7].n_hex) == (1, 1, 1)
+    assert (got[10].spans, got[10].n_live_added, got[10].base_sha256) == ("live:4:24", 1, hashlib.sha256(b"").hexdigest())
+
+
+def test_bpe_query(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in QUERIES["op10_bpe_encode_decode"](spark, written(spark, tmp_path, TEXTS)).collect():
+        ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        told = t.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(told.encode()).hexdigest())
