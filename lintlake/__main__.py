@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--experimental", action="store_true", default=None)
     p.add_argument("--config", metavar="FILE")
     p.add_argument("--summary", action="store_true")
-    p.add_argument("--output", metavar="FOLDER", help="write findings there as lines of text, without bringing them to the driver")
+    p.add_argument("--output", metavar="PATH", help="write there, without bringing findings to the driver: one document for json and sarif where it ends in .json or .sarif, else a folder of lines")
     p.add_argument("--list-rules", action="store_true")
     p.add_argument("--no-color", action="store_true")
     return p
@@ -61,7 +61,11 @@ def main(argv: list[str] | None = None) -> int:
         print(str(e), file=sys.stderr)
         return 2
     if a.output:
-        reports.save(r.findings, a.output, "json" if a.format == "table" else a.format)
+        kind = "json" if a.format == "table" else a.format
+        if kind != "github" and a.output.endswith((".json", ".sarif")):
+            reports.save_document(r, a.output, kind)
+        else:
+            reports.save(r.findings, a.output, kind)
         return int(not r.findings.filter("severity = 'error'").isEmpty())
     done = reports.Collected.of(r)
     text = reports.summary(r) if a.summary else None

@@ -16,6 +16,7 @@ from lintlake.session import cut, shared_folder
 from lintlake.sources import diff as D
 from lintlake.sources import git as G
 from lintlake.sources import units as U
+from lintlake.sources.tree import read_tree
 
 #: Characters that a table of the driver's rows holds before they go to the shared folder.
 CHUNK = 32 << 20
@@ -98,15 +99,15 @@ def _java_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
 
 def review_paths(spark: SparkSession, paths: list[str], cwd: str, options: Options = Options()) -> Review:
     files, left = expand(paths, cwd, options.exclude)
-    rows = ((p, G.in_tree(p, cwd)) for p in files)
-    own = contents(spark, (r for r in rows if r[1] is not None), "path string, content string")
+    rows = ((k, p, G.in_tree(p, cwd)) for k, p in enumerate(files))
+    own = contents(spark, (r for r in rows if r[2] is not None), "ord bigint, path string, content string")
     skipped = spark.createDataFrame([(1, k, p, r) for k, (p, r) in enumerate(left)], _SKIP)
     return review(U.whole_files(own), None, _java_of(spark, cwd, own), options, skipped)
 
 
 def review_tree(spark: SparkSession, root: str, options: Options = Options()) -> Review:
     """All files below a folder, read by executors; mappers find their interfaces among them."""
-    files = U.read_tree(spark, root, options.exclude)
+    files = read_tree(spark, root, options.exclude)
     java = files.filter(F.lower("path").endswith(".java")).select(F.lit(0).alias("ord"), "path", "content")
     return review(U.whole_files(files), None, java, options)
 

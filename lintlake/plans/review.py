@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ from lintlake.operators.java_structure import FAILED, SCHEMA, java_structure, ta
 from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
 from lintlake.plans.catalogue import RULE_IDS, RULES
+from lintlake.plans.drafting import COLUMNS
 from lintlake.session import cut
 from lintlake.sources.units import companions_of
 
@@ -55,6 +57,67 @@ class Context:
     companions: DataFrame
 
 
+    def of(self, share: int, shares: int) -> Context:
+        """The same tables for a share of the units."""
+        own = F.pmod(F.xxhash64("path"), F.lit(shares).cast("long")) == share
+        structure = self.structure.filter(own)
+        return Context(self.units.filter(own), structure, self.elements.filter(own), self.scopes.filter(own) if self.scopes is not None else None, rj.Java.of(structure), self.companions.filter(own))
+
+
+RuleOf = Callable[[Context], DataFrame]
+#: The review's own rules, from the tables they read to drafts.
+MAKE: dict[str, RuleOf] = {
+    "SPR001": lambda c: rj.spr001(c.java), "SPR002": lambda c: rj.spr002(c.java), "SPR003": lambda c: rj.spr003(c.java), "SPR004": lambda c: rj.spr004(c.java), "SPR005": lambda c: rj.spr005(c.java), "SPR006": lambda c: rj.spr006(c.java),
+    "MYB001": lambda c: rs.myb001(c.scopes), "MYB002": lambda c: rj.myb002(c.java).unionByName(rs.nested_selects(mx.nested_selects(c.elements, "path"))), "MYB003": lambda c: rs.myb003(c.scopes), "MYB004": lambda c: rs.myb004(c.scopes), "MYB005": lambda c: rs.myb005(c.scopes, c.companions),
+}
+#: Runs of one rule on shares of the units before what still fails is given up together.
+MOST_RUNS = 64
+_NO_DRAFTS = "path string, rule_ord int, draft_seq array<int>, rule string, severity string, line int, end_line int, message string, suggestion string"
+
+
+def _reason(e: Exception) -> str:
+    """The line of an error that says what went wrong: that of the Python error in a task, if there is one."""
+    lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+    told = [x for x in lines if re.match(r"[A-Za-z_.]*(?:Error|Exception)\b.*", x) and not x.startswith(("org.apache.spark", "at "))]
+    return (told[-1] if told else lines[0] if lines else type(e).__name__)[:200]
+
+
+def run_rules(rules: Sequence[tuple[str, RuleOf]], context: Context) -> tuple[DataFrame, list[tuple[str, int, int, str]]]:
+    """The drafts of all rules, and what failed: (rule, share, shares, reason), the units of a share that a rule did not get through.
+
+    All rules run in one job, which is all there is to it as long as none fails. A rule that cannot be built fails for all
+    units. If the job fails, each rule runs by itself, and one that fails runs again on halves of its units, until what
+    fails is a single unit, or MOST_RUNS runs are used up. All others' drafts stay.
+    """
+    spark, failed, built = context.units.sparkSession, [], []
+    for id_, rule in rules:
+        try:
+            built.append((id_, rule, rule(context).select(*COLUMNS)))
+        except Exception as e:  # noqa: BLE001 - whatever a rule raises is its own
+            failed.append((id_, 0, 1, _reason(e)))
+    none = spark.createDataFrame([], _NO_DRAFTS)
+    try:
+        return cut(reduce(DataFrame.unionByName, [d for *_, d in built], none)), failed
+    except Exception:  # noqa: BLE001
+        kept = [none]
+    for id_, rule, whole in built:
+        todo, runs = [(0, 1, whole)], 0
+        while todo:
+            share, shares, drafts = todo.pop()
+            runs += 1
+            try:
+                kept.append(cut(drafts))
+                continue
+            except Exception as e:  # noqa: BLE001
+                reason = _reason(e)
+            own = context.of(share, shares)
+            if runs >= MOST_RUNS or len(own.units.select("path").limit(2).collect()) < 2:
+                failed.append((id_, share, shares, reason))
+            else:
+                todo += [(k, 2 * shares, rule(context.of(k, 2 * shares)).select(*COLUMNS)) for k in (share, share + shares)]
+    return reduce(DataFrame.unionByName, kept), failed
+
+
 def scopes(units: DataFrame, structure: DataFrame, el: DataFrame | None = None) -> DataFrame:
     """All SQL scopes with their number in a file: statements, fragments, annotation SQL."""
     xml = mx.xml_scopes(mx.elements(units, "path") if el is None else el, "path")
@@ -92,8 +155,8 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
 
     added: (path, line) that a diff added, for units that are not whole files. java_paths: (ord, path, content) of
     files that may be companions of mappers. What the active rules need is worked out once and written to the
-    checkpoint folder; the rules run when a result is used. A unit whose structure cannot be read is skipped with a
-    reason; the others are reviewed.
+    checkpoint folder, and so are the drafts. A unit whose structure cannot be read is skipped with a reason, and so is one
+    on which a rule fails, for that rule (`run_rules`); the others are reviewed.
     """
     spark = units.sparkSession
     gated = cut(gates(units))
@@ -107,10 +170,6 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
     sc = cut(scopes(ready, structure, el)) if _STATEMENT_RULES & set(active) else None
     java = rj.Java.of(structure)
     companions = companions_of(mx.namespace_of(el, "path"), java_paths) if java_paths is not None else spark.createDataFrame([], "path string, companion_path string, companion_content string")
-    make = {
-        "SPR001": lambda: rj.spr001(java), "SPR002": lambda: rj.spr002(java), "SPR003": lambda: rj.spr003(java), "SPR004": lambda: rj.spr004(java), "SPR005": lambda: rj.spr005(java), "SPR006": lambda: rj.spr006(java),
-        "MYB001": lambda: rs.myb001(sc), "MYB002": lambda: rj.myb002(java).unionByName(rs.nested_selects(mx.nested_selects(el, "path"))), "MYB003": lambda: rs.myb003(sc), "MYB004": lambda: rs.myb004(sc), "MYB005": lambda: rs.myb005(sc, companions),
-    }
 
     # which rules apply to which units is a matter of the unit alone
     slim = ready.select("path", "file", "unit_ord", "lang", "complete", "whole_file")
@@ -118,12 +177,10 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
     full = [r.id for r in RULES if r.needs_full]
     unread = F.coalesce(F.startswith("issue", F.lit(FAILED)), F.lit(False))
 
-    rows = [make[i]() for i in active] + [rule(Context(ready, structure, el, sc, java, companions)) for rule in own_rules]
-    if rows:
-        drafts = reduce(DataFrame.unionByName, rows).join(slim.select("path", "file", "unit_ord", "complete", "whole_file", "issue"), "path")
-        drafts = drafts.filter(~F.col("rule").isin(full) | (F.col("complete") & F.col("issue").isNull())).filter("line >= 1")
-    else:
-        drafts = spark.createDataFrame([], "path string, rule string, file string, rule_ord int, draft_seq array<int>, severity string, line int, end_line int, message string, suggestion string, unit_ord bigint, whole_file boolean")
+    named = [(i, MAKE[i]) for i in active] + [((list(own_ids) + [f"OWN{k}"])[min(k, len(own_ids))], rule) for k, rule in enumerate(own_rules)]
+    drafts, failed = run_rules(named, Context(ready, structure, el, sc, java, companions))
+    drafts = drafts.join(slim.select("path", "file", "unit_ord", "complete", "whole_file", "issue"), "path")
+    drafts = drafts.filter(~F.col("rule").isin(full) | (F.col("complete") & F.col("issue").isNull())).filter("line >= 1")
     lines = (added if added is not None else spark.createDataFrame([], "path string, line int")).withColumnRenamed("path", "file").distinct()
     on = [c for c in ("file", "unit_ord", "line") if c in lines.columns]
     kept = drafts.filter("whole_file").unionByName(drafts.filter("not whole_file").join(lines, on, "left_semi")).drop("whole_file", "complete", "issue")
@@ -138,6 +195,12 @@ def review(units: DataFrame, added: DataFrame | None = None, java_paths: DataFra
     why = F.when(unread, F.col("issue")).when(F.col("r.full") & ~F.col("complete"), "file not fully available (patch fragment)").when(F.col("r.full"), F.col("issue"))
     passed = slim.select("*", F.explode(needs).alias("r")).filter((F.col("r.target") == "both") | (F.col("r.target") == F.col("lang"))).withColumn("why", why).filter("why is not null")
     passed = passed.select("unit_ord", F.col("r.ord").alias("k"), F.col("file").alias("path"), F.concat("r.id", F.lit(": "), "why").alias("reason"))
+    targets = {r.id: (r.ord, r.target) for r in RULES}
+    stopped = spark.createDataFrame([(i, *targets.get(i, (90, "both")), share, shares, f"{i}: {reason}") for i, share, shares, reason in failed], "id string, k int, target string, share bigint, shares bigint, reason string")
+    hit = slim.join(F.broadcast(stopped), (F.col("target") == "both") | (F.col("target") == F.col("lang"))) if failed else None
+    if hit is not None:
+        hit = hit.filter((F.pmod(F.xxhash64("path"), F.col("shares")) == F.col("share")) & ~(F.col("id").isin(full) & (~F.col("complete") | F.col("issue").isNotNull())))
+        passed = passed.unionByName(hit.select("unit_ord", "k", F.col("file").alias("path"), "reason"))
     own = refused.unionByName(blank).unionByName(passed).select(F.lit(2).alias("stage"), (F.col("unit_ord") * 100 + F.col("k")).cast("bigint").alias("seq"), "path", "reason")
     shown = ready.drop("path", "els").withColumnRenamed("file", "path").select(*[c for c in units.columns])
     return Review(found, own if skipped is None else skipped.unionByName(own), shown)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
@@ -14,25 +14,11 @@ SKIP_ORDER = ("unsupported", "no added lines", "not a .java/.xml file", "exclude
 CONTEXT_SHARE = 0.5
 
 
-def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content) of the reviewable files below a folder; paths are relative, build output is left out.
-
-    Names are filtered before any content is decoded, and the scan reads no content of files that go.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:") + "/"
-    rel = F.regexp_replace(F.col("path"), r"\A(?:file:)?/*\Q" + base.lstrip("/") + r"\E", "")
-    names = raw.select(rel.alias("path"), "content")
-    names = names.filter((P.lang_of(F.col("path")) != "other") & P.reviewable(F.col("path")) & ~P.pruned(F.col("path")))
-    if exclude:
-        names = names.filter(~P.matches_any(F.col("path"), list(exclude)))
-    return names.select("path", F.decode("content", "UTF-8").alias("content"))
-
-
 def whole_files(files: DataFrame) -> DataFrame:
-    """Units of whole files: every line can be reported."""
-    rows = files.select("path", X.normalize_newlines(F.col("content")).alias("content"))
-    return rows.select(F.pmod(F.xxhash64("path"), F.lit(1 << 52)).alias("unit_ord"), "path", P.lang_of(F.col("path")).alias("lang"), "content", F.lit("worktree").alias("content_source"), F.lit(True).alias("complete"), F.lit(True).alias("whole_file"))
+    """Units of whole files: every line can be reported. Files are in the order of `ord` where they have one, else in that of a hash."""
+    number = F.col("ord").cast("bigint") if "ord" in files.columns else F.pmod(F.xxhash64("path"), F.lit(1 << 52))
+    rows = files.select(number.alias("unit_ord"), "path", X.normalize_newlines(F.col("content")).alias("content"))
+    return rows.select("unit_ord", "path", P.lang_of(F.col("path")).alias("lang"), "content", F.lit("worktree").alias("content_source"), F.lit(True).alias("complete"), F.lit(True).alias("whole_file"))
 
 
 def reconstruct(lines: DataFrame) -> DataFrame:
