@@ -119,8 +119,9 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...], words: int, bands: int, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
-    """`keep` columns with __id, n_shingles, node (null for an empty set), and, for its first row in a task, the node's bands and signature."""
-    schema = docs.select(*keep, F.col(doc_id).alias("__id")).schema.add("n_shingles", "long", False).add("node", "long").add("bands", T.ArrayType(T.LongType())).add("signature", T.ArrayType(T.LongType()))
+    """`keep` columns as __keep0, __keep1 ..., with __id, n_shingles, node (null for an empty set), and, for its first row in a task, the node's bands and signature."""
+    own_names = [F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)]
+    schema = docs.select(*own_names, F.col(doc_id).alias("__id")).schema.add("n_shingles", "long", False).add("node", "long").add("bands", T.ArrayType(T.LongType())).add("signature", T.ArrayType(T.LongType()))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...], w
                 rest = [b.column(k).slice(x, y - x) for k in range(1, b.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(size), pa.array(ids, mask=size == 0), *told], schema=arrow)
 
-    return docs.select(F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)], F.col(doc_id).alias("__id")).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__text"), *own_names, F.col(doc_id).alias("__id")).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -251,6 +252,7 @@ def block_links(members: DataFrame, percent: int, floor: float, bits: int) -> Da
                 u, v = np.array(out).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    members = members.select(*[x.split()[0] for x in _MEMBER.split(", ")], "data")
     return members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(run, "u long, v long")
 
 
@@ -286,7 +288,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tup
     # rows without a set have no node, and stay out of the join
     rows = base.filter("node is not null").join(named, F.col("node") == F.col("__node")).withColumn("component_id", F.col("class_id"))
     rows = rows.select(*base.columns, "component_id").unionByName(base.filter("node is null").withColumn("component_id", F.col("__id")))
-    return rows.select(*kept, "n_shingles", "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select(*[F.col(f"__keep{k}").alias(c) for k, c in enumerate(kept)], "n_shingles", "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def brute(rows, labels):
     for r in rows:
         if r[0] is not None:
             first[r[1] or ""] = min(first.get(r[1] or "", r[0]), r[0])
-    good, toxic = {i for i, q, *_ in labels if q == 1}, {i for i, _, t, *_ in labels if t == 1}
+    good, toxic = {i for i, q, *_ in labels if q == 1 and i is not None}, {i for i, _, t, *_ in labels if t == 1 and i is not None}
     docs = [(r[2] or "", failures(r[0], r[1] or "", first), r[0] in good, r[0] in toxic) for r in rows]
     out = {}
     for part in {d[0] for d in docs}:
