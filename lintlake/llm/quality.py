@@ -5,8 +5,8 @@ language and makes a modified Kneser-Ney model of them with joins on contexts an
 what the corpus holds and are nowhere in one place. The model is stored in buckets, each with the sorted hashes of its
 n-grams, their interpolated log probabilities, and their backoff weights as contexts.
 
-Documents are dealt into parts of about `PART` bytes, written once, and worked off in `ROUNDS` rounds so that only a part
-of the texts is on its way at once. A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets
+Documents are dealt into parts of about `PART` bytes by a hash of what they hold, and worked off in `ROUNDS` rounds so that
+only a part of the texts is on its way at once. (Rows that agree in the text and all columns kept share a part.) A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets
 hold one row of arrays, search it for one ask after the other, and answer in the order asked; then each byte's
 probability is evaluated recursively: that of the longest n-gram stored, after the backoff weights of the longer
 contexts. Texts are read in stretches of `STRETCH` bytes, a long one by itself with the bytes before each stretch, so
@@ -360,8 +360,9 @@ def asked(langs: list[str], texts: pa.Array) -> np.ndarray:
     """Sorted distinct hashes of all n-grams of some texts."""
     found = [np.zeros(0, U64)]
     for k, _, g, *_ in _grams(langs, texts):
-        found.append(np.unique(np.concatenate([gram_hashes(k, n, g.codes[n]) for n in range(ORDER + 1)])))
-    return np.unique(np.concatenate(found))
+        found += [gram_hashes(k, n, g.codes[n]) for n in range(ORDER + 1)]
+    h = np.sort(np.concatenate(found))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def _grams(langs: list[str], texts: pa.Array, every: bool = False) -> Iterator[tuple[str, np.ndarray, Grams, np.ndarray, np.ndarray]]:
@@ -404,10 +405,10 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         schema = schema.add(n, "long")
     schema = schema.add("__lang", "string").add("__class", "long").add("log_ppl", "double").add("word_ppl", "double")
     parts, buckets = _parts(docs, text), model.buckets
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
-    # written once, so that asking and scoring read the same rows in the same parts; a text travels once
+    # by what a row holds, so that asking and scoring deal it alike however the table is read; a text travels once
+    hashed = [f.name for f in docs.schema if f.name in (text, lang, *kept) and "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(parts))
     dealt = docs.select(part.alias("__part"), _lang(lang).alias("__key"), F.col(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(kept) if c != text])
-    dealt = stored(dealt, "dealt")
 
     def ask(t: pa.Table) -> pa.Table:
         h = asked(t.column("__key").to_pylist(), t.column("__text").combine_chunks())
@@ -468,7 +469,6 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         told = asks.repartition("dest").sortWithinPartitions("dest", "part").mapInArrow(answer, _ROW).withColumnRenamed("part", "__part")
         got = stored(rows.groupBy("__part").cogroup(told.groupBy("__part")).applyInArrow(score, schema), "perplexity")
         out = got if out is None else out.unionByName(got)
-    discard(dealt)
     return out
 
 
