@@ -78,7 +78,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def gaps_and_matches(text: Column, pattern: str) -> Column:
     """The text from left to right as (gap, m): what stands before each match, and the match; m is null at the end."""
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.named_struct(F.lit("gap"), gap, F.lit("m"), m))
 
 
 def blank(text: Column, pattern: str) -> Column:

@@ -27,6 +27,8 @@ ELEMENT = "|".join(
 )
 _OPEN = rf"\A<(/?)({NAME})({INSIDE})>"
 INCLUDE = rf"(?i)<include\b{INSIDE}>"
+# Fixed value: how deep includes are followed.
+INCLUDE_LEVELS = 3
 TEMPLATE = r"<#\[\[|</?#"
 
 
@@ -131,28 +133,41 @@ def namespace_of(el: DataFrame, *keep: str) -> DataFrame:
     return el.filter(F.size(_opened("mapper")) > 0).select(*keep, namespace().alias("namespace"))
 
 
-def _lookup(refid: Column) -> Column:
+def _lookup(refid: Column, frags: Column) -> Column:
     """The text of a fragment by its id, or by its id after the mapper's own namespace; null where there is none."""
     prefix = F.concat(F.col("namespace"), F.lit("."))
     short = F.when(F.startswith(refid, prefix), F.substr(refid, F.length(prefix) + 1))
-    return F.coalesce(F.try_element_at(F.col("frags"), refid), F.try_element_at(F.col("frags"), F.coalesce(short, F.lit(""))))
+    return F.coalesce(F.try_element_at(frags, refid), F.try_element_at(frags, F.coalesce(short, F.lit(""))))
 
 
-def inline_once(text: Column) -> Column:
+def inlined(text: Column, frags: Column) -> Column:
     """Includes replaced by their fragments, unknown ones by a space."""
-    return F.when(text.contains("<"), _woven(text, INCLUDE, lambda tag: F.coalesce(F.concat(F.lit(" "), _lookup(attribute(tag, "refid")), F.lit(" ")), F.lit(" ")))).otherwise(text)
+    put = lambda tag: F.coalesce(F.concat(F.lit(" "), _lookup(attribute(tag, "refid"), frags), F.lit(" ")), F.lit(" "))
+    return F.when(text.contains("<"), _woven(text, INCLUDE, put)).otherwise(text)
+
+
+def resolved_fragments(levels: int) -> Column:
+    """Fragments of `frs` by id, with the includes in them replaced down to so many levels: each level names the one before.
+
+    A fragment is resolved once for all that include it, by however many ways; in a cycle the includes that
+    are left at the last level become spaces.
+    """
+    raw = F.map_from_entries(F.transform("frs", lambda f: F.struct(f["id"], f["raw"])))
+    known = raw
+    for _ in range(levels):
+        known = X.bound(known, lambda k: F.transform_values(raw, lambda _, text: inlined(text, k)))
+    return known
 
 
 def unresolved(raw: Column) -> Column:
     refs = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(INCLUDE), F.lit(0)), lambda tag: attribute(tag, "refid")))
-    return F.filter(refs, lambda r: r.isNotNull() & (r != "") & _lookup(r).isNull())
+    return F.filter(refs, lambda r: r.isNotNull() & (r != "") & _lookup(r, F.col("frags")).isNull())
 
 
 def xml_scopes(el: DataFrame, *keep: str) -> DataFrame:
     """SQL scopes of mapper files, numbered: statements by line, then fragments; includes inlined up to three levels."""
     known = el.select(*keep, namespace().alias("namespace"), statements().alias("sts"), fragments().alias("frs"))
-    rows = known.select(*keep, "namespace", F.map_from_entries(F.transform("frs", lambda f: F.struct(f["id"], f["raw"]))).alias("frags"), F.posexplode(F.concat("sts", "frs")).alias("k", "s"))
-    one = rows.withColumn("t", inline_once(F.col("s.raw")))
-    two = one.withColumn("t", inline_once(F.col("t")))
-    three = two.withColumn("t", inline_once(F.col("t")))
-    return three.select(*keep, (F.col("k") + 1).alias("scope_ix"), F.col("s.kind").alias("kind"), F.col("s.id").alias("id"), F.col("s.raw").alias("raw"), X.flat(strip_tags(F.col("t"))).alias("resolved"), F.col("s.line").alias("line"), F.col("s.base").alias("base"), F.lit("xml").alias("source"), unresolved(F.col("s.raw")).alias("unresolved"))
+    # a statement's includes are replaced by fragments whose own includes are, two levels down: three levels in all
+    rows = known.select(*keep, "namespace", resolved_fragments(INCLUDE_LEVELS - 1).alias("frags"), F.posexplode(F.concat("sts", "frs")).alias("k", "s"))
+    whole = rows.withColumn("t", inlined(F.col("s.raw"), F.col("frags")))
+    return whole.select(*keep, (F.col("k") + 1).alias("scope_ix"), F.col("s.kind").alias("kind"), F.col("s.id").alias("id"), F.col("s.raw").alias("raw"), X.flat(strip_tags(F.col("t"))).alias("resolved"), F.col("s.line").alias("line"), F.col("s.base").alias("base"), F.lit("xml").alias("source"), unresolved(F.col("s.raw")).alias("unresolved"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.operators.containment import all_around, first_around
 from lintlake.operators.java_structure import table_of
 from lintlake.plans.drafting import drafts
 
@@ -143,8 +144,9 @@ def spr005(java: Java) -> DataFrame:
     f = f.withColumns({"bare": bare(F.col("type")), "is_array": F.trim("type").rlike(r"[\[\]]\z"), "made": F.substring_index(F.regexp_extract(init, r"new\s+([A-Za-z_$][\w$.]*)", 1), ".", -1)})
     safe = F.col("bare").rlike(SAFE) | F.col("made").rlike(SAFE) | init.rlike(r"Collections\s*\.\s*(?:synchronized|unmodifiable)\w+") | init.rlike(r"\A\s*(?:List|Set|Map|ImmutableList|ImmutableMap)\s*\.\s*of\s*\(")
     f = f.filter(~safe & (F.col("is_array") | F.col("bare").rlike(UNSAFE)))
-    # a field belongs to every bean whose body is around it: equal path, ranges as the residual
-    inside = f.join(beans, "path").filter((F.col("start") > F.col("body_start")) & (F.col("end") < F.col("body_end")))
+    # a field belongs to every bean whose body is around it
+    inside = all_around(f, beans, ["path"], "start", "body_start", "body_end", "bean").filter(F.col("end") < F.col("bean.body_end"))
+    inside = inside.select("*", "bean.type_ix", "bean.type_name").drop("bean")
     open_ = java.members.filter((F.col("kind") != "constructor") & ~annotated(F.col("annotations"), "PostConstruct", "Transactional") & ~has("modifiers", "synchronized"))
     writes = java.writes.join(open_.select("path", "member_ix", F.col("name").alias("method")), ["path", "member_ix"]).select("path", "type_ix", F.col("name").alias("field"), "member_ix", "method", F.col("line").alias("write_line"))
     each = inside.withColumn("field", F.explode("names")).join(writes, ["path", "type_ix", "field"])
@@ -170,11 +172,11 @@ def spr006(java: Java) -> DataFrame:
 
 
 def calls_in_loops(java: Java) -> DataFrame:
-    """Calls with the first loop around them: equal file and member, the range as residual."""
+    """Calls with the first loop around them in their member."""
     loops = java.loops.select("path", "member_ix", F.col("kind").alias("loop"), "start", "end")
-    near = java.calls.join(loops, ["path", "member_ix"]).filter((F.col("off") > F.col("start")) & (F.col("off") < F.col("end")))
-    keys = ["path", "type_ix", "member_ix", "off", "callee", "line"]
-    return near.groupBy(*keys).agg(F.first("receiver").alias("receiver"), F.min_by("loop", "start").alias("loop"))
+    calls = java.calls.select("path", "member_ix", "type_ix", "off", "callee", "line", "receiver")
+    near = first_around(calls, loops, ["path", "member_ix"], "off", "start", "end", "around")
+    return near.select("path", "type_ix", "member_ix", "off", "callee", "line", "receiver", F.col("around.loop").alias("loop"))
 
 
 def myb002(java: Java) -> DataFrame:

@@ -55,6 +55,19 @@ def mappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("m/M"), "o_orderkey", F.lit(".xml")).alias("path"), text.alias("content"))
 
 
+def include_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mapper for each order, with fragments that include each other."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    edges = {"a": ("K", "b"), "b": ("x2", "c"), "c": ("x3", "d"), "d": ("x4",), "p": ("p1", "q"), "q": ("q1", "p"), "top": ("", "l", "r"), "l": ("l1", "base"), "r": ("r1", "base"), "base": ("b1",)}
+    include = lambda ids: "".join(f' <include refid="{i}"/>' for i in ids)
+    frags = "".join(f'<sql id="{k}">{word}{include(ids)}</sql>\n' for k, (word, *ids) in edges.items())
+    chosen = {"chain": "a", "cycle": "p", "diamond": "top", "own": "demo.CK.a"}
+    selects = "".join(f'<select id="{k}">select{include([i])}{" from t" if k == "own" else ""}</select>\n' for k, i in chosen.items())
+    text = f'<mapper namespace="demo.CK">\n{frags}{selects}</mapper>\n'
+    own = F.replace(F.replace(F.lit(text), F.lit("CK"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string"))), F.lit(">K "), F.concat(F.lit(">k"), F.col("o_orderkey").cast("string"), F.lit(" ")))
+    return o.select(F.concat(F.lit("m/C"), "o_orderkey", F.lit(".xml")).alias("path"), own.alias("content"))
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One class for each part."""
     p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
