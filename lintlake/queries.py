@@ -17,6 +17,7 @@ from lintlake.plans import rules_java as rj
 from lintlake.plans import rules_sql as rs
 from lintlake.plans.catalogue import RULE_IDS
 from lintlake.plans.review import Options, review, scopes
+from lintlake.plans.sql_rules import SPR002, register, sql_rule
 from lintlake import reports
 from lintlake.session import cut
 from lintlake.sources import corpus as C
@@ -323,6 +324,21 @@ def rule_spr002(spark, d):
     return _java_rule(spark, d, "SPR002")
 
 
+@query(_part(1, 4, "error"))
+def rule_as_sql(spark, d):
+    """The same rule as SQL text over the table of members, in place of the built-in one."""
+    found = review(C.class_units(spark, d), options=Options(only=("SPR001",)), own_rules=[sql_rule("SPR002", SPR002)], own_ids=["SPR002"]).findings
+    return found.filter("rule = 'SPR002'").select("file", "line", "severity")
+
+
+@query("SELECT 'src/main/java/demo/P' || p_partkey || 'Service.java' AS path, 'selectById' AS callee, 'm' AS receiver, 1 AS arity, 7 AS line FROM part WHERE p_size % 8 = 6")
+def lateral_calls(spark, d):
+    """A table function of Java files in SQL."""
+    register(spark)
+    units = C.class_units(spark, d).select("path", X.mask_java(F.col("content")).alias("masked"), X.mask_java_comments(F.col("content")).alias("commented"))
+    return spark.sql("SELECT u.path, c.* FROM {units} u, LATERAL java_calls(u.masked, u.commented) c WHERE c.callee LIKE 'select%'", units=units)
+
+
 @query(_part(2, 4, "error"))
 def rule_spr003(spark, d):
     return _java_rule(spark, d, "SPR003")
