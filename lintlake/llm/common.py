@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -75,6 +77,16 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._stored_at)
 
 
+def release() -> None:
+    """Give memory that is free back to the system. Workers live on and run tasks of other operators, and what the
+    allocators keep adds up over them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import U64, bounded_batches, discard, grouped, mix, pack, pack_sorted, pieces, span_hashes, stored, table, unpack, unpack_sorted, utf8, word_spans
+from lintlake.llm.common import U64, bounded_batches, discard, grouped, mix, pack, pack_sorted, pieces, release, span_hashes, stored, table, unpack, unpack_sorted, utf8, word_spans
 
 ORDER = 5
 SIZE = 256
@@ -46,6 +46,8 @@ WIDTH = 4.5
 #: Bytes of a part, rounds, and n-grams in a bucket of the model; a bucket is asked by so many parts' worth of n-grams.
 PART = 2 << 20
 STRETCH = 1 << 19
+#: Bytes whose n-grams are added up before they are sent.
+COUNT = 1 << 20
 ROUNDS = 4
 BUCKET = 1_000_000
 ASKING = 24
@@ -134,6 +136,7 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         size = 0
+        release()
 
         def sent() -> Iterator[pa.RecordBatch]:
             for k, texts in held.items():
@@ -154,10 +157,11 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 for t in _texts(b.column(1).take(own)):
                     held.setdefault(k, []).append(t)
                     size += len(t)
-            if size >= PART:
+            if size >= COUNT:
                 yield from sent()
                 size = 0
         yield from sent()
+        release()
 
     each = docs.select(_lang(lang).alias("lang"), F.col(text).alias("__text")).mapInArrow(run, "lang string, code long, n long")
     return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -265,6 +269,7 @@ class Model:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     cells = [pack_sorted(h.view(U64)[order]), *[np.log10(x.astype(float))[order].astype(np.float32).tobytes() for x in (p, back)]]
                 yield from _rows([(t.column("dest")[0].as_py(), -1, *cells)]).to_batches()
+                release()
 
         flat = grams.select("lang", "n", "code", "p", "back").mapInArrow(hashed, "dest long, h long, p double, back double")
         rows = stored(flat.repartition("dest").sortWithinPartitions("dest").mapInArrow(packed, _ROW), "sorted-arrays")
@@ -414,6 +419,7 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         h = asked(t.column("__key").to_pylist(), t.column("__text").combine_chunks())
         edge = np.searchsorted(_bucket_of(h, buckets), np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(edge)).tolist()
+        release()
         return _rows([(k, t.column("__part")[0].as_py(), pack_sorted(h[edge[k] : edge[k + 1]]), b"", b"") for k in some])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,6 +443,7 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
                     out, size = [], 0
         if out:
             yield from _rows(out).to_batches()
+        release()
 
     def score(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
@@ -446,6 +453,8 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         cells = sorted(zip(*[answers.column(x).to_pylist() for x in ("dest", "a", "b")], strict=True))
         logs, backs = (np.concatenate([unpack(c[k]).astype(np.uint32).view(np.float32) for c in cells]).astype(float) for k in (1, 2))
         total = log10_of(keys, texts, asks, logs, backs)
+        del asks, logs, backs, cells
+        release()
         buf, off = utf8(texts)
         figures: list[list[np.ndarray]] = [[] for _ in names]
         for x, y in pieces(off):
