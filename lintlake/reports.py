@@ -155,10 +155,12 @@ def render_table(c: Collected, color: bool = False, summary: str | None = None)
     out: list[str] = []
     if not c.findings:
         out.append(paint(f"{TOOL}: {c.units} file(s) reviewed, no findings", "good"))
-    files = list(dict.fromkeys(f.file for f in c.findings))
-    for name in files:
+    files: dict[str, list] = {}
+    for f in c.findings:
+        files.setdefault(f.file, []).append(f)
+    for name, own in files.items():
         out += ["", paint(name, "bold", "file")]
-        for f in (f for f in c.findings if f.file == name):
+        for f in own:
             out.append(f"  {paint(f'{f.file}:{f.line}', 'dim')}  {paint(f'{f.severity:<5}', f.severity, 'bold')}  {paint(f.rule, 'bold')}  {f.message}")
             out += [paint(f"      {_short(f.snippet)}", "dim")] if f.snippet else []
             out += [paint(f"      > {_short(f.suggestion)}", "good")] if f.suggestion else []
