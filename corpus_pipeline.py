@@ -21,7 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity rules keep."""
+    """Documents that the perplexity rules keep.
+
+    Rows are judged one by one: repeated rows stay or go together. Null and empty texts have no words and go. Null languages
+    share one model. An empty table stays empty.
+    """
     return quality.judge(docs, keep=tuple(COLUMNS)).filter("kept").select(*COLUMNS)
 
 
@@ -44,18 +48,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with values that look like live credentials masked; n_chars follows the text."""
+    """All documents, with values that look like live credentials masked; n_chars follows the text.
+
+    Null texts stay null with the n_chars they had; repeated rows are masked alike. A null source is one further owner.
+    """
     out = secrets.redact(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document as often as its source's weight asks."""
+    """The mix of sources: a document as often as its source's weight asks.
+
+    A null source is a source of its own. Null and empty texts count no words, so a source that has no others is not drawn.
+    Rows that repeat are drawn one by one; where a source's last pass ends inside equal ids, all of them or none are in it.
+    """
     return mixing.mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, their number, and digests of the ids and of the text they decode to."""
+    """Ids of every document, their number, and digests of the ids and of the text they decode to.
+
+    Null texts count as empty and have no ids. Each row is encoded for itself, also where rows repeat.
+    """
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"))
 
 
