@@ -1,5 +1,9 @@
 """How plans grow: what is dealt out, worked out once, and left uncompiled."""
 
+import re
+
+from lintlake.functions import text as X
+from lintlake.operators import mapper_xml as mx
 from lintlake.sources import corpus as C
 
 SF = "/root/testdata/sf0.001"
@@ -9,3 +13,20 @@ def test_variants_and_patches_of_small_files_are_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert C.variant_units(spark, SF).rdd.getNumPartitions() >= 2 * cores
     assert C.patch_kinds(spark, SF).rdd.getNumPartitions() >= cores
+
+
+def test_fragments_are_resolved_before_scopes_are_exploded(spark):
+    el = spark.createDataFrame([], "path string, els array<struct<el_ord:int,closing:boolean,name:string,attrs:string,self_closing:boolean,body:string,line:int,body_line:int>>")
+    plan = mx.xml_scopes(el, "path")._jdf.queryExecution().analyzed().toString()
+    assert "transform_values" in plan and "transform_values" not in plan[: plan.index("Generate")]
+
+
+def test_texts_are_not_split_by_a_pattern(spark):
+    df = spark.createDataFrame([("a1\n22﷐ b﷐3",), ("",), ("none",), ("﷐7",), (None,)], "text string")
+    found = df.select("text", X.matches(df.text, "[0-9]+").alias("m"), X.matched_lines(df.text, "[0-9]+").alias("l"))
+    assert "split(text, [0-9]+" not in found._jdf.queryExecution().analyzed().toString()
+    for r in found.collect():
+        if r.text is not None:
+            own = [(x.start(), x.end(), x[0], r.text[: x.start()].count("\n") + 1) for x in re.finditer("[0-9]+", r.text)]
+            assert [tuple(x) for x in r.m] == own
+            assert [tuple(x) for x in r.l] == [x[2:] for x in own]
