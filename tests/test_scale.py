@@ -2,8 +2,10 @@
 
 import re
 
+import __spark_entry__ as entry
 from lintlake.functions import text as X
 from lintlake.operators import mapper_xml as mx
+from lintlake.session import WIDE
 from lintlake.sources import corpus as C
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,13 @@ def test_texts_are_not_split_by_a_pattern(spark):
             own = [(x.start(), x.end(), x[0], r.text[: x.start()].count("\n") + 1) for x in re.finditer("[0-9]+", r.text)]
             assert [tuple(x) for x in r.m] == own
             assert [tuple(x) for x in r.l] == [x[2:] for x in own]
+
+
+def test_wide_queries_run_in_methods_that_are_compiled(spark):
+    found = entry.queries()
+    (key, limit), = WIDE.items()
+    before = spark.conf.get(key)
+    found["patch_line_numbers"](spark, SF)
+    assert spark.conf.get(key) == limit
+    found["op3_token_counts"](spark, SF)
+    assert spark.conf.get(key) == before
