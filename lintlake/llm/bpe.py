@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import bounded_batches, table
+from lintlake.llm.common import REMEMBERED, bounded_batches, table
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, with the same results.
 MEMORY = 500_000
@@ -177,6 +177,7 @@ class Bpe:
 
 
 _workers: dict[str, Bpe] = {}
+REMEMBERED.append(_workers)
 
 
 def _bpe(path: str) -> Bpe:

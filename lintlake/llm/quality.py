@@ -9,7 +9,7 @@ Documents are dealt into parts of about `PART` bytes by a hash of what they hold
 only a part of the texts is on its way at once. (Rows that agree in the text and all columns kept share a part.) A part asks for its distinct n-grams only (a few hundredths of its bytes); buckets
 hold one row of arrays, search it for one ask after the other, and answer in the order asked; then each byte's
 probability is evaluated recursively: that of the longest n-gram stored, after the backoff weights of the longer
-contexts. Texts are read in stretches of `STRETCH` bytes, a long one by itself with the bytes before each stretch, so
+contexts; that is done once for each distinct n-gram of a stretch. Texts are read in stretches of `STRETCH` bytes, a long one by itself with the bytes before each stretch, so
 what a task holds besides the texts of a part does not grow with them.
 
 A text has two perplexities, that of a byte and that of a word (all of the text's probability, by words): marks glued
@@ -45,9 +45,10 @@ SIZE = 256
 WIDTH = 4.5
 #: Bytes of a part, rounds, and n-grams in a bucket of the model; a bucket is asked by so many parts' worth of n-grams.
 PART = 2 << 20
-STRETCH = 1 << 19
-#: Bytes whose n-grams are added up before they are sent.
-COUNT = 1 << 20
+STRETCH = 1 << 20
+#: Bytes whose n-grams are added up before they are sent, and whose base figures are taken at once.
+COUNT = 2 << 20
+FIGURES = 1 << 18
 ROUNDS = 4
 BUCKET = 1_000_000
 ASKING = 24
@@ -55,8 +56,8 @@ ASKING = 24
 ANSWER = 4 << 20
 #: Languages up to which their discounts are broadcast (a row of about 50 bytes each); beyond it they are joined.
 MOST_LANGUAGES = 50_000
-#: Cells of a table that numbers n-grams; beyond that they are sorted.
-CELLS = 1 << 24
+#: Cells of a table that numbers n-grams; beyond that they are hashed and sorted.
+CELLS = 1 << 16
 #: The least spread of a side (in log10 perplexity), and of texts to take it from.
 LEAST = 0.001
 ENOUGH = 30
@@ -77,43 +78,66 @@ def padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, at, off[:-1] + np.arange(len(size)) * (ORDER - 1)
 
 
+def windows(text: np.ndarray) -> np.ndarray:
+    """The codes of the ORDER bytes that end at each byte, first one highest; before the first byte stand zeros."""
+    raw = np.concatenate([np.zeros(ORDER - 1, np.uint8), text, np.zeros(8 - ORDER, np.uint8)])
+    # eight bytes from each byte on, of which the first ORDER count
+    return (np.ndarray(len(text), ">u8", raw.data, strides=(1,)).astype(U64) >> U64(8 * (8 - ORDER))).astype(np.int64)
+
+
+def numbered(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes (each below `most`), and the number of each given one among them."""
+    if most <= CELLS:
+        kept = np.flatnonzero(np.bincount(codes, minlength=1))
+        number = np.zeros(most, np.int32)
+        number[kept] = np.arange(len(kept))
+        return kept, number[codes]
+    d = pa.array(codes).dictionary_encode()  # by hashing, which is quicker than sorting all
+    kept = d.dictionary.to_numpy()
+    order = np.argsort(kept)
+    rank = np.empty(len(kept), np.int32)
+    rank[order] = np.arange(len(kept), dtype=np.int32)
+    return kept[order], rank[d.indices.to_numpy()]
+
+
 @dataclass
 class Grams:
-    """Numbered n-grams of each length: the code (bytes, first one highest) of each number, and the number at each byte.
+    """Numbered n-grams of each length: the sorted codes (bytes, first one highest), and which of the next shorter ones each ends in.
 
-    At the first n - 1 bytes of all, and of what starts anew, there is none (number 0 stands there, and is never looked
-    at), so that what is numbered does not depend on the order of rows.
+    Only the longest are read off the bytes (`last`: their numbers there); shorter ones are what those end in. Before
+    the first byte of all, and of what starts anew, zeros stand, so that what is numbered does not depend on the order of rows.
     """
 
     codes: list[np.ndarray]
-    at: list[np.ndarray]
+    suffix: list[np.ndarray]
+    last: np.ndarray
 
     @classmethod
-    def read(cls, text: np.ndarray, starts: np.ndarray, every: bool = True) -> Grams:
-        """starts: where texts begin. With `every` the numbers at the bytes for each length, else only for the longest."""
-        codes, at = [np.zeros(1, np.int64)], [np.zeros(len(text), np.int32)]
-        for n in range(1, ORDER + 1):
-            few = len(codes[-1]) * SIZE <= min(CELLS, 8 * max(len(text), 1 << 16))
-            prior = at[-1][n - 2 : -1] if n > 1 else at[-1]
-            own = prior.astype(np.int32 if few else np.int64) * SIZE + text[n - 1 :] if len(text) >= n else np.zeros(0, np.int32)
-            for k in range(1, n):
-                own[starts[starts >= k] - k] = 0
-            if few:
-                seen = np.zeros(len(codes[-1]) * SIZE, bool)
-                seen[own] = True
-                kept = np.flatnonzero(seen)
-                number = np.zeros(len(seen), np.int32)
-                number[kept] = np.arange(len(kept))
-                of = number[own]
-            else:
-                kept, of = np.unique(own, return_inverse=True)
-            each = np.zeros(len(text), np.int32)
-            each[n - 1 :] = of
-            if not every:
-                at.clear()
-            codes.append(codes[-1][kept // SIZE] * SIZE + kept % SIZE)
-            at.append(each)
-        return cls(codes, at)
+    def read(cls, text: np.ndarray, starts: np.ndarray) -> Grams:
+        """starts: where texts begin."""
+        own = windows(text)
+        for k in range(ORDER - 1):
+            at = starts[starts + k < len(text)] + k
+            own[at] &= SIZE ** (k + 1) - 1
+        codes, last = numbered(own, SIZE**ORDER)
+        found, suffix = [codes], []
+        for n in range(ORDER - 1, -1, -1):
+            kept, of = numbered(found[-1] % SIZE**n, SIZE**n)
+            found.append(kept)
+            suffix.append(of)
+        return cls(found[::-1], [np.zeros(0, np.int32), *suffix[::-1]], last)
+
+    @property
+    def at(self) -> list[np.ndarray]:
+        """For each length the numbers at the bytes."""
+        out = [self.last]
+        for n in range(ORDER, 0, -1):
+            out.append(self.suffix[n][out[-1]])
+        return out[::-1]
+
+    def contexts(self, n: int, of: np.ndarray) -> np.ndarray:
+        """The numbers of what stands before the last byte of these n-grams (any number, where that is at no byte)."""
+        return np.minimum(np.searchsorted(self.codes[n - 1], self.codes[n][of] // SIZE), len(self.codes[n - 1]) - 1)
 
 
 def _lang(lang: str) -> Column:
@@ -141,13 +165,11 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         def sent() -> Iterator[pa.RecordBatch]:
             for k, texts in held.items():
                 starts = np.cumsum([0, *map(len, texts)])[:-1]
-                g = Grams.read(np.concatenate(texts), starts, every=False)
                 ends = np.concatenate([np.arange(ORDER - 1, len(t)) + a for t, a in zip(texts, starts, strict=True)])
-                n = np.bincount(g.at[-1][ends], minlength=len(g.codes[ORDER]))
-                kept = np.flatnonzero(n)
-                for i in range(0, len(kept), 100_000):
-                    own = kept[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.string()), pa.array(g.codes[ORDER][own]), pa.array(n[own])], names=["lang", "code", "n"])
+                found = pa.array(windows(np.concatenate(texts))[ends]).value_counts()
+                for i in range(0, len(found), 100_000):
+                    own = found.slice(i, 100_000).flatten()
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(own[0]), pa.string()), *own], names=["lang", "code", "n"])
             held.clear()
 
         for b in batches:
@@ -370,28 +392,28 @@ def asked(langs: list[str], texts: pa.Array) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def _grams(langs: list[str], texts: pa.Array, every: bool = False) -> Iterator[tuple[str, np.ndarray, Grams, np.ndarray, np.ndarray]]:
+def _grams(langs: list[str], texts: pa.Array) -> Iterator[tuple[str, np.ndarray, Grams, np.ndarray, np.ndarray]]:
     """Language by language and stretch by stretch: the language, the rows, their n-grams, where their bytes stand, their sizes."""
     all_ = np.array(langs, dtype=object)
     for k in sorted(set(langs)):
         rows = np.flatnonzero(all_ == k)
         for text, own, starts, at, sizes in chunks(texts.take(pa.array(rows))):
-            yield k, rows[at], Grams.read(text, starts, every), own, sizes
+            yield k, rows[at], Grams.read(text, starts), own, sizes
 
 
 def log10_of(langs: list[str], texts: pa.Array, asks: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> np.ndarray:
     """The sum of log10 probabilities of each text, from what is known of the asked hashes (NaN where nothing is)."""
     out = np.zeros(len(langs))
-    for k, rows, g, own, sizes in _grams(langs, texts, every=True):
+    for k, rows, g, own, sizes in _grams(langs, texts):
         p = None
         for n in range(ORDER + 1):
             here = np.searchsorted(asks, gram_hashes(k, n, g.codes[n]))
-            found = logs[here][g.at[n][own]]
+            found = logs[here]
             if p is not None:
                 missing = np.flatnonzero(np.isnan(found))
-                found[missing] = p[missing] + back[g.at[n - 1][own[missing] - 1]]
+                found[missing] = p[g.suffix[n][missing]] + back[g.contexts(n, missing)]
             p, back = found, np.nan_to_num(backs[here])
-        sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(p, nan=-math.log10(SIZE)))])
+        sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(p, nan=-math.log10(SIZE))[g.last[own]])])
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         out[rows] += sums[cuts[1:]] - sums[cuts[:-1]]  # a long text comes stretch by stretch
     return out
@@ -457,7 +479,7 @@ def perplexities(docs: DataFrame, model: Model, text: str, lang: str, keep: tupl
         release()
         buf, off = utf8(texts)
         figures: list[list[np.ndarray]] = [[] for _ in names]
-        for x, y in pieces(off):
+        for x, y in pieces(off, FIGURES):
             for out, got in zip(figures, base_figures(buf[off[x] : off[y]], off[x : y + 1] - off[x]), strict=True):
                 out.append(got)
         n = np.diff(off)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import bounded_batches, table
+from lintlake.llm.common import REMEMBERED, bounded_batches, table
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, with the same results.
@@ -111,6 +111,7 @@ class Counter:
 
 
 _workers: dict[str, Counter] = {}
+REMEMBERED.append(_workers)
 
 
 def _counter(model_path: str, proof: Proof) -> Counter:
