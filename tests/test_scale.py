@@ -2,11 +2,16 @@
 
 import re
 
+import pyarrow as pa
+
 import __spark_entry__ as entry
 from lintlake.functions import text as X
+from lintlake.operators import java_structure as J
 from lintlake.operators import mapper_xml as mx
+from lintlake.plans import review as R
 from lintlake.session import WIDE
 from lintlake.sources import corpus as C
+from lintlake.sources.units import whole_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +47,39 @@ def test_wide_queries_run_in_methods_that_are_compiled(spark):
     assert spark.conf.get(key) == limit
     found["op3_token_counts"](spark, SF)
     assert spark.conf.get(key) == before
+
+
+def test_files_that_no_active_rule_concerns_are_read_no_further(spark, monkeypatch):
+    files = [("A.java", C.JAVA_VARIANTS[7]), ("B.java", C.JAVA_VARIANTS[0]), ("x.xml", C.XML_VARIANTS[1]), ("y.xml", C.XML_VARIANTS[3]), ("z.xml", "<doc/>"), ("e.xml", "<mapper></mapper>")]
+    read, own = [], J.java_structure
+    monkeypatch.setattr(R, "java_structure", lambda units: read.append(units) or own(units))
+    r = R.review(whole_files(spark.createDataFrame(files, "path string, content string")), options=R.Options(only=("MYB003",)))
+    assert [x.file for x in read[0].select("file").collect()] == ["A.java"]
+    assert {(x.file, x.line) for x in r.findings.collect()} == {(f, n) for f, texts, v in (("A.java", C.JAVA_VARIANTS, 7), ("x.xml", C.XML_VARIANTS, 1)) for w, n, rule, *_ in C.expected(texts) if (w, rule) == (v, "MYB003")}
+    # what is skipped, and what was reviewed, does not depend on it
+    assert {(x.path, x.reason) for x in r.skipped.collect()} == {("z.xml", "not a mapper XML"), ("e.xml", "no mapper SQL in this file")}
+    assert r.units.count() == 5
+
+
+def test_marked_files_hold_what_their_rules_look_for():
+    for k, texts in enumerate((C.JAVA_VARIANTS, C.XML_VARIANTS)):
+        for v, _, rule, *_ in C.expected(texts):
+            bare = re.sub("//!.*|<!--!.*?-->", "", texts[v])
+            assert re.search(R.HOLDS[rule][k], bare), (rule, v)
+    assert set(R.HOLDS) == set(R.MAKE)
+
+
+def test_words_may_be_put_together_across_cdata(spark):
+    text = '<mapper namespace="a">\n<select id="q">select a from t where n li<![CDATA[ke \'%x\']]></select>\n</mapper>'
+    r = R.review(whole_files(spark.createDataFrame([("m.xml", text)], "path string, content string")), options=R.Options(only=("MYB003",)))
+    assert [x.line for x in r.findings.collect()] == [2]
+
+
+def test_structures_are_held_for_a_few_files_at_once(spark, monkeypatch):
+    calls, own = [], J.analyzed
+    monkeypatch.setattr(J, "analyzed", lambda *r: calls.append(r[0]) or own(*r))
+    names = [f"F{k}" for k in range(2 * J.FILES + 1)]
+    batch = pa.RecordBatch.from_pydict({"path": names, "masked": ["class A { }"] * len(names), "commented": ["class A { }"] * len(names)})
+    out = J.structures(iter([batch]), pa.schema([("path", pa.string())]))
+    assert next(out).num_rows == len(calls) == J.FILES
+    assert sum(b.num_rows for b in out) == J.FILES + 1 and calls == names
