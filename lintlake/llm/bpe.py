@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import REMEMBERED, bounded_batches, table
+from lintlake.llm.common import REMEMBERED, bounded_batches, release, table
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, with the same results.
-MEMORY = 500_000
+#: Distinct pre-tokens that a worker remembers, some 320 bytes each; beyond it only those of the texts at hand stay, with the same results.
+MEMORY = 200_000
 #: Characters of text whose pre-tokens share one index.
 CHUNK = 4_000_000
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -60,7 +60,7 @@ class Bpe:
         self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if all(c in alphabet for c in t)}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
-        self.of_byte = np.full(256, -1, dtype=np.int64)
+        self.of_byte = np.full(256, -1, dtype=np.int32)
         for i, b in self.bytes_of.items():
             if len(b) == 1 and i not in self.added.values():
                 self.of_byte[b[0]] = i
@@ -79,7 +79,7 @@ class Bpe:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it never merges."""
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.order[at], -1)
 
@@ -89,8 +89,8 @@ class Bpe:
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         sym = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         n = len(sym)
-        after = np.arange(1, n + 1)
-        before = np.arange(-1, n - 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         after[cuts[1:][sizes > 0] - 1] = -1
         before[cuts[:-1][sizes > 0]] = -1
         index: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -110,7 +110,7 @@ class Bpe:
                     heapq.heappush(active, rank)
                 index[rank].append(group)
 
-        enter(np.flatnonzero(after >= 0))
+        enter(np.flatnonzero(after >= 0).astype(np.int32))
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
@@ -126,7 +126,7 @@ class Bpe:
                     if p != last:
                         taken.append((p, q))
                         last = q
-                at, nxt = (np.array(x, dtype=np.int64) for x in zip(*taken, strict=True))
+                at, nxt = (np.array(x, dtype=np.int32) for x in zip(*taken, strict=True))
             if not len(at):
                 continue
             beyond = after[nxt]
@@ -151,20 +151,19 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, int, bytes]]:
         """For each text its ids joined by commas, their number and the bytes that they decode to."""
         parts: list[list] = []
-        words: set[str] = set()
+        words: dict[str, str] = {}
         for t in texts:
             row: list = []
             for k, s in enumerate(self.split(t or "") if self.split else [t or ""]):
-                found = self.added[s] if k % 2 else self.find(s)
-                row.append(found)
-                if not k % 2:
-                    words.update(found)
+                # a word is held once, however often it comes
+                row.append(self.added[s] if k % 2 else [words.setdefault(w, w) for w in self.find(s)])
             parts.append(row)
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        if words := words.difference(self.known):
-            self.learn(words)
         known = self.known
+        new = words.keys() - known.keys()
+        if len(known) + len(new) > MEMORY:
+            self.known = known = {w: known[w] for w in words.keys() - new}
+        if new:
+            self.learn(new)
         for row in parts:
             got = []
             for x in row:
@@ -207,6 +206,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_workers)
         bpe = _bpe(path)
         gc.disable()  # while this task runs: nothing here is cyclic, and the collector would walk all remembered words
         try:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from lintlake.llm import bpe, quality
-from lintlake.llm.common import release
+from lintlake.llm.common import REMEMBERED, release
 
 
 def test_release_forgets_what_other_operators_remember():
@@ -42,3 +42,30 @@ def test_asking_holds_little_for_a_byte():
         assert tracemalloc.get_traced_memory()[1] < 45 * len(text)
     finally:
         tracemalloc.stop()
+
+
+def test_release_keeps_what_is_ones_own():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = bpe._bpe(path)
+    other: dict = {"x": 1}
+    REMEMBERED.append(other)
+    try:
+        release(bpe._workers)
+        assert not other and bpe._bpe(path) is own
+    finally:
+        REMEMBERED.remove(other)
+
+
+def test_beyond_memory_words_at_hand_stay(monkeypatch):
+    """They are not learnt again; others are forgotten, and results stay the same."""
+    b = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(f"word{k % 500}" for k in range(100_000))
+    next(b.encode([text]))
+    monkeypatch.setattr(bpe, "MEMORY", 2000)
+    want = [next(bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json")).encode([t])) for t in ("word1 so it goes", text)]
+    b.known |= {f"old{k}": ("0", 1, b"") for k in range(1500)}
+    learnt, learn = [], b.learn
+    monkeypatch.setattr(b, "learn", lambda new: learnt.extend(new) or learn(new))
+    assert list(b.encode(["word1 so it goes", text])) == want
+    assert sorted(learnt) == [" goes", " it", " so"]
+    assert "old1" not in b.known and " word" in b.known and len(b.known) < 1500
