@@ -9,6 +9,7 @@ from lintlake.functions import text as X
 from lintlake.operators import java_structure as J
 from lintlake.operators import mapper_xml as mx
 from lintlake.plans import review as R
+from lintlake.plans import rules_sql as rs
 from lintlake.session import WIDE
 from lintlake.sources import corpus as C
 from lintlake.sources.units import whole_files
@@ -88,3 +89,37 @@ def test_structures_are_held_for_a_few_files_at_once(spark, monkeypatch):
 def test_patches_are_read_once_and_dealt_once(spark):
     plan = entry.queries()["patch_line_numbers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def mapper_files(spark):
+    texts = {
+        "joined": '<mapper namespace="a.B"><select id="s">select $<![CDATA[{x}]]> from t</select></mapper>', "apart": '<mapper namespace="a.C"><select id="s">select $<!-- -->{x}<if/> from t</select></mapper>',
+        "plain": '<mapper namespace="a.D"><select id="s">select ${x} from t</select></mapper>', "none": '<mapper><select id="s">select a</select></mapper>', "include": '<mapper namespace="a.E"><select id="s"><INCLUDE refid="q"/></select></mapper>',
+        "split": '<mapper namespace="a.S"><select id="s"><inc<![CDATA[lude refid="r"/>]]></select></mapper>',
+        "two": '<mapper namespace="a.F"/><mapper a="x>y" namespace = \'a.G\'>', "commented": '<!-- <mapper namespace="a.H"> --><mapper id="1" namespace=" a.I "></mapper>', "inside": '<mapper namespace="a.J"><select id="s"><mapper namespace="a.K"></select></mapper>',
+        "other": '<mapper.x namespace="a.L"/><select id="s" resultType="T">select a</select>', "open": '<mapper namespace="a.M"', "null": None,
+    }
+    return whole_files(spark.createDataFrame([(f"{k}.xml", v) for k, v in texts.items()], "path string, content string"))
+
+
+def test_namespaces_are_those_of_the_elements(spark):
+    u = mapper_files(spark)
+    got, want = (sorted(map(tuple, x.collect())) for x in (mx.namespaces(u, "path"), mx.namespace_of(mx.elements(u, "path"), "path")))
+    assert [(p, n or "") for p, n in got] == [(p, n or "") for p, n in want] and ("two.xml", "a.G") in got and len(got) > 7
+
+
+def test_mappers_that_cannot_hold_a_pattern_are_read_no_further(spark):
+    u = mapper_files(spark)
+    scopes = lambda x: mx.xml_scopes(mx.elements(x, "path"), "path")
+    held = {r.path for r in mx.holding(u, r"\$\{").collect()}
+    assert held == {"joined.xml", "plain.xml", "split.xml"}
+    found = lambda x: sorted((r.path, r.position) for r in rs.placeholders(scopes(x)).collect())
+    assert found(mx.holding(u, r"\$\{")) == found(u) and len(found(u)) == 2
+    refs = lambda x: sorted(tuple(r) for r in scopes(x).selectExpr("path", "explode(unresolved)").collect())
+    assert refs(mx.holding(u, "(?i:<include)")) == refs(u) == [("include.xml", "q"), ("split.xml", "r")]
+
+
+def test_queries_name_what_their_mappers_hold(spark):
+    plan = lambda q: entry.queries()[q](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert r"\$\{)|<!\[CDATA" in plan("placeholder_position")
+    assert "body_line" not in plan("companion_left_join")
