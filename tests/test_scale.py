@@ -123,3 +123,29 @@ def test_queries_name_what_their_mappers_hold(spark):
     plan = lambda q: entry.queries()[q](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert r"\$\{)|<!\[CDATA" in plan("placeholder_position")
     assert "body_line" not in plan("companion_left_join")
+
+
+def test_resolved_statements_are_those_of_the_scopes(spark):
+    own = '<mapper namespace="demo"><sql id="a">A<include refid="b"/></sql><sql id="b">old</sql><sql id=" b ">B <include refid="c"/></sql><sql id="c">C <include refid="demo.d"/></sql><sql id="d">D <include refid="a"/></sql>'
+    bodies = [
+        '<include refid="a"/>,<INCLUDE\nrefid=\' demo.a \'></include>', '<include refid="b" refid="a"/>', '<include refid="far.a"/><include refid=""/><include REFID="a"/>', '<include x="refid=\'a\'" refid="b"/>', '<include refid="a"', "<include refid='a",
+        'x <![CDATA[<include refid="a"/> < 1]]>', '<inc<![CDATA[lude refid="a"/>]]>', '<where> <if test="x > 1">a</if></where><trim prefix="(">b</trim><set/>', '<where <include refid="a"/>', "\x01 \x02<include refid=\"a\"/>\x03\x04\x05$1\\", '<include-x refid="a"/>', '<include refid="a"><property name="p" value="q"/></include>', "y " * 100_000 + '<include refid="a"/>' * 3_000,
+    ]
+    opens = ['<select id="q">', "<update id = ' u '>", '<insert id="i" useGeneratedKeys="true">', '<delete id="b id=" x="y">', '<select id="x" id="y">', '<select id="s" data-id="z">', "<select>"]
+    files = [(f"{k}.xml", own + "".join(o + b + f"</ {o[1:7].upper()} >" for o in opens)) for k, b in enumerate(bodies)]
+    files += [("comma.xml", '<mapper><sql id="a,b">1</sql><sql id="b">2</sql><select id="s"><include refid="a,b"/><include refid="b"/><include refid="a"/></select></mapper>'), ("cut.xml", own + '<resultMap id="<select id=\'n\'>x</select>"><insert id="open"><select id="t"/><select id="z">z</select>')]
+    files += [("no.xml", "<doc/>"), ("bare.xml", '<select id="e" resultType="T"><include refid="a"/></select>'), ("null.xml", None), ("A.java", own), ("last.xml", '<mapper namespace="x"><mapper namespace="demo">' + own.split(">", 1)[1] + '<select id="l"><include refid="demo.a"/></select>')]
+    u = whole_files(spark.createDataFrame(files, "path string, content string"))
+    rows = lambda x: sorted(map(tuple, x.select("path", "kind", "id", "resolved").collect()))
+    got = rows(mx.resolved_statements(u, "path"))
+    assert got == rows(mx.xml_scopes(mx.elements(u, "path"), "path").filter("kind <> 'sql'")) and len(got) > 100
+    assert ("comma.xml", "select", "s", "1 2") in got and ("last.xml", "select", "l", "A B C") in got
+    assert [r for r in got if r[:3] == ("0.xml", "select", "q")] == [("0.xml", "select", "q", "A B C , A B C")]
+
+
+def test_include_closure_makes_texts_once_and_writes_nothing_in_between(spark):
+    plan = entry.queries()["include_closure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan.split("Exchange RoundRobinPartitioning")
+    assert len(shuffled) == 2 and "<mapper" in shuffled[0] and "<mapper" not in shuffled[1]
+    # fragments are no rows, and their names are searched without a scan by elements
+    assert "ExistingRDD" not in plan and "find_in_set" in plan and "array_position" not in plan
