@@ -3,6 +3,7 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lintlake.functions import text as X
@@ -149,3 +150,11 @@ def test_include_closure_makes_texts_once_and_writes_nothing_in_between(spark):
     assert len(shuffled) == 2 and "<mapper" in shuffled[0] and "<mapper" not in shuffled[1]
     # fragments are no rows, and their names are searched without a scan by elements
     assert "ExistingRDD" not in plan and "find_in_set" in plan and "array_position" not in plan
+
+
+def test_white_space_of_any_kind_is_found_behind_the_range_of_other_characters(spark):
+    blanks = "\t\n\x0b\f\r         　﻿"
+    df = spark.createDataFrame([(c,) for c in blanks + "\x01!~\x7f\u0085​⁠a"], "c string")
+    flat = {r[0] for r in df.filter(X.flat(F.concat(F.lit("a"), "c", "c", F.lit("b"))) == "a b").collect()}
+    assert flat == set(blanks) == {r[0] for r in df.filter(X.trim(F.concat("c", F.lit("a"), "c")) == "a").collect()} - {"a"}
+    assert X.BLANKS.startswith("[[^!-~]&&")
